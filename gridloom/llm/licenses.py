@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|:|[0-9])|\(c\)|©)[^\n]*$"
 
 
 def canonical_lines(text: Column) -> Column:

@@ -53,7 +53,7 @@ def license_sql() -> str:
         return x
 
     def lines(x: str) -> str:
-        x = rf"regexp_replace(lower(coalesce({x}, '')), '(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$', '', 'g')"
+        x = rf"regexp_replace(lower(coalesce({x}, '')), '(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|:|[0-9])|\(c\)|©)[^\n]*$', '', 'g')"
         return same(rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')", SPELLINGS)
 
     def whole(x: str) -> str:
