@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, sharding, token_files
+from . import bpe, licenses, sharding, simhash, token_files
 from ._common import table
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 
@@ -19,6 +19,10 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, decoded=True))
@@ -35,7 +39,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_extendible_sharding, op5_byte_level_bpe, op7_token_files, op10_license_scan)}
+    return {f.__name__: f for f in (op2_extendible_sharding, op4_simhash_near_dedup, op5_byte_level_bpe, op7_token_files, op10_license_scan)}
 
 
 def sharding_sql(max_bytes: int = SHARD_BYTES) -> str:
