@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 
+#: Known digests that are sent to every task, at most; of about 60 bytes each.
+BROADCAST_ROWS = 50_000
+
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|:|[0-9])|\(c\)|©)[^\n]*$"
 
 
@@ -45,7 +48,9 @@ def known_notices(spark: SparkSession) -> DataFrame:
 
 def _digests(known: DataFrame) -> DataFrame:
     form = canonical(canonical_lines(F.col("text")))
-    return known.select(F.md5(form).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    out = known.select(F.md5(form).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    # sent to every task while a known table is small (its rows are counted), else shuffled
+    return F.broadcast(out) if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else out
 
 
 def scan_licenses(docs: DataFrame, texts: DataFrame | None = None, notices: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,11 +65,13 @@ def scan_licenses(docs: DataFrame, texts: DataFrame | None = None, notices: Data
     spark = docs.sparkSession
     whole = _digests(texts if texts is not None else known_texts(spark))
     line = _digests(notices if notices is not None else known_notices(spark))
-    lines = docs.select(F.col(f"`{key}`").alias("_key"), canonical_lines(F.col(f"`{text}`")).alias("_lines"))
-    base = lines.select("_key", F.md5(canonical(F.col("_lines"))).alias("digest"))
-    each = lines.select("_key", F.md5(canonical(F.col("_lines"))).alias("digest"), F.explode(F.split("_lines", "\n")).alias("_line"))
-    each = each.select("_key", "digest", F.md5(canonical(F.col("_line"))).alias("_d")).join(line.withColumnRenamed("digest", "_d"), "_d")
-    found = each.groupBy("_key", "digest").agg(F.concat_ws(",", F.sort_array(F.collect_set("license_id"))).alias("notices"))
-    f, d = found.alias("f"), base.join(whole, "digest", "left").alias("d")
-    out = d.join(f, F.col("d._key").eqNullSafe(F.col("f._key")) & (F.col("d.digest") == F.col("f.digest")), "left")
-    return out.select(F.col("d._key").alias(key), F.col("d.digest"), F.col("d.license_id"), F.coalesce("notices", F.lit("")).alias("notices"))
+    # exploded from an array of one, so that the form is computed once and not once for each use
+    lines = docs.select(F.col(f"`{key}`").alias("_key"), F.explode(F.array(canonical_lines(F.col(f"`{text}`")))).alias("_lines"))
+    each = lines.select("_key", F.md5(canonical(F.col("_lines"))).alias("digest"), F.posexplode(F.split("_lines", "\n")).alias("_n", "_line"))
+    # within a line the form has single spaces already: ends apart it is the canonical one
+    each = each.select("_key", "digest", "_n", F.md5(F.trim("_line")).alias("_d")).join(line.toDF("_d", "_notice"), "_d", "left")
+    each = each.where("_n = 0 or _notice is not null")
+    # repeated rows meet here and are counted by their first lines
+    found = each.groupBy("_key", "digest").agg(F.concat_ws(",", F.sort_array(F.collect_set("_notice"))).alias("notices"), F.sum((F.col("_n") == 0).cast("int")).cast("int").alias("_rows"))
+    out = found.join(whole, "digest", "left").withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.col("_rows"))))
+    return out.select(F.col("_key").alias(key), "digest", "license_id", "notices")
