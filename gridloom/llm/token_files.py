@@ -169,7 +169,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text
         if n:
             yield pa.RecordBatch.from_pydict({"part": [part], "ids": [names[0]], "index": [names[1]], "total": [total]})
 
-    parts = sorted(tuple(r) for r in rows.mapInArrow(write, "part int, ids string, index string, total long").collect())  # a row for each file
+    parts = sorted(tuple(r) for r in rows.mapInArrow(write, "part long, ids string, index string, total long").collect())  # a row for each file
     before = np.cumsum([0, *(p[3] for p in parts)]).tolist()
     return [(ids, index, at, total) for (_, ids, index, total), at in zip(parts, before, strict=False)]
 
