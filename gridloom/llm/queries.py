@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, licenses, sharding, simhash, token_files
+from . import bpe, licenses, ngram_lm, sharding, simhash, token_files
 from ._common import table
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 
@@ -15,6 +16,15 @@ from .license_texts import NOTICES, SPELLINGS, TEXTS
 SHARD_BYTES = 16 << 20
 
 
+def crc_is_two(modulus: int):
+    """True for a modulus-th of the rows, by the text of their doc_id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == 2
+
+
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"), crc_is_two(7))
+
+
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -39,7 +49,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_extendible_sharding, op4_simhash_near_dedup, op5_byte_level_bpe, op7_token_files, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_extendible_sharding, op4_simhash_near_dedup, op5_byte_level_bpe, op7_token_files, op10_license_scan)}
 
 
 def sharding_sql(max_bytes: int = SHARD_BYTES) -> str:
