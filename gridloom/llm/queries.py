@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, ngram_lm, sharding, simhash, token_files
+from . import bpe, decontamination, licenses, ngram_lm, sharding, simhash, token_files
 from ._common import table
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 
@@ -29,6 +29,10 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_lm, op2_extendible_sharding, op4_simhash_near_dedup, op5_byte_level_bpe, op7_token_files, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_extendible_sharding, op3_decontamination, op4_simhash_near_dedup, op5_byte_level_bpe, op7_token_files, op10_license_scan)}
 
 
 def sharding_sql(max_bytes: int = SHARD_BYTES) -> str:
@@ -68,6 +72,24 @@ WHERE shard_bytes <= {max_bytes} OR shard_rows = 1
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
 
 
+def contamination_sql(window: int = 10) -> str:
+    def words(x: str) -> str:
+        x = f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return rf"list_filter(string_split_regex({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+    return f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {words('text')} AS w FROM benchmark),
+v AS (SELECT item_id, list_slice(w, i, i + {window - 1}) AS v FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {window - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+k AS (SELECT DISTINCT len(v) AS n FROM v),
+g AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda j: array_to_string(w[j:j + n - 1], ' '))) AS s FROM d, k WHERE len(w) >= n),
+h AS (SELECT DISTINCT doc_id, i, item_id, n FROM g JOIN (SELECT DISTINCT item_id, array_to_string(v, ' ') AS s FROM v) u USING (s)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -99,4 +121,4 @@ FROM w LEFT JOIN t USING (digest) LEFT JOIN f ON w.doc_id = f.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_extendible_sharding": sharding_sql(), "op10_license_scan": license_sql()}
+    return {"op2_extendible_sharding": sharding_sql(), "op3_decontamination": contamination_sql(), "op10_license_scan": license_sql()}
