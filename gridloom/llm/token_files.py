@@ -9,12 +9,14 @@ are memory-mapped when read, so any sequence is a view of the file.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +31,43 @@ from .pieces import PieceTable
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 64
+#: Words whose ids are kept at most.
+MOST_WORDS = 200_000
+#: A byte-level vocabulary writes each byte as a visible character: itself, or one from 256 on in order.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     """The tokenizer, its table of pieces and its number of ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    # the tables hold very many small objects and no cycles, which a collection would walk in vain
+    gc.set_threshold(1_000_000, 50, 100)
+    match, model, known = regex.compile(r"( ?\p{L}+)([^\s\p{L}\p{N}]*)").fullmatch, own.model, {}
+
+    def merged(word: str) -> list[int]:
+        """Ids of a word that the pattern does not split, by the library's merges alone; words recur with other signs after them."""
+        ids = known.get(word)
+        if ids is None:
+            ids = known[word] = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))]
+        return ids
+
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for k in range(0, len(pieces), 4096) for e in own.encode_batch_fast(pieces[k : k + 4096], add_special_tokens=False)]
+        if len(known) > MOST_WORDS:
+            known.clear()
+        words = [match(p) for p in pieces]
+        rest = [p for p, w in zip(pieces, words, strict=True) if not w]
+        others = iter([e.ids for k in range(0, len(rest), 4096) for e in own.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False)])
+        found = [(merged(w[1]) + merged(w[2]) if w[2] else merged(w[1])) if w else next(others) for w in words]
         lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(lens.sum())), lens
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lens.sum())), lens
 
     return PieceTable(encode), own.get_vocab_size()
 
