@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, licenses, ngram_lm, sharding, simhash, token_files
+from . import bpe, decontamination, licenses, ngram_lm, quality, sharding, simhash, token_files
 from ._common import table
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 
@@ -42,6 +42,10 @@ def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, decoded=True))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_is_two(4))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = token_files.write_token_files(docs, tokenizers.path("byte_bpe_50k.json"))
@@ -53,7 +57,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_lm, op2_extendible_sharding, op3_decontamination, op4_simhash_near_dedup, op5_byte_level_bpe, op7_token_files, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_extendible_sharding, op3_decontamination, op4_simhash_near_dedup, op5_byte_level_bpe, op6_quality_classifier, op7_token_files, op10_license_scan)}
 
 
 def sharding_sql(max_bytes: int = SHARD_BYTES) -> str:
