@@ -65,10 +65,10 @@ def _windows(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
 class Index:
     """Postings of a benchmark's rarest words in a corpus, and its windows.
 
-    heads: one row per document: key, doc, n_words. postings: term, doc, pos, start, around.
+    heads: one row per document: key (null without one), doc, n_words. postings: term, doc, pos, start, around.
     """
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id"):
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str | None = "doc_id", text: str = "text", item_key: str = "item_id"):
         self.items = _items(benchmark, item_key, text)
         words = split_words(F.col(f"`{text}`"))
         vocabulary = _small(staged(self.items.select(F.explode("words").alias("term")).distinct(), "benchmark-words"))
@@ -77,7 +77,7 @@ class Index:
         seeds = _small(staged(self.windows.select(F.explode(F.array("t1", "t2")).alias("seed")).where("seed is not null").distinct(), "benchmark-seeds"))
         text_ = F.coalesce(F.col(f"`{text}`"), F.lit(""))
         # exploded from an array of one, so that texts are split once
-        rows = docs.select(F.col(f"`{key}`").alias("key"), F.md5(text_).alias("doc"), F.explode(F.array(words)).alias("words"))
+        rows = docs.select((F.col(f"`{key}`") if key else F.lit(None).cast("string")).alias("key"), F.md5(text_).alias("doc"), F.explode(F.array(words)).alias("words"))
         each = rows.select("key", "doc", "words", F.posexplode("words").alias("pos", "term")).join(seeds, F.col("term") == F.col("seed"), "left")
         start = F.greatest(F.col("pos") - (window - 1), F.lit(0))
         around = F.when(F.col("seed").isNotNull(), F.slice("words", start + 1, 2 * window - 1))
@@ -92,9 +92,19 @@ class Index:
         places = w.select("item", F.col("p1").alias("p"), F.col("t1").alias("term")).union(w.select("item", "p2", "t2")).where("term is not null").distinct()
         return self.postings.join(_small(places), "term").select("item", "p", "doc", (F.col("pos") - F.col("p")).alias("begin"), "start", "around")
 
+    def _paired(self) -> DataFrame:
+        """The beginnings whose posting has the other rare word of a window at the right distance; the others cannot intersect."""
+        w = self.windows
+        one = w.select("item", F.col("p1").alias("p"), F.struct((F.col("p2") - F.col("p1")).alias("by"), F.col("t2").alias("term")).alias("other"))
+        two = w.where("p2 is not null").select("item", F.col("p2").alias("p"), F.struct((F.col("p1") - F.col("p2")).alias("by"), F.col("t1").alias("term")).alias("other"))
+        others = _small(one.union(two).groupBy("item", "p").agg(F.collect_set("other").alias("others")))
+        at = F.col("begin") + F.col("p") - F.col("start")
+        there = F.exists("others", lambda x: x.term.isNull() | F.coalesce(F.get("around", at + x.by) == x.term, F.lit(False)))
+        return self._beginnings().join(others, ["item", "p"]).where(there).drop("others")
+
     def exact(self) -> DataFrame:
         """doc, item, start, end: occurrences of windows in documents, as places in their split words."""
-        lists = self._beginnings().groupBy("item", "doc", "begin").agg(F.collect_set(F.struct("p", "start", "around")).alias("found"))
+        lists = self._paired().groupBy("item", "doc", "begin").agg(F.collect_set(F.struct("p", "start", "around")).alias("found"))
         each = lists.select("item", "doc", "begin", F.transform("found", lambda x: x.p).alias("places"), F.explode("found").alias("x"))
         met = each.select("item", "doc", "begin", "places", F.col("x.p").alias("p1"), "x.start", "x.around").join(_small(self.windows), ["item", "p1"])
         met = met.where("p2 is null or array_contains(places, p2)")
@@ -145,6 +155,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key:
     return out.select(F.col("key").alias(key), "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """The rows of docs, with its columns, in which no window of the benchmark occurs; null texts have no words and stay."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    hit = staged(Index(docs, benchmark, window, None, text, item_key).exact().select("doc").distinct(), "contaminated")
+    return rows.join(hit, F.md5(F.coalesce("_text", F.lit(""))) == F.col("doc"), "left_anti").select("_row.*")
+
+
 def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 3, window: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
     """key, item_id: items near a document's words, as Index.near has it; a row for each document and item."""
     index = Index(docs, benchmark, window, key, text, item_key)
