@@ -1,8 +1,57 @@
-"""Corpus pipeline: quality, near duplicates, decontamination, tokens."""
+"""Corpus pipeline: quality, near duplicates, decontamination, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns what it keeps; its rows are written
+and read again as the next one's docs. All but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers as tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, decontamination, quality, simhash
+from gridloom.llm._common import staged, table
+from gridloom.llm.queries import crc_is_two
+
+#: SQL can express neither the network nor the components; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from labelled rows as in its own query, and keeps all if there is nothing to learn from."""
+    net = quality.fit(docs.where(~F.coalesce(crc_is_two(4), F.lit(False))), table(spark, sf_dir, "labels"), "quality")
+    return quality.accepted(docs, net) if isinstance(net, quality.ChunkNet) else docs
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    return simhash.representatives(docs)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 of what the ids decode to."""
+    found = bpe.encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, decoded=True)
+    return found.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_benchmark_copies),
+    ("tokens", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for n, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = staged(docs, f"pipeline-{name}")
+    return docs

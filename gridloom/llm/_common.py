@@ -59,7 +59,7 @@ def local_path(uri: str) -> str:
     return uri.split(":", 1)[1].replace("//", "", 1) if uri.startswith("file:") else uri
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches by rows so that each holds about `most` bytes of one string column; a longer text stands alone."""
     for batch in batches:
         col = batch.column(column)

@@ -121,29 +121,35 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", tex
     return learn(texts, np.array(ys, np.float32), w.astype(np.float32))
 
 
-def score(docs: DataFrame, net: ChunkNet | float, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: ChunkNet | float, threshold: float = 0.7, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """One row per row of docs: all its columns, score, predicted (1 where score >= threshold, else 0).
 
     score: the probability of class 1, of the whole text's bytes alone; a null text is
-    empty, and empty texts are scored too. Columns of docs named score or predicted are
-    replaced. Repeated rows get equal scores. No rows give none.
+    empty, and empty texts are scored too. Columns of docs named as the new ones (names)
+    are replaced. Repeated rows get equal scores. No rows give none.
     """
     ready(docs.sparkSession)
-    kept = docs.drop("score", "predicted")
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
+    kept = docs.drop(*names)
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType())])
     place = kept.columns.index(text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
+        for block in blocks(batches, place):
             column = block.column(place)
             p = net.probabilities(*text_bytes(column)) if isinstance(net, ChunkNet) else np.full(len(column), net)
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(p)], names=[*block.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(p)], names=[*block.schema.names, names[0]])
 
-    return kept.mapInArrow(each, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return kept.mapInArrow(each, schema).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, net: ChunkNet | float, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of docs, with its columns, whose score is at least the threshold."""
+    own = ("_quality_score", "_quality_predicted")
+    return score(docs, net, threshold, text, own).where(F.col(own[1]) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, label: str = "quality", key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted of every row; learns from labelled rows where held_out is not true."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     net = fit(rows.where("not held_out"), labels.withColumnRenamed(key, "key"), label, "key", "text")
-    return score(rows.select("key", "held_out", "text"), net, threshold).select(F.col("key").alias(key), "held_out", "score", "predicted")
+    return score(rows, net, threshold).select(F.col("key").alias(key), "held_out", "score", "predicted")

@@ -204,3 +204,19 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, key: str =
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     ids = named.join(low, "component").select("fp", "component_id")
     return fps.join(ids, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 4, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each component of near_duplicates, with the columns of docs: a row of the smallest key.
+
+    Rows are told apart by a number of their own, so that of repeated rows one stays; a
+    row without a key stays only where no row of its component has one. An empty table
+    gives no rows.
+    """
+    # numbered once and written: the numbers must not change when a task runs again
+    rows = staged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_n")), "simhash-rows")
+    found = near_duplicates(rows.select("_n", F.col(f"_row.`{text}`").alias("text")), radius, words, "_n", "text")
+    keys = rows.select("_n", F.col(f"_row.`{key}`").alias("key"))
+    first = F.min_by("_n", F.struct(F.col("key").isNull(), F.col("key"), F.col("_n")))
+    kept = staged(found.join(keys, "_n").groupBy("component_id").agg(first.alias("_n")).select("_n"), "simhash-kept")
+    return rows.join(kept, "_n", "left_semi").select("_row.*")
