@@ -91,8 +91,10 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SALT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT[_SPACE] = 0
 _SALT[65:91] = _SALT[97:123]  # A-Z hash as a-z
+#: Bytes between words: white space, or whatever is neither a letter or digit nor outside ASCII.
+SPACE = _SPACE
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _STEP = 0x9E3779B97F4A7C15
 _POW = np.array([pow(_STEP, i, 2**64) for i in range(256)], dtype=np.uint64)
 
@@ -111,8 +113,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hash_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z as a-z), and words per text.
+def hash_words(raw: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of bytes other than those between words, A-Z as a-z), and words per text.
 
     A polynomial in odd 64-bit coefficients per byte, then mixed: equal words have
     equal hashes, different ones collide about once in 2**64 pairs.
@@ -120,7 +122,7 @@ def hash_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64)
-    solid = ~_SPACE[raw]
+    solid = ~between[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = off[1:-1]
@@ -131,6 +133,6 @@ def hash_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64)
     length = np.diff(np.append(starts, n))
     pos = np.arange(starts[0], n, dtype=np.int64) - np.repeat(starts, length)
-    values = _SALT[raw[starts[0] :]] * _powers(int(length.max()))[pos]
+    values = np.where(between, np.uint64(0), _SALT)[raw[starts[0] :]] * _powers(int(length.max()))[pos]
     h = mix(np.add.reduceat(values, starts - starts[0]))
     return h, np.diff(np.searchsorted(starts, off))

@@ -13,7 +13,6 @@ number, count), each cut into buckets. A word's number is its place in all words
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import blocks, hash_words, local_path, mix, ready, shared_dir, staged, text_bytes
+from .runs import RUNS, MappedArrays, bucket_of, cut_runs, merged_runs, run, save_array, summed
 
 #: Bytes of text for each bucket, about, and entries of a task's counts before it sends them on.
 BUCKET_BYTES, FLUSH = 16 << 20, 4_000_000
@@ -31,52 +31,6 @@ BUCKET_BYTES, FLUSH = 16 << 20, 4_000_000
 SCORE_BYTES = 4 << 20
 #: Stands for a text's end as a word; as a context it is a text's start.
 EDGE = np.uint64(0x5EED0FE2D0000001)
-RUNS = "bucket int, kind string, n long, data binary"
-_zstd = lambda: pa.Codec("zstd", 1)
-
-
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Sorted keys as differences, then other columns; bytes of equal weight stand together, for compression."""
-    keys, *rest = (np.ascontiguousarray(c, dtype=np.uint64) for c in columns)
-    planes = [np.diff(keys, prepend=np.uint64(0)), *rest]
-    raw = b"".join(p.view(np.uint8).reshape(-1, 8).T.tobytes() for p in planes)
-    return len(raw).to_bytes(8, "little") + _zstd().compress(raw, asbytes=True)
-
-
-def unpack(data: bytes, columns: int) -> list[np.ndarray]:
-    raw = _zstd().decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
-    planes = np.frombuffer(raw, np.uint8).reshape(columns, 8, -1)
-    out = [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
-    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
-
-
-def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys in order, and the sums of each one's values."""
-    if not len(keys):
-        return [keys, *values]
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return [keys[at], *(np.add.reduceat(v[order], at) for v in values)]
-
-
-def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Equal ranges of 64-bit hashes."""
-    return ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-
-
-def _cut(bucket: np.ndarray, n: int, columns: list[np.ndarray], kind: str) -> Iterator[pa.RecordBatch]:
-    """A run for each bucket, of columns whose keys are in order."""
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(n + 1, dtype=np.uint64)).tolist()
-    columns = [c[order] for c in columns]
-    for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
-        if j > i:
-            yield _run(b, kind, j - i, pack([c[i:j] for c in columns]))
-
-
-def _run(bucket: int, kind: str, n: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "kind", "n", "data"])
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +59,7 @@ def _count(docs: DataFrame, text: str, keys: Callable, bucket: Callable, n: int)
 
         def flush() -> Iterator[pa.RecordBatch]:
             k, c = summed(*map(np.concatenate, zip(*held, strict=True)))
-            yield from _cut(bucket(k), n, [k, c], "run")
+            yield from cut_runs(bucket(k), n, [k, c], "run")
 
         for block in blocks(batches):
             h, lens = tokens(block.column("text"))
@@ -120,24 +74,6 @@ def _count(docs: DataFrame, text: str, keys: Callable, bucket: Callable, n: int)
     return _texts(docs, text).mapInArrow(each, RUNS).repartitionById(n, F.col("bucket"))
 
 
-def _merged(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The summed runs of each bucket of a task."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
-            held.setdefault(b, []).append(unpack(data.as_buffer().to_pybytes(), columns))
-    for b, runs in held.items():
-        yield b, summed(*map(np.concatenate, zip(*runs, strict=True)))
-
-
-def _save(folder: str, name: str, bucket: int, array: np.ndarray) -> None:
-    """Written aside and renamed, so that a task that runs again or twice does no harm."""
-    to = f"{folder}/{name}-{bucket:06d}.npy"
-    aside = f"{folder}/.{uuid.uuid4().hex}.npy"
-    np.save(aside, array)
-    os.replace(aside, to)
-
-
 @dataclass(frozen=True)
 class Model:
     """Where a model's files are, and its sums. buckets, words: of files and of words in each."""
@@ -156,50 +92,20 @@ class Model:
         return sum(self.words)
 
 
-class _Arrays:
-    """A model's arrays as a worker maps them; nothing is read but the pages that are touched."""
-
-    def __init__(self, folder: str, buckets: int, names: tuple[str, ...]):
-        self.folder, self.buckets, self.names, self.open = folder, buckets, names, {}
-
-    def __getitem__(self, bucket: int) -> list[np.ndarray] | None:
-        if bucket not in self.open:
-            paths = [f"{self.folder}/{n}-{bucket:06d}.npy" for n in self.names]
-            self.open[bucket] = [np.load(p, mmap_mode="r") for p in paths] if os.path.exists(paths[0]) else None
-        return self.open[bucket]
-
-    def find(self, keys: np.ndarray, bucket: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Of distinct keys in order: which are there, their places in their buckets, and their values."""
-        there, place = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        out = [np.zeros(len(keys), np.int64) for _ in range(values)]
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=np.uint64)).tolist()
-        for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
-            if j == i or self[b] is None:
-                continue
-            own, which = self[b], order[i:j]
-            at = np.minimum(np.searchsorted(own[0], keys[which]), len(own[0]) - 1)
-            hit = own[0][at] == keys[which]
-            there[which], place[which] = hit, at
-            for o, v in zip(out, own[1:], strict=False):
-                o[which] = np.where(hit, v[at], 0)
-        return there, place, out
-
-
 @lru_cache(maxsize=2)
-def _arrays(folder: str, words: tuple[int, ...], pairs: int) -> tuple[_Arrays, _Arrays, np.ndarray]:
+def _arrays(folder: str, words: tuple[int, ...], pairs: int) -> tuple[MappedArrays, MappedArrays, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
-    return _Arrays(folder, len(words), ("hash", "count", "total", "kinds", "preceders")), _Arrays(folder, pairs, ("pair", "pair_count")), first
+    return MappedArrays(folder, len(words), ("hash", "count", "total", "kinds", "preceders")), MappedArrays(folder, pairs, ("pair", "pair_count")), first
 
 
 @lru_cache(maxsize=2)
-def _hashes(folder: str, words: tuple[int, ...]) -> tuple[_Arrays, np.ndarray]:
-    return _Arrays(folder, len(words), ("hash",)), np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
+def _hashes(folder: str, words: tuple[int, ...]) -> tuple[MappedArrays, np.ndarray]:
+    return MappedArrays(folder, len(words), ("hash",)), np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
 
 
-def _numbers(own: _Arrays, first: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _numbers(own: MappedArrays, first: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Numbers of distinct words in order, -1 where unknown."""
-    bucket = _bucket(words, own.buckets)
+    bucket = bucket_of(words, own.buckets)
     there, place, _ = own.find(words, bucket, 0)
     return np.where(there, first[bucket.astype(np.int64)] + place, -1)
 
@@ -225,12 +131,12 @@ def train(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES)
 
     # 1. words
     def put_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (h, c) in _merged(batches, 2):
-            _save(here, "hash", b, h)
-            _save(here, "count", b, c.astype(np.int64))
+        for b, (h, c) in merged_runs(batches, 2):
+            save_array(here, "hash", b, h)
+            save_array(here, "count", b, c.astype(np.int64))
             yield pa.RecordBatch.from_pydict({"bucket": [b], "n": [len(h)], "total": [int(c.sum())]})
 
-    found = _count(docs, text, lambda h, _: h, lambda k: _bucket(k, n_words), n_words).mapInArrow(put_words, "bucket long, n long, total long").collect()  # a row for each bucket
+    found = _count(docs, text, lambda h, _: h, lambda k: bucket_of(k, n_words), n_words).mapInArrow(put_words, "bucket long, n long, total long").collect()  # a row for each bucket
     words = [0] * n_words
     for r in found:
         words[r.bucket] = r.n
@@ -251,31 +157,31 @@ def train(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES)
         low = np.uint64(2**32 - 1)
         # numbers belong to the bucket of words that their hashes are in
         starts = np.cumsum(words)
-        for b, (k, c) in _merged(batches, 2):
+        for b, (k, c) in merged_runs(batches, 2):
             c = c.astype(np.int64)
-            _save(here, "pair", b, k)
-            _save(here, "pair_count", b, c.astype(np.min_scalar_type(int(c.max()))))
+            save_array(here, "pair", b, k)
+            save_array(here, "pair_count", b, c.astype(np.min_scalar_type(int(c.max()))))
             left, right = k >> np.uint64(32), k & low
             kinds = np.minimum(c, 3)
             one, zero = np.ones(len(k), np.int64), np.zeros(len(k), np.int64)
             sums = summed(np.concatenate([left, right]), np.concatenate([c, zero]), *(np.concatenate([(kinds == i).astype(np.int64), zero]) for i in (1, 2, 3)), np.concatenate([zero, one]))
-            yield from _cut(np.searchsorted(starts, sums[0].astype(np.int64), side="right").astype(np.uint64), n_words, sums, "sums")
-            yield _run(0, "counts", 0, np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(np.int64).tobytes())
+            yield from cut_runs(np.searchsorted(starts, sums[0].astype(np.int64), side="right").astype(np.uint64), n_words, sums, "sums")
+            yield run(0, "counts", 0, np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(np.int64).tobytes())
 
-    runs = staged(_count(docs, text, keys, lambda k: _bucket(mix(k), n_pairs), n_pairs).mapInArrow(put_pairs, RUNS), "ngram-sums")
+    runs = staged(_count(docs, text, keys, lambda k: bucket_of(mix(k), n_pairs), n_pairs).mapInArrow(put_pairs, RUNS), "ngram-sums")
     counted = [sum(x) for x in zip(*(np.frombuffer(r.data, np.int64).tolist() for r in runs.where("kind = 'counts'").select("data").toLocalIterator()), strict=True)] or [0] * 4
 
     # 3. totals, kinds and preceders of words, as files beside their hashes
     discounts = _discounts(counted)
 
     def put_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (number, total, k1, k2, k3, before) in _merged(batches, 6):
+        for b, (number, total, k1, k2, k3, before) in merged_runs(batches, 6):
             at = number.astype(np.int64) - sum(words[:b])
             spare = discounts[0] * k1 + discounts[1] * k2 + discounts[2] * k3
             for name, x, kind in (("total", total, np.int64), ("kinds", spare, np.float64), ("preceders", before, np.int64)):
                 full = np.zeros(words[b], kind)
                 full[at] = x
-                _save(here, name, b, full)
+                save_array(here, name, b, full)
             n = np.bincount(np.minimum(before.astype(np.int64), 5), minlength=6)
             yield pa.RecordBatch.from_pydict({"mass": [int(before.sum())], **{f"n{i}": [int(n[i])] for i in range(1, 5)}, "many": [int(n[3:].sum())]})
 
@@ -291,7 +197,7 @@ def log_probabilities(model: Model, column: pa.Array) -> tuple[np.ndarray, np.nd
     starts = np.cumsum(lens) - lens
     by_word, by_pair, first = _arrays(model.folder, model.words, model.pairs)
     known, at = np.unique(h, return_inverse=True)
-    bucket = _bucket(known, by_word.buckets)
+    bucket = bucket_of(known, by_word.buckets)
     own = by_word.find(known, bucket, 0)
     number = np.where(own[0], first[bucket.astype(np.int64)] + own[1], -1)
     count, total, before = (np.zeros(len(known), np.int64) for _ in range(3))
@@ -311,7 +217,7 @@ def log_probabilities(model: Model, column: pa.Array) -> tuple[np.ndarray, np.nd
     both = (number[left] >= 0) & (number[at] >= 0)
     pair = np.where(both, number[left] << 32 | np.maximum(number[at], 0), -1).astype(np.uint64)
     some, back = np.unique(pair, return_inverse=True)
-    _, _, (seen,) = by_pair.find(some, _bucket(mix(some), by_pair.buckets), 1)
+    _, _, (seen,) = by_pair.find(some, bucket_of(mix(some), by_pair.buckets), 1)
     c = np.where(both, seen[back], 0)
     all_, spare = total[left], kinds[left]
     off = np.array([0.0, *model.discounts])[np.minimum(c, 3)]

@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_text, licenses, ngram_lm, quality, sharding, simhash, token_files
+from . import bpe, decontamination, html_text, imatch, licenses, ngram_lm, quality, sharding, simhash, token_files
 from ._common import table
 from .license_texts import NOTICES, SPELLINGS, TEXTS
 
@@ -52,6 +52,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, files, kind=docs.schema["doc_id"].dataType)
 
 
+def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return imatch.compare_with_edits(docs, imatch.build_lexicon(docs))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -61,7 +66,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_lm, op2_extendible_sharding, op3_decontamination, op4_simhash_near_dedup, op5_byte_level_bpe, op6_quality_classifier, op7_token_files, op9_html_extraction, op10_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_extendible_sharding, op3_decontamination, op4_simhash_near_dedup, op5_byte_level_bpe, op6_quality_classifier, op7_token_files, op8_imatch_fingerprints, op9_html_extraction, op10_license_scan)}
 
 
 def sharding_sql(max_bytes: int = SHARD_BYTES) -> str:

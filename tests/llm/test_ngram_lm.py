@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from gridloom.llm import ngram_lm
+from gridloom.llm import ngram_lm, runs
 from pyspark.sql import functions as F
 
 
@@ -66,7 +66,7 @@ def test_against_brute_force(spark, sf, bucket_bytes, monkeypatch):
 
 def test_runs():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
-    back = ngram_lm.unpack(ngram_lm.pack([keys, np.arange(len(keys))]), 2)
+    back = runs.unpack(runs.pack([keys, np.arange(len(keys))]), 2)
     assert (back[0] == keys).all() and (back[1] == np.arange(len(keys))).all()
 
 
