@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 #: Pieces kept at most.
-MOST = 800_000
+MOST = 300_000
 #: Texts whose white space is more than single spaces and line ends between other characters.
 _ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
