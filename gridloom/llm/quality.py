@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import blocks, ready, text_bytes
+from ._common import blocks, ready, staged, text_bytes
 
 CHUNK, STRIDE, WIDTH, FILTERS = 16, 8, 8, 24
 #: Labelled rows of each class that the network learns from at most, and bytes of their texts.
@@ -103,20 +103,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", tex
     returned is the share of class 1, or 0.5 without any rows.
     """
     known = labels.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{label}`").cast("int").alias("y")).where("y in (0, 1)").groupBy("_key").agg(F.max("y").alias("y"))
-    pool = docs.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(known, "_key")
-    counts = dict(pool.groupBy("y").count().collect())
+    # lengths before the join, so that no texts are shuffled and the sample is bounded in bytes too
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    heads = docs.select(F.col(f"`{key}`").alias("_key"), F.octet_length(body).alias("n")).join(known, "_key").withColumn("h", F.xxhash64(F.col("_key").cast("string"), F.col("y")))
+    heads = staged(heads.groupBy("_key", "h", "y").agg(F.max("n").alias("n"), F.count("*").alias("rows")), "labelled")
+    counts = {r.y: r.n for r in heads.groupBy("y").agg(F.sum("rows").alias("n")).collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
-    texts, ys, weights = [], [], []
-    for y, n in sorted(counts.items()):
-        # lengths first, so that the texts fetched are bounded in bytes too
-        heads = pool.where(F.col("y") == y).select("_key", F.octet_length("text").alias("n"), F.xxhash64(F.col("_key").cast("string"), F.lit(y)).alias("h")).orderBy("h", "_key", "n").limit(rows).collect()
-        total = np.cumsum([h.n for h in heads])
-        heads = heads[: max(1, int(np.searchsorted(total, size, side="right")))]
-        got = pool.where((F.col("y") == y) & F.col("_key").isin([h._key for h in heads])).select("_key", "text").distinct().orderBy("_key", "text").limit(len(heads)).collect()
-        texts += [r.text.encode() for r in got]
-        ys += [y] * len(got)
-        weights += [n / sum(counts.values()) * 2 / len(got)] * len(got)
+    label_of: dict = {}
+    for y in sorted(counts):
+        first = heads.where(F.col("y") == y).select("_key", "n").orderBy("h", "_key").limit(rows).collect()
+        total = np.cumsum([r.n for r in first])
+        label_of |= {r._key: y for r in first[: max(1, int(np.searchsorted(total, size, side="right")))]}
+    # of rows that share a key one text is learnt from
+    got = docs.where(F.col(f"`{key}`").isin(list(label_of))).groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min(body).alias("text")).orderBy("_key").collect()
+    texts, ys = [r.text.encode() for r in got], [label_of[r._key] for r in got]
+    weights = [counts[y] / sum(counts.values()) * 2 / ys.count(y) for y in ys]
     w = np.array(weights) * len(texts) / 2
     return learn(texts, np.array(ys, np.float32), w.astype(np.float32))
 
