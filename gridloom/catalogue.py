@@ -2,10 +2,223 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators.labels import infer_labels
+from .operators.order import search_values
+from .operators.rules import Rule
+from .plans.table import Table, saved
+from .sources import delimited, files
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: A unique key of each table: the order of its rows.
+KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, **columns) -> Table:
+    """A table, or some expressions over it; its key stays."""
+    df = _read(spark, sf_dir, name)
+    if columns:
+        df = df.select(KEYS[name], *(F.expr(e).alias(c) for c, e in columns.items()))
+    return Table.from_dataframe(df, [KEYS[name]])
+
+
+def _filter(name: str, *rules: Rule, conjunction: str = "AND") -> Query:
+    return lambda spark, sf: _table(spark, sf, name).filter(rules, conjunction).to_df()
+
+
+def _sorted(name: str, *sorts: tuple[str, bool], columns: tuple[str, ...] = (), rules: tuple[Rule, ...] = (), **made) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        t = _table(spark, sf, name, **made).filter(rules)
+        for by, descending in sorts:
+            t = t.sort(by, descending)
+        return t.positions().select(KEYS[name], *columns, "pos")
+
+    return run
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a status over a price, with their customers, the dearest first."""
+    orders = _table(spark, sf_dir, "orders").filter([Rule("o_orderstatus", "equals", "f"), Rule("o_totalprice", "gt", "100000")])
+    both = Table.from_dataframe(orders.to_df(), ["o_orderkey"]).join(_table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", "inner", unique_other=True)
+    return Table.from_dataframe(both, ["o_orderkey"]).sort("o_totalprice", True).page(0, 1000)
+
+
+def _filter_is_empty(spark: SparkSession, sf: str) -> DataFrame:
+    t = _table(spark, sf, "orders", prio=EXPRESSIONS["blank_priority"])
+    return t.filter([Rule("prio", "is_empty")]).to_df()
+
+
+def _filter_count(spark: SparkSession, sf: str) -> DataFrame:
+    lines = Table(_read(spark, sf, "lineitem"), ("l_orderkey",)).filter([Rule("l_quantity", "gt", "45")])
+    return lines.to_df().agg(F.count("*").alias("n"))
+
+
+def _unique(name: str, by: str, sample_rows: int | None = None) -> Query:
+    return lambda spark, sf: _table(spark, sf, name).unique(by, sample_rows)
+
+
+def _fill(name: str, column: str, expression: str, kind: str, value: str = "", as_name: str | None = None) -> Query:
+    made = as_name or column
+    return lambda spark, sf: _table(spark, sf, name, **{made: expression}).fill_missing(made, kind, value, sample_rows=None)
+
+
+def _join(a: str, b: str, key_a: str, key_b: str, kind: str, keep_a: tuple[str, ...] = (), keep_b: tuple[str, ...] = (), where_a: str = "true", unique: bool = True) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        left, right = _read(spark, sf, a).where(where_a), _read(spark, sf, b)
+        left = left.select(*keep_a) if keep_a else left
+        right = right.select(*dict.fromkeys([key_b, KEYS[b], *keep_b])) if keep_b else right
+        out = Table.from_dataframe(left, [KEYS[a]]).join(Table.from_dataframe(right, [KEYS[b]]), key_a, key_b, kind, unique_other=unique)
+        return out.select(*left.columns, *(f"{c}_b" for c in keep_b)) if keep_b else out
+
+    return run
+
+
+def _edit_append(spark: SparkSession, sf: str) -> DataFrame:
+    t = Table.from_dataframe(_read(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("r_regionkey"), "r_name"), ["r_regionkey"])
+    return t.edit(6, "r_name", "NEW").to_df()
+
+
+def _save_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    t = _table(spark, sf, "nation", n_name="n_name").edit(3, "n_name", "DRAFT").edit(3, "n_name", "EDITED")
+    return delimited.read_csv(spark, saved(t, "save-overlay"))[0]
+
+
+def _scan_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = files.scratch(spark, "scan-csv")
+    delimited.write_csv(_read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, ";")
+    return Table.open(spark, path, multi_line=False).to_df()
+
+
+def _table_stats(spark: SparkSession, sf: str) -> DataFrame:
+    t = _table(spark, sf, "orders")
+    return t.to_df().agg(F.count("*").alias("total_rows"), (F.count("*") * len(t.base.columns)).alias("total_fields"))
+
+
+EXPRESSIONS = {
+    "blank_priority": "CASE WHEN o_orderkey % 7 = 0 THEN '  ' ELSE o_orderpriority END",
+    "missing_size": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END",
+    "missing_brand": "CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END",
+    "odd_customer": "CASE WHEN o_orderkey % 11 = 0 THEN 'n/a' ELSE CAST(o_custkey AS STRING) END",
+}
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "filter_equals": _filter("customer", Rule("c_mktsegment", "equals", "building")),
+        "filter_contains": _filter("part", Rule("p_name", "contains", "RED")),
+        "filter_starts_with": _filter("part", Rule("p_type", "starts_with", "eco")),
+        "filter_ends_with": _filter("part", Rule("p_name", "ends_with", "WIDGET")),
+        "filter_is_empty": _filter_is_empty,
+        "filter_regex": _filter("part", Rule("p_brand", "regex", "^Brand#1[0-9]$")),
+        "filter_num_eq": _filter("part", Rule("p_size", "eq", "11.0")),
+        "filter_num_ne": _filter("part", Rule("p_size", "ne", "11")),
+        "filter_text_ne": _filter("orders", Rule("o_orderstatus", "not_equals", "f")),
+        "filter_gt": _filter("orders", Rule("o_totalprice", "gt", "400000")),
+        "filter_lt": _filter("customer", Rule("c_acctbal", "lt", "0")),
+        "filter_in_json": _filter("events", Rule("event_type", "in", '["click", "PURCHASE"]')),
+        "filter_in_csv": _filter("documents", Rule("lang", "in", "EN, de")),
+        "filter_and": _filter("orders", Rule("o_orderstatus", "equals", "f"), Rule("o_totalprice", "gt", "300000")),
+        "filter_or": _filter("orders", Rule("o_orderstatus", "equals", "f"), Rule("o_totalprice", "gt", "300000"), conjunction="OR"),
+        "filter_no_rules": _filter("nation"),
+        "filter_unknown_column": _filter("orders", Rule("o_totalprice", "gt", "400000"), Rule("no_such_column", "equals", "x")),
+        "filter_count": _filter_count,
+        "sort_text_asc": _sorted("part", ("p_name", False), columns=("p_name",)),
+        "sort_text_desc": _sorted("part", ("p_name", True), columns=("p_name",)),
+        "sort_numeric_asc": _sorted("customer", ("c_acctbal", False), columns=("c_acctbal",)),
+        "sort_numeric_desc": _sorted("orders", ("v", True), columns=("v",), v=EXPRESSIONS["odd_customer"]),
+        "sort_chained": _sorted("orders", ("o_totalprice", True), ("o_orderpriority", False)),
+        "sort_filtered": _sorted("orders", ("o_totalprice", True), rules=(Rule("o_orderstatus", "equals", "f"),)),
+        "page": lambda spark, sf: _table(spark, sf, "orders").page(200, 100),
+        "unique_text": _unique("customer", "c_mktsegment"),
+        "unique_numeric": _unique("part", "p_size"),
+        "unique_capped": lambda spark, sf: _table(spark, sf, "events").unique_values("user_id", 500),
+        "unique_search": lambda spark, sf: search_values(_table(spark, sf, "part").unique_values("p_type", None), "AN"),
+        "dedupe_single": lambda spark, sf: _table(spark, sf, "orders").dedupe(["o_custkey"]),
+        "dedupe_composite": lambda spark, sf: _table(spark, sf, "events").dedupe(["user_id", "event_type"]),
+        "dedupe_text": lambda spark, sf: _table(spark, sf, "documents").dedupe(["text"]).select("doc_id", "lang", "source"),
+        "trim_columns": lambda spark, sf: _table(spark, sf, "part", p_name="concat('  ', p_name, ' ')").trim(["p_name", "no_such_column"]),
+        "fill_value": _fill("orders", "prio", EXPRESSIONS["blank_priority"], "Value", "UNKNOWN"),
+        "fill_mean": _fill("part", "sz", EXPRESSIONS["missing_size"], "Mean"),
+        "fill_median": _fill("part", "sz", EXPRESSIONS["missing_size"], "Median"),
+        "fill_mode": _fill("part", "b", EXPRESSIONS["missing_brand"], "Mode"),
+        "fill_drop": _fill("orders", "prio", EXPRESSIONS["blank_priority"], "Drop"),
+        "join_inner": _join("supplier", "nation", "s_nationkey", "n_nationkey", "inner"),
+        "join_left": _join("customer", "supplier", "c_custkey", "s_suppkey", "left", ("c_custkey", "c_name"), ("s_name",)),
+        "join_right": _join("supplier", "customer", "s_suppkey", "c_custkey", "right", ("s_suppkey", "s_name"), ("c_name",)),
+        "join_outer": _join("part", "customer", "p_partkey", "c_custkey", "outer", ("p_partkey", "p_name"), ("c_name",), where_a="p_partkey >= 500"),
+        "join_last_wins": _join("customer", "orders", "c_custkey", "o_custkey", "inner", ("c_custkey", "c_name"), ("o_orderkey", "o_orderpriority"), unique=False),
+        "split_rows": lambda spark, sf: _table(spark, sf, "orders").split_rows(4000).groupBy("part").agg(F.count("*").alias("n")),
+        "split_column": lambda spark, sf: _table(spark, sf, "orders").split_by("o_orderpriority").groupBy("part").agg(F.count("*").alias("n")),
+        "edit_overlay": lambda spark, sf: _table(spark, sf, "nation", n_name="n_name").edit(3, "n_name", "EDITED").to_df(),
+        "edit_append": _edit_append,
+        "save_overlay": _save_overlay,
+        "scan_csv": _scan_csv,
+        "table_stats": _table_stats,
+        "infer_types": lambda spark, sf: infer_labels(_read(spark, sf, "events"), [F.col("event_id")]),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    prio, size, brand, odd = (EXPRESSIONS[k].replace("STRING", "VARCHAR") for k in ("blank_priority", "missing_size", "missing_brand", "odd_customer"))
+    return {
+        "filter_equals": "SELECT * FROM customer WHERE lower(c_mktsegment) = 'building'",
+        "filter_contains": "SELECT * FROM part WHERE contains(lower(p_name), 'red')",
+        "filter_starts_with": "SELECT * FROM part WHERE starts_with(lower(p_type), 'eco')",
+        "filter_ends_with": "SELECT * FROM part WHERE ends_with(lower(p_name), 'widget')",
+        "filter_is_empty": f"SELECT * FROM (SELECT o_orderkey, {prio} AS prio FROM orders) WHERE trim(prio) = ''",
+        "filter_regex": "SELECT * FROM part WHERE regexp_matches(p_brand, '^Brand#1[0-9]$')",
+        "filter_num_eq": "SELECT * FROM part WHERE abs(CAST(p_size AS DOUBLE) - 11) < 2.220446049250313e-16",
+        "filter_num_ne": "SELECT * FROM part WHERE abs(CAST(p_size AS DOUBLE) - 11) >= 2.220446049250313e-16",
+        "filter_text_ne": "SELECT * FROM orders WHERE lower(o_orderstatus) <> 'f'",
+        "filter_gt": "SELECT * FROM orders WHERE o_totalprice > 400000",
+        "filter_lt": "SELECT * FROM customer WHERE c_acctbal < 0",
+        "filter_in_json": "SELECT * FROM events WHERE lower(event_type) IN ('click', 'purchase')",
+        "filter_in_csv": "SELECT * FROM documents WHERE lower(lang) IN ('en', 'de')",
+        "filter_and": "SELECT * FROM orders WHERE lower(o_orderstatus) = 'f' AND o_totalprice > 300000",
+        "filter_or": "SELECT * FROM orders WHERE lower(o_orderstatus) = 'f' OR o_totalprice > 300000",
+        "filter_no_rules": "SELECT * FROM nation",
+        "filter_unknown_column": "SELECT * FROM orders WHERE o_totalprice > 400000",
+        "filter_count": "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 45",
+        "sort_text_asc": "SELECT p_partkey, p_name, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS pos FROM part",
+        "sort_text_desc": "SELECT p_partkey, p_name, row_number() OVER (ORDER BY lower(p_name) DESC, p_partkey) AS pos FROM part",
+        "sort_numeric_asc": "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS pos FROM customer",
+        "sort_numeric_desc": f"SELECT o_orderkey, v, row_number() OVER (ORDER BY (TRY_CAST(v AS DOUBLE) IS NULL), TRY_CAST(v AS DOUBLE) DESC, o_orderkey) AS pos FROM (SELECT o_orderkey, {odd} AS v FROM orders)",
+        "sort_chained": "SELECT o_orderkey, row_number() OVER (ORDER BY lower(o_orderpriority), o_totalprice DESC, o_orderkey) AS pos FROM orders",
+        "sort_filtered": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders WHERE lower(o_orderstatus) = 'f'",
+        "page": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200",
+        "unique_text": "SELECT v, row_number() OVER (ORDER BY v) AS pos FROM (SELECT DISTINCT trim(c_mktsegment) AS v FROM customer)",
+        "unique_numeric": "SELECT v, row_number() OVER (ORDER BY v) AS pos FROM (SELECT DISTINCT p_size AS v FROM part)",
+        "unique_capped": "SELECT DISTINCT user_id AS v FROM (SELECT user_id FROM events ORDER BY event_id LIMIT 500)",
+        "unique_search": "SELECT v FROM (SELECT DISTINCT trim(p_type) AS v FROM part) WHERE contains(lower(v), 'an')",
+        "dedupe_single": "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1",
+        "dedupe_composite": "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1",
+        "dedupe_text": "SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
+        "trim_columns": "SELECT p_partkey, trim('  ' || p_name || ' ') AS p_name FROM part",
+        "fill_value": f"SELECT o_orderkey, CASE WHEN trim(prio) = '' THEN 'UNKNOWN' ELSE prio END AS prio FROM (SELECT o_orderkey, {prio} AS prio FROM orders)",
+        "fill_mean": f"WITH d AS (SELECT p_partkey, {size} AS sz FROM part) SELECT p_partkey, coalesce(CAST(sz AS DOUBLE), (SELECT avg(sz) FROM d)) AS sz FROM d",
+        "fill_median": f"WITH d AS (SELECT p_partkey, {size} AS sz FROM part) SELECT p_partkey, coalesce(CAST(sz AS DOUBLE), (SELECT median(sz) FROM d)) AS sz FROM d",
+        "fill_mode": f"WITH d AS (SELECT p_partkey, {brand} AS b FROM part), m AS (SELECT b FROM d WHERE b <> '' GROUP BY b ORDER BY count(*) DESC, b LIMIT 1) SELECT p_partkey, CASE WHEN b = '' THEN (SELECT b FROM m) ELSE b END AS b FROM d",
+        "fill_drop": "SELECT o_orderkey, o_orderpriority AS prio FROM orders WHERE o_orderkey % 7 <> 0",
+        "join_inner": "SELECT s.*, n_name AS n_name_b, n_regionkey AS n_regionkey_b FROM supplier s JOIN nation ON s_nationkey = n_nationkey",
+        "join_left": "SELECT c_custkey, c_name, coalesce(s_name, '') AS s_name_b FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey",
+        "join_right": "SELECT coalesce(s_suppkey, c_custkey) AS s_suppkey, coalesce(s_name, '') AS s_name, c_name AS c_name_b FROM supplier RIGHT JOIN customer ON s_suppkey = c_custkey",
+        "join_outer": "SELECT coalesce(p_partkey, c_custkey) AS p_partkey, coalesce(p_name, '') AS p_name, coalesce(c_name, '') AS c_name_b FROM (SELECT * FROM part WHERE p_partkey >= 500) p FULL JOIN customer ON p_partkey = c_custkey",
+        "join_last_wins": "WITH b AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT c_custkey, c_name, o_orderkey AS o_orderkey_b, o_orderpriority AS o_orderpriority_b FROM customer JOIN b ON c_custkey = o_custkey",
+        "split_rows": "SELECT part, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 4000 + 1 AS part FROM orders) GROUP BY part",
+        "split_column": r"SELECT CASE WHEN k = '' THEN 'empty' ELSE k END AS part, count(*) AS n FROM (SELECT regexp_replace(o_orderpriority, '[^\p{L}\p{N}]', '_', 'g') AS k FROM orders) GROUP BY 1",
+        "edit_overlay": "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'EDITED' ELSE n_name END AS n_name FROM nation",
+        "edit_append": "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region UNION ALL SELECT '', '' UNION ALL SELECT '', 'NEW'",
+        "save_overlay": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CASE WHEN n_nationkey = 3 THEN 'EDITED' ELSE n_name END AS n_name FROM nation",
+        "scan_csv": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer",
+        "table_stats": "SELECT count(*) AS total_rows, count(*) * 6 AS total_fields FROM orders",
+        "infer_types": "SELECT * FROM (VALUES ('event_id', 'Numeric'), ('ts', 'Datetime'), ('user_id', 'Numeric'), ('event_type', 'String'), ('value', 'Numeric'), ('props', 'String')) t(name, data_type)",
+    }
