@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 import os
+import string
 import tempfile
 import uuid
 import zlib
@@ -32,7 +33,7 @@ from .pieces import PieceTable
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 64
 #: Words whose ids are kept at most.
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 #: A byte-level vocabulary writes each byte as a visible character: itself, or one from 256 on in order.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
@@ -42,7 +43,6 @@ _SHOWN = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted(set
 def _tokenizer(path: str):
     """The tokenizer, its table of pieces and its number of ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import regex
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
@@ -50,22 +50,31 @@ def _tokenizer(path: str):
 
     # the tables hold very many small objects and no cycles, which a collection would walk in vain
     gc.set_threshold(1_000_000, 50, 100)
-    match, model, known = regex.compile(r"( ?\p{L}+)([^\s\p{L}\p{N}]*)").fullmatch, own.model, {}
+    model, known, signs = own.model, {}, string.punctuation
 
     def merged(word: str) -> list[int]:
         """Ids of a word that the pattern does not split, by the library's merges alone; words recur with other signs after them."""
         ids = known.get(word)
         if ids is None:
-            ids = known[word] = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))]
+            shown = ("\u0120" + word[1:] if word[0] == " " else word) if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+            ids = known[word] = [t.id for t in model.tokenize(shown)]
         return ids
 
+    def plain(piece: str) -> list[int] | None:
+        """Ids of a word of letters with signs after it, or without: two matches, or one. None for other pieces."""
+        word = piece.rstrip(signs)
+        if not (word[1:] if word[:1] == " " else word).isalpha():
+            return None
+        return merged(word) + merged(piece[len(word) :]) if len(word) < len(piece) else merged(word)
+
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > MOST_WORDS:
             known.clear()
-        words = [match(p) for p in pieces]
-        rest = [p for p, w in zip(pieces, words, strict=True) if not w]
-        others = iter([e.ids for k in range(0, len(rest), 4096) for e in own.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False)])
-        found = [(merged(w[1]) + merged(w[2]) if w[2] else merged(w[1])) if w else next(others) for w in words]
+        found = list(map(plain, pieces))
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for k in range(0, len(rest), 4096):
+            for i, e in zip(rest[k : k + 4096], own.encode_batch_fast([pieces[i] for i in rest[k : k + 4096]], add_special_tokens=False), strict=True):
+                found[i] = e.ids
         lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lens.sum())), lens
 
