@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,16 +51,26 @@ def java_pattern(spark: SparkSession, pattern: str) -> str | None:
     bare = re.sub(r"\\\\", "", pattern)
     if re.search(r"\(\?(<?[=!])|\\[1-9]|\\k<", bare):
         return None
-    own = "(?Ud)" + pattern.replace("(?P<", "(?<")
+    own = "(?Ud)" + _ends_for_good(pattern.replace("(?P<", "(?<"))
     try:
         spark._jvm.java.util.regex.Pattern.compile(own)
-    except Exception as e:  # py4j wraps the compiler's error
-        if "PatternSyntaxException" in str(e) or "IllegalArgumentException" in str(e):
-            return None
-        raise
+    except IllegalArgumentException:
+        return None
     return own
 
 
+def _ends_for_good(pattern: str) -> str:
+    r"""$ as \z, which a line end that closes the text does not satisfy; with the flag m it stays, as the end of a line."""
+    if re.search(r"\(\?[a-zA-Z]*m", pattern):
+        return pattern
+    parts, inside = re.findall(r"\\.|.", pattern, re.DOTALL), 0
+    for i, p in enumerate(parts):
+        inside += (p == "[") - (p == "]" and inside > 0)
+        if p == "$" and not inside:
+            parts[i] = r"\z"
+    return "".join(parts)
+
+
 def _condition(df: DataFrame, rule: Rule) -> Column:
     text, value, false = as_text(df, rule.column), rule.value, F.lit(False)
     k = parse_number(value)
@@ -78,7 +89,7 @@ def _condition(df: DataFrame, rule: Rule) -> Column:
         return text.rlike(pattern) if pattern is not None else false
     gap = F.abs(number - F.lit(k)) if k is not None else None
     if rule.operator == "eq":
-        return F.coalesce((gap < EPSILON) & ~F.isnan(gap), false) if comparable else false
+        return (gap < EPSILON) & ~F.isnan(gap) if comparable else false
     if rule.operator in ("ne", "neq", "not_equals", "!="):
         if k is None:
             return ~same
@@ -86,8 +97,9 @@ def _condition(df: DataFrame, rule: Rule) -> Column:
     if rule.operator in ("gt", "lt"):
         if not comparable:
             return false
+        # no number gives null, which passes no row; written so that a plain column's comparison reaches the scan
         found = number > k if rule.operator == "gt" else number < k
-        return F.coalesce(found & ~F.isnan(number), false)
+        return found & ~F.isnan(number)
     if rule.operator == "in":
         some = members(value)
         return F.lower(text).isin([F.lower(F.lit(x)) for x in some]) if some else false

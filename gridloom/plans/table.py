@@ -140,7 +140,7 @@ class Table:
         if missing := [n for n in names or self.base.columns if n not in self.known_labels]:
             firsts = order.first_rows(self.base, [F.col(f"`{c}`") for c in self.order_by], labels.SAMPLE_ROWS) if self.order_by else self.base.limit(labels.SAMPLE_ROWS)
             self.known_labels.update(tuple(r) for r in labels.infer_labels(firsts.select(*(F.col(f"`{n}`") for n in missing)), (), None).collect())
-        return {n: self.known_labels[n] for n in names or self.base.columns}
+        return {n: self.known_labels.get(n, "String") for n in names or self.base.columns}
 
     def metadata(self) -> Metadata:
         d, n = self.dialect, self.count()

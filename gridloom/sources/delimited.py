@@ -46,18 +46,21 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", single_file: bool
     """Writes beside the target and then takes its place, so that a table may be saved over what it is read from.
 
     single_file: one file named path (all rows pass one task, in order); else a folder
-    of files whose order is that of the rows.
+    of files whose order is that of the rows. Repeated headers are written in a single
+    file only; in a folder each file has the columns' distinct names.
     """
     spark = df.sparkSession
     aside = f"{path.rstrip('/')}.new-{files.scratch(spark, 'x').rpartition('-')[2]}"
     text = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
-    header = headers is None or len(set(headers)) == len(headers)
-    if headers is not None and header:
+    header = headers is None or len(set(headers)) == len(headers) or not single_file
+    if headers is not None and len(set(headers)) == len(headers):
         text = text.toDF(*headers)
-    elif not header:  # Spark has no repeated names: the header goes out as a row before all others
-        first = spark.createDataFrame([tuple(headers)], text.schema)
-        text = first.coalesce(1).union(text)
-    out = text.coalesce(1) if single_file else text
+    out = text
+    if single_file:
+        rows = text.withColumn("_at", F.monotonically_increasing_id())
+        if not header:  # Spark writes no repeated names: the header goes out as a row before all others
+            rows = rows.union(spark.createDataFrame([(*headers, -1)], rows.schema))
+        out = rows.repartition(1).sortWithinPartitions("_at").drop("_at")
     out.write.options(header=header, sep=delimiter, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(aside)
     if not single_file:
         files.replace(spark, aside, path)
