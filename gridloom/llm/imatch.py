@@ -28,7 +28,7 @@ from .runs import RUNS, MappedArrays, cut_runs, merged_runs, save_array, summed
 #: Kept terms are in at least and at most these shares of the documents (and in two at least).
 LEAST, MOST = 1 / 2000, 1 / 20
 #: Parts of each size, and the sizes as powers of a quarter; size 0 is the whole lexicon, once.
-PARTS, SIZES = 12, 5
+PARTS, SIZES = 24, 5
 #: Bits of a term's hash that name it.
 TERM = np.uint64(44)
 #: Entries of a task's counts before it sends them on.
@@ -100,7 +100,7 @@ def build_lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, mos
 
 
 def signatures(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """A row of 32-bit hashes for each text: the whole lexicon's, then each part's; 0 where a part has no term of the text."""
+    """A row of 16-bit hashes for each text: the whole lexicon's, then each part's; 0 where a part has no term of the text."""
     terms, n = distinct_terms(column)
     text = np.repeat(np.arange(len(n)), n)
     known, back = np.unique(terms, return_inverse=True)
@@ -111,7 +111,7 @@ def signatures(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     kept |= (np.bincount(text[kept], minlength=len(n)) == 0)[text]
     terms, text = terms[kept], text[kept]
     n = np.bincount(text, minlength=len(n))
-    out = np.zeros((len(n), len(_SHARES)), np.uint32)
+    out = np.zeros((len(n), len(_SHARES)), np.uint16)
     full = np.flatnonzero(n)
     if not len(full):
         return out
@@ -122,7 +122,7 @@ def signatures(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         # terms are distinct and in order, so a sum of their hashes stands for the sorted list
         sums = np.add.reduceat(np.where(inside, mix(spread + _SALTS[2 * i + 1]), np.uint64(0)), starts)
         some = np.add.reduceat(inside.astype(np.int64), starts) > 0
-        out[full, i] = np.where(some, np.maximum((sums >> np.uint64(32)).astype(np.uint32), 1), 0)
+        out[full, i] = np.where(some, np.maximum((sums >> np.uint64(48)).astype(np.uint16), 1), 0)
     return out
 
 
@@ -139,13 +139,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _hex(rows: np.ndarray) -> list[str]:
-    raw = rows.astype(">u4").tobytes().hex()
-    width = rows.shape[1] * 8
+    raw = rows.astype(">u2").tobytes().hex()
+    width = rows.shape[1] * 4
     return [raw[i : i + width] for i in range(0, len(raw), width)] if width else []
 
 
 def fingerprints(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fingerprint (8 hexadecimal digits for the lexicon and for each part) of every row; equal texts have equal ones, null is empty."""
+    """key, fingerprint (4 hexadecimal digits for the lexicon and for each part) of every row; equal texts have equal ones, null is empty."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
