@@ -41,6 +41,15 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def mounted_dir(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir as a path that every machine can memory-map files of."""
+    path = local_path(shared_dir(spark, label))
+    if "://" in path:
+        raise ValueError(f"{path}: memory-mapped arrays need spark.checkpoint.dir to be a folder that all machines have mounted")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession

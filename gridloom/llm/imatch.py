@@ -10,7 +10,6 @@ an edit. A document with no term in the band counts all its terms.
 from __future__ import annotations
 
 import hashlib
-import os
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SIGNS, blocks, hash_words, local_path, mix, partitions, ready, shared_dir, text_bytes
+from ._common import SIGNS, blocks, hash_words, mix, mounted_dir, partitions, ready, text_bytes
 from .runs import RUNS, MappedArrays, cut_runs, merged_runs, save_array, summed
 
 #: Kept terms are in at least and at most these shares of the documents (and in two at least).
@@ -68,8 +67,7 @@ def _terms(lexicon: Lexicon) -> MappedArrays:
 def build_lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST) -> Lexicon:
     """Counts in how many documents each term is, over all of them, and writes those in the band. Null texts have no terms."""
     spark = ready(docs.sparkSession)
-    here = local_path(shared_dir(spark, "lexicon"))
-    os.makedirs(here, exist_ok=True)
+    here = mounted_dir(spark, "lexicon")
     total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()
     n = max(1, size // (64 << 20))
 

@@ -12,7 +12,6 @@ number, count), each cut into buckets. A word's number is its place in all words
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, hash_words, local_path, mix, ready, shared_dir, staged, text_bytes
+from ._common import blocks, hash_words, mix, mounted_dir, ready, staged, text_bytes
 from .runs import RUNS, MappedArrays, bucket_of, cut_runs, merged_runs, run, save_array, summed
 
 #: Bytes of text for each bucket, about, and entries of a task's counts before it sends them on.
@@ -123,9 +122,7 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 def train(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> Model:
     """Counts a bigram model over whole texts; a null text is empty. No rows give a model that knows nothing."""
     spark = ready(docs.sparkSession)
-    folder = shared_dir(spark, "ngrams")
-    here = local_path(folder)
-    os.makedirs(here, exist_ok=True)
+    here = mounted_dir(spark, "ngrams")
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     n_words, n_pairs = max(1, size // (4 * bucket_bytes)), max(1, size // bucket_bytes)
 
