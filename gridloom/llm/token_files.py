@@ -32,8 +32,6 @@ from .pieces import PieceTable
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 64
-#: Words whose ids are kept at most.
-MOST_WORDS = 100_000
 #: A byte-level vocabulary writes each byte as a visible character: itself, or one from 256 on in order.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
@@ -50,26 +48,23 @@ def _tokenizer(path: str):
 
     # the tables hold very many small objects and no cycles, which a collection would walk in vain
     gc.set_threshold(1_000_000, 50, 100)
-    model, known, signs = own.model, {}, string.punctuation
+    merge, signs = own.model.tokenize, string.punctuation
 
     def merged(word: str) -> list[int]:
-        """Ids of a word that the pattern does not split, by the library's merges alone; words recur with other signs after them."""
-        ids = known.get(word)
-        if ids is None:
-            shown = ("\u0120" + word[1:] if word[0] == " " else word) if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-            ids = known[word] = [t.id for t in model.tokenize(shown)]
-        return ids
+        """Ids of a word that the pattern does not split, by the library's merges alone."""
+        shown = ("\u0120" + word[1:] if word[0] == " " else word) if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        return [t.id for t in merge(shown)]
+
+    after = lru_cache(maxsize=4096)(merged)  # few different signs follow words
 
     def plain(piece: str) -> list[int] | None:
         """Ids of a word of letters with signs after it, or without: two matches, or one. None for other pieces."""
         word = piece.rstrip(signs)
         if not (word[1:] if word[:1] == " " else word).isalpha():
             return None
-        return merged(word) + merged(piece[len(word) :]) if len(word) < len(piece) else merged(word)
+        return merged(word) + after(piece[len(word) :]) if len(word) < len(piece) else merged(word)
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(known) > MOST_WORDS:
-            known.clear()
         found = list(map(plain, pieces))
         rest = [i for i, ids in enumerate(found) if ids is None]
         for k in range(0, len(rest), 4096):
