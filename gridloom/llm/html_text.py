@@ -42,13 +42,16 @@ _HEADINGS = frozenset("h1 h2 h3".split())
 #: An open element of these ends where one of the same kind, or the second kind, begins.
 _ENDS = {"p": "p", "li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option"}
 _WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus"
-    " footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion recommended related"
-    " replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot adunit alert banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie"
+    " cookies discussion disqus feedback footer gdpr header login masthead menu menus modal nav navbar navigation navlinks newsletter notice notices notification overlay pager pagination popup"
+    " promo promos promotion recommended related replies reply respond responses search share sharing sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subnav subscribe"
+    " subscription toast toolbar topbar topnav widget widgets".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 #: With these, "header" names the article's own head.
 _OWN = frozenset("article entry post story content".split())
+#: With these, a name says what a page has beside the element.
+_BESIDE = frozenset("has with without no".split())
 _CUT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -59,11 +62,15 @@ def _named_apart(name: str) -> bool:
     for one in name.split():
         words = {w.lower() for w in _CUT.split(one)}
         found = words & _WORDS
-        if found - {"header"} or found and not words & _OWN:
+        if found and not words & _BESIDE and (found - {"header"} or not words & _OWN):
             return True
     return False
 
 
+#: Set apart by a form alone.
+FORM = 2
+
+
 class _Lines(HTMLParser):
     """Lines of a page: text, tags before and in it, characters inside links, the element that holds it, and whether it is set apart."""
 
@@ -71,7 +78,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         # element n: its parent, whether it is an article, its first heading's line
         self.parents, self.kinds = [-1], ["html"]
-        self.stack = [("", 0, False, False)]  # name, holder, apart, unseen
+        self.stack: list[tuple[str, int, bool | int, bool]] = [("", 0, False, False)]  # name, holder, apart, unseen
         self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.parts: list[str] = []
         self.tags, self.heading = 0, False
@@ -107,13 +114,15 @@ class _Lines(HTMLParser):
             return
         _, holder, apart, unseen = self.stack[-1]
         unseen = unseen or tag in _UNSEEN
-        apart = apart or tag in _APART
-        if attrs and not (apart or unseen):
+        if tag in ("article", "main") and apart == FORM:
+            apart = False  # a form around the whole page
+        apart = apart or (FORM if tag == "form" else tag in _APART)
+        if attrs and not (unseen or apart and apart != FORM):
             for key, value in attrs:
                 if key in ("class", "id") and value and tag not in ("html", "body"):
-                    apart = apart or _named_apart(value)
+                    apart = (apart != FORM and apart) or _named_apart(value) or apart
                 elif key == "role" and value:
-                    apart = apart or value.lower() in _ROLES
+                    apart = (apart != FORM and apart) or value.lower() in _ROLES or apart
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and _HIDDEN.search(value):
                     unseen = True
         if tag == "header" and not any(self.kinds[h] in ("article", "main") for h in self._above(holder)):

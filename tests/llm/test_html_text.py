@@ -33,6 +33,7 @@ PAGES = {
     ),
     "sections": (f"<main><h1>T</h1><section><p>{LONG}</p></section><section><p>{LONG}<p>b</section><aside>{LONG}</aside><form><label>Mail</label>{LONG}</form></main>", f"T\n{LONG}\n{LONG}\nb"),
     "notices": (f"<div role='alert'>{LONG}</div><div class='cookie-consent'>{LONG}</div><article><header><h1>T</h1></header><p>{LONG}</p><p hidden>x</p><p style='display: none'>x</p><footer>{LONG}</footer></article><script>if (a < b) document.write('<p>x</p>')</script>", f"T\n{LONG}"),
+    "form around all": (f"<form id='f'><input><div class='menu'>{LONG}</div><main class='has-sidebar'><h1>T</h1><p>{LONG}</p><form><p>{LONG}</p></form><section class='reader-comments'><p>{LONG}</p></section></main></form>", f"T\n{LONG}"),
     "unclosed": (f"<article><p>One<b> two<p>{LONG}<ul><li>a<li>b</ul>", f"One two\n{LONG}\na\nb"),
     "references": ("<p>a&nbsp;&#98;&lt;c&gt; \n d&eacute;</p>", "a b<c> dé"),
     "inline": (f"<article><p>a<i>b</i>c <a href='x'>d</a>,</p><p>{LONG}</p></article>", f"abc d,\n{LONG}"),
