@@ -159,7 +159,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "
     """The rows of docs, with its columns, in which no window of the benchmark occurs; null texts have no words and stay."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_text"))
     hit = staged(Index(docs, benchmark, window, None, text, item_key).exact().select("doc").distinct(), "contaminated")
-    return rows.join(hit, F.md5(F.coalesce("_text", F.lit(""))) == F.col("doc"), "left_anti").select("_row.*")
+    return rows.join(_small(hit), F.md5(F.coalesce("_text", F.lit(""))) == F.col("doc"), "left_anti").select("_row.*")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 3, window: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:

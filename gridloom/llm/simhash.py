@@ -21,6 +21,8 @@ from ._common import blocks, ready, staged
 
 #: Fingerprints in a tile: 1/TILES of all, between LEAST and MOST.
 TILES, LEAST, MOST = 128, 8192, 1 << 20
+#: Numbers of dropped rows that are sent to every task, at most; of some 30 bytes each.
+BROADCAST_ROWS = 1_000_000
 #: Fingerprints in a block of a tile, and blocks of the other tile compared at a time.
 ROWS, COLUMNS = 128, 4096
 
@@ -217,6 +219,9 @@ def representatives(docs: DataFrame, radius: int = 4, words: int = 4, key: str =
     rows = staged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_n")), "simhash-rows")
     found = near_duplicates(rows.select("_n", F.col(f"_row.`{text}`").alias("text")), radius, words, "_n", "text")
     keys = rows.select("_n", F.col(f"_row.`{key}`").alias("key"))
-    first = F.min_by("_n", F.struct(F.col("key").isNull(), F.col("key"), F.col("_n")))
-    kept = staged(found.join(keys, "_n").groupBy("component_id").agg(first.alias("_n")).select("_n"), "simhash-kept")
-    return rows.join(kept, "_n", "left_semi").select("_row.*")
+    members = found.join(keys, "_n").select("component_id", "_n", "key")
+    first = members.groupBy("component_id").agg(F.min_by("_n", F.struct(F.col("key").isNull(), F.col("key"), F.col("_n"))).alias("_first"))
+    dropped = staged(members.join(first, "component_id").where("_n <> _first").select("_n"), "simhash-dropped")
+    # the texts are shuffled only if too many rows go for each task to know them
+    few = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(dropped) if few else dropped.hint("merge"), "_n", "left_anti").select("_row.*")
