@@ -149,10 +149,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key:
     index = Index(docs, benchmark, window, key, text, item_key)
     ids = _small(index.items.select("item", "item_id"))
     hits = index.exact().join(ids, "item").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item_id").alias("ids"))
-    hits = hits.select("doc", _covered(F.col("spans")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.concat_ws(",", F.array_sort("ids")).alias("items"))
+    listed = F.sha2(F.concat_ws(",", F.array_sort("ids")), 256)
+    hits = staged(hits.select("doc", _covered(F.col("spans")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), listed.alias("items_sha256")), "contaminated")
     none = F.lit(0).cast("long")
-    out = index.heads.join(hits, "doc", "left")
-    return out.select(F.col("key").alias(key), "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"))
+    out = index.heads.join(_small(hits), "doc", "left")
+    return out.select(F.col("key").alias(key), "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_key: str = "item_id") -> DataFrame:
