@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python task works on at a time.
 BLOCK_BYTES = 2 << 20
+#: Bytes that Spark gives a Python task at a time, about; its own bound is a number of rows, however long.
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import the package (a cluster ships it with --py-files)."""
+    """Lets Python workers on this machine import the package (a cluster ships it with --py-files), and bounds what they are given at a time."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(bound, str(2**31))) > ARROW_BYTES:
+        spark.conf.set(bound, str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
