@@ -24,9 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ready(spark: SparkSession) -> SparkSession:
     """Lets Python workers on this machine import the package (a cluster ships it with --py-files), and bounds what they are given at a time."""
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(bound, str(2**31))) > ARROW_BYTES:
-        spark.conf.set(bound, str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
