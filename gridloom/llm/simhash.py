@@ -220,8 +220,9 @@ def representatives(docs: DataFrame, radius: int = 4, words: int = 4, key: str =
     found = near_duplicates(rows.select("_n", F.col(f"_row.`{text}`").alias("text")), radius, words, "_n", "text")
     keys = rows.select("_n", F.col(f"_row.`{key}`").alias("key"))
     members = found.join(keys, "_n").select("component_id", "_n", "key")
-    first = members.groupBy("component_id").agg(F.min_by("_n", F.struct(F.col("key").isNull(), F.col("key"), F.col("_n"))).alias("_first"))
-    dropped = staged(members.join(first, "component_id").where("_n <> _first").select("_n"), "simhash-dropped")
+    first = members.groupBy("component_id").agg(F.min_by("_n", F.struct(F.col("key").isNull(), F.col("key"), F.col("_n"))).alias("_n"))
+    # by row numbers, of which none recurs: a large component meets in no task
+    dropped = staged(members.select("_n").join(first.select("_n"), "_n", "left_anti"), "simhash-dropped")
     # the texts are shuffled only if too many rows go for each task to know them
     few = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(dropped) if few else dropped.hint("merge"), "_n", "left_anti").select("_row.*")
