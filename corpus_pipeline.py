@@ -16,6 +16,8 @@ from gridloom.llm.queries import crc_is_two
 
 #: SQL can express neither the network nor the components; tests compare with brute force.
 ORACLE_SQL = None
+#: Bits by which fingerprints of near duplicates may differ at most, and the least similarity of near duplicates.
+NEAR_BITS, NEAR_SIMILARITY = 13, 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    return simhash.representatives(docs)
+    """One document of each component of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return simhash.representatives(docs, radius=NEAR_BITS, similarity=NEAR_SIMILARITY)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,17 +7,25 @@ a pair of tiles, the same bound on the population counts of 16-bit parts skips b
 What is left is compared exactly, by numpy's exclusive-or and bit counts. A pair of
 tiles returns a spanning forest of its links, never all of them, and components are
 found by large-star and small-star rounds over written tables.
+
+Links can be held to a least Jaccard similarity of word shingles: the fingerprints then
+only find candidates, and each is compared by the whole shingle sets of both texts,
+which tasks memory-map.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import blocks, ready, staged
+from ._common import blocks, hash_words, mix, mounted_dir, ready, staged, text_bytes
 
 #: Fingerprints in a tile: 1/TILES of all, between LEAST and MOST.
 TILES, LEAST, MOST = 128, 8192, 1 << 20
@@ -63,6 +71,52 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return rows.mapInArrow(each, T.StructType([rows.schema["key"], T.StructField("fp", T.LongType())]))
 
 
+def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles; a text of fewer words is one shingle, one without words has none."""
+    h, n = hash_words(raw, off)
+    ends = np.cumsum(n)
+    # a polynomial in an odd coefficient, so that the order of the words counts
+    step = np.uint64(0x9E3779B97F4A7C15)
+
+    def joined(k: int) -> np.ndarray:
+        out = np.zeros(max(0, len(h) - k + 1), np.uint64)
+        for i in range(k):
+            out = out * step + h[i : i + len(out)]
+        return mix(out)
+
+    of = {k: joined(k) for k in {words, *n[(n > 0) & (n < words)].tolist()}}
+    return [np.unique(of[min(words, c)][e - c : e - min(words, c) + 1]) if c else np.zeros(0, np.uint64) for c, e in zip(n.tolist(), ends.tolist(), strict=True)]
+
+
+def _written_sets(rows: DataFrame, folder: str, words: int, shingle: int) -> DataFrame:
+    """key, fp, node (digest of the shingle set), file, start, size (where in the folder the set is) for each row of key and text."""
+
+    def each(batches):
+        from xxhash import xxh64_intdigest as digest
+
+        file, at = TaskContext.get().taskAttemptId(), 0
+        with open(f"{folder}/{file}.u64", "wb") as f:
+            for block in blocks(batches):
+                column = block.column("text").fill_null("")
+                fp = shingle_bits(column.cast(pa.large_binary()).to_pylist(), words)
+                sets = shingle_sets(*text_bytes(column), shingle)
+                size = np.array([len(x) for x in sets], np.int64)
+                node = np.array([digest(x.tobytes()) for x in sets], np.uint64)
+                start = at + np.cumsum(size) - size
+                at += int(size.sum())
+                for x in sets:
+                    f.write(x.tobytes())
+                columns = [block.column("key"), *map(pa.array, (fp.view(np.int64), node.view(np.int64), np.full(len(sets), file, np.int64), start, size))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "node", "file", "start", "size"])
+
+    return rows.mapInArrow(each, T.StructType([rows.schema["key"], *(T.StructField(c, T.LongType()) for c in ("fp", "node", "file", "start", "size"))]))
+
+
+@lru_cache(maxsize=4096)
+def _mapped(path: str) -> np.ndarray:
+    return np.memmap(path, np.uint64, "r")
+
+
 _PARTS = np.array([0, 16, 32, 48], np.uint64)
 
 
@@ -77,15 +131,36 @@ class _Sorted:
     def __init__(self, fp: np.ndarray):
         p = _profile(fp)
         order = np.lexsort(p.T[::-1])
-        self.fp, p = fp[order], p[order]
+        self.order, self.fp, p = order, fp[order], p[order]
         self.at = np.arange(0, len(fp), ROWS)
         self.low, self.high = np.minimum.reduceat(p, self.at), np.maximum.reduceat(p, self.at)
 
 
+def _pairs(one: _Sorted, two: _Sorted | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in one and in two (two None: in one) of fingerprints at most radius bits apart, some at a time."""
+    other = one if two is None else two
+    for n, at in enumerate(one.at):
+        x = one.fp[at : at + ROWS]
+        gap = np.maximum(other.low - one.high[n], one.low[n] - other.high).clip(0).sum(axis=1)
+        near = gap <= radius
+        if two is None:
+            near[:n] = False
+        where = np.flatnonzero(near)
+        for k in range(0, len(where), COLUMNS // ROWS):
+            some = where[k : k + COLUMNS // ROWS]
+            cols = (other.at[some][:, None] + np.arange(ROWS)).ravel()
+            cols = cols[cols < len(other.fp)]
+            i, j = np.nonzero(np.bitwise_count(x[:, None] ^ other.fp[cols]) <= radius)
+            j = cols[j]
+            if two is None:
+                apart = i + at < j
+                i, j = i[apart], j[apart]
+            yield i + at, j
+
+
 def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two tiles, or within one (b None), as a spanning forest: (fingerprint, smaller fingerprint of its tree)."""
     one, two = _Sorted(a), None if b is None else _Sorted(b)
-    other = one if two is None else two
     base = 0 if two is None else len(a)
     every = one.fp if two is None else np.concatenate([one.fp, two.fp])
     label = np.arange(len(every))
@@ -104,23 +179,8 @@ def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
                     break
                 label[:] = up
 
-    for n, at in enumerate(one.at):
-        x = one.fp[at : at + ROWS]
-        gap = np.maximum(other.low - one.high[n], one.low[n] - other.high).clip(0).sum(axis=1)
-        near = gap <= radius
-        if two is None:
-            near[:n] = False
-        where = np.flatnonzero(near)
-        for k in range(0, len(where), COLUMNS // ROWS):
-            some = where[k : k + COLUMNS // ROWS]
-            cols = (other.at[some][:, None] + np.arange(ROWS)).ravel()
-            cols = cols[cols < len(other.fp)]
-            i, j = np.nonzero(np.bitwise_count(x[:, None] ^ other.fp[cols]) <= radius)
-            j = cols[j]
-            if two is None:
-                apart = i + at < j
-                i, j = i[apart], j[apart]
-            join(i + at, j + base)
+    for i, j in _pairs(one, two, radius):
+        join(i, j + base)
     # name each tree by its smallest fingerprint, as signed longs
     signed = every.view(np.int64)
     least = np.full(len(every), np.iinfo(np.int64).max)
@@ -130,8 +190,47 @@ def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
     return signed[kept], to[kept]
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
-    """src, dst: links that connect all fingerprints at most radius bits apart. distinct: a written table of distinct fp."""
+def link_similar(a: np.ndarray, b: np.ndarray | None, radius: int, size: np.ndarray, load: Callable[[int], np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links as in link_tiles, of those fingerprints whose sets also have the similarity, as places in a and b in line.
+
+    Sets are not compared where links found before connect two places already.
+    """
+    one, two = _Sorted(a), None if b is None else _Sorted(b)
+    place = one.order if two is None else np.concatenate([one.order, two.order + len(a)])
+    base, size = 0 if two is None else len(a), size[place]
+    label = list(range(len(place)))
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    src, dst = [], []
+    for i, j in _pairs(one, two, radius):
+        j = j + base
+        # the Jaccard similarity is at most the lesser size by the greater
+        may = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+        last, mine = -1, None
+        for x, y in zip(i[may].tolist(), j[may].tolist(), strict=True):
+            p, q = root(x), root(y)
+            if p == q:
+                continue
+            if x != last:
+                last, mine = x, load(int(place[x]))
+            both = len(np.intersect1d(mine, load(int(place[y])), assume_unique=True))
+            if both >= similarity * (size[x] + size[y] - both):
+                label[max(p, q)] = min(p, q)
+                src.append(int(place[x]))
+                dst.append(int(place[y]))
+    return src, dst
+
+
+def links(distinct: DataFrame, radius: int, similarity: float | None = None, folder: str = "") -> DataFrame:
+    """src, dst: links that connect all fingerprints at most radius bits apart. distinct: a written table of distinct fp.
+
+    With a similarity they connect nodes whose sets have it, too; distinct then has node, file, start, size besides.
+    """
     # at most 65 rows each: counts of fingerprints by population count
     counts = {r[0]: r[1] for r in distinct.groupBy(F.bit_count("fp").alias("ones")).count().collect()}
     size = min(MOST, max(LEAST, sum(counts.values()) // TILES))
@@ -148,8 +247,8 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     plan = spark.createDataFrame([(i, n) for n, p in enumerate(pairs) for i in sorted(set(p))], "tile int, pair int")
     first = spark.createDataFrame([(ones, number[(ones, 0)], m) for ones, m in many.items()], "ones int, first int, m int")
     ones = F.bit_count("fp")
-    dealt = distinct.withColumn("ones", ones.cast("int")).join(F.broadcast(first), "ones").select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")).alias("tile"), "fp")
-    packed = staged(dealt.groupBy("tile").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
+    dealt = distinct.withColumn("ones", ones.cast("int")).join(F.broadcast(first), "ones").select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")).alias("tile"), *distinct.columns)
+    packed = staged(dealt.groupBy("tile").agg(F.collect_list("fp" if similarity is None else F.struct("fp", "node", "file", "start", "size")).alias("fps")), "simhash-tiles")
     both = packed.join(F.broadcast(plan), "tile")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -157,8 +256,19 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         src, dst = link_tiles(fps[0], fps[1] if len(fps) > 1 else None, radius)
         return pa.table({"src": src, "dst": dst})
 
+    def compare_sets(group: pa.Table) -> pa.Table:
+        tiles = [x.values for x in group.column("fps").combine_chunks()]
+        fps = [x.field("fp").to_numpy(zero_copy_only=False).view(np.uint64) for x in tiles]
+        node, file, start, size = (np.concatenate([x.field(c).to_numpy(zero_copy_only=False) for x in tiles]) for c in ("node", "file", "start", "size"))
+
+        def load(i: int) -> np.ndarray:
+            return _mapped(f"{folder}/{file[i]}.u64")[start[i] : start[i] + size[i]] if size[i] else np.zeros(0, np.uint64)
+
+        src, dst = link_similar(fps[0], fps[1] if len(fps) > 1 else None, radius, size, load, similarity)
+        return pa.table({"src": node[np.array(src, np.int64)], "dst": node[np.array(dst, np.int64)]})
+
     n = max(1, min(len(pairs), 4 * distinct.sparkSession.sparkContext.defaultParallelism, 10_000))
-    return both.repartition(n, "pair").groupBy("pair").applyInArrow(compare, "src long, dst long")
+    return both.repartition(n, "pair").groupBy("pair").applyInArrow(compare if similarity is None else compare_sets, "src long, dst long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,23 +311,49 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, key: str =
     distinct = staged(fps.select("fp").distinct(), "simhash-distinct")
     # trees of different pairs of tiles may repeat each other
     found = components(staged(links(distinct, radius).distinct(), "simhash-links"))
-    least = fps.groupBy("fp").agg(F.min("key").alias("low"))
-    named = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return _named(fps, found, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(rows: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """The rows with the smallest key of their node's component."""
+    least = rows.groupBy(node).agg(F.min("key").alias("low"))
+    named = least.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = named.join(low, "component").select("fp", "component_id")
-    return fps.join(ids, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(named.join(low, "component").select(node, "component_id"), node)
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 13, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: key, component_id (smallest key of its component).
 
+    Documents are linked if their sets of shingles (runs of `shingle` words, A-Z as a-z)
+    have at least the Jaccard similarity; equal sets are linked whatever their
+    fingerprints, others are found as long as these differ in at most radius bits. Null
+    texts and texts without words have the empty set. Nulls, repeats and empty tables are
+    as in near_duplicates.
+    """
+    spark = ready(docs.sparkSession)
+    folder = mounted_dir(spark, "simhash-sets")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    sets = staged(_written_sets(rows, folder, words, shingle), "simhash")
+    one = F.min(F.struct("fp", "file", "start", "size")).alias("one")
+    distinct = staged(sets.groupBy("node").agg(one).select("node", "one.*"), "simhash-distinct")
+    found = components(staged(links(distinct, radius, similarity, folder).distinct(), "simhash-links"))
+    return _named(sets.select("key", "node"), found, "node").select(F.col("key").alias(key), "component_id")
 
-def representatives(docs: DataFrame, radius: int = 4, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def representatives(docs: DataFrame, radius: int = 4, words: int = 4, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
     """One row of docs for each component of near_duplicates, with the columns of docs: a row of the smallest key.
 
+    With a similarity, for each component of similar.
+
     Rows are told apart by a number of their own, so that of repeated rows one stays; a
     row without a key stays only where no row of its component has one. An empty table
     gives no rows.
     """
     # numbered once and written: the numbers must not change when a task runs again
     rows = staged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_n")), "simhash-rows")
-    found = near_duplicates(rows.select("_n", F.col(f"_row.`{text}`").alias("text")), radius, words, "_n", "text")
+    texts = rows.select("_n", F.col(f"_row.`{text}`").alias("text"))
+    found = near_duplicates(texts, radius, words, "_n", "text") if similarity is None else similar(texts, similarity, radius=radius, words=words, key="_n")
     keys = rows.select("_n", F.col(f"_row.`{key}`").alias("key"))
     members = found.join(keys, "_n").select("component_id", "_n", "key")
     first = members.groupBy("component_id").agg(F.min_by("_n", F.struct(F.col("key").isNull(), F.col("key"), F.col("_n"))).alias("_n"))

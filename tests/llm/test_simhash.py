@@ -68,3 +68,37 @@ def test_awkward_rows(docs, none):
     assert [g[2] for g in got] == [1, 2, 2, 1, 1, 7, None]
     assert got[1][1] == got[2][1] == "0" * 16
     assert simhash.near_duplicates(none).count() == 0
+
+
+def _shingles(text, words=5):
+    some = (text or "").lower().split()
+    return {" ".join(some[i : i + words]) for i in range(max(1, len(some) - words + 1))} if some else set()
+
+
+def _alike(a, b):
+    a, b = _shingles(a), _shingles(b)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_representatives_of_similar_texts(spark, docs, none):
+    pick = np.random.default_rng(3)
+    words = pick.integers(0, 5000, (40, 120)).astype("U")
+    texts = [" ".join(w) for w in words]
+    texts += [" ".join([*w[:60], "another", *w[61:]]) for w in words]  # similarity 0.92
+    texts += [" ".join([*w[:20], "x", *w[21:50], "y", *w[51:80], "z", *w[81:110], "v", *w[111:]]) for w in words]  # 0.71 to the first, 0.63 to the second
+    texts += ["a b c d e f", "a b c d e f g", "a b c d e h", "one two", "One  TWO", "one two three"]
+    for near in (f for f in (_fingerprint(a) ^ _fingerprint(b) for a, b in zip(texts[:40], texts[40:80], strict=True)) if f.bit_count() > 4):
+        break
+    else:
+        raise AssertionError("no copy more than four bits apart")
+    fps, label = [_fingerprint(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 13 and _alike(texts[i], texts[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.representatives(frame, 13, similarity=0.8).collect())
+    assert got == sorted(set(label)) and len(got) < 100
+    assert sorted(str(r.doc_id) for r in simhash.representatives(docs, 13, similarity=0.8).collect()) == ["1", "2", "7", "None"]
+    assert simhash.representatives(none, 13, similarity=0.8).count() == 0
