@@ -99,6 +99,9 @@ def learn(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: in
 def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> ChunkNet | float:
     """Learns from a bounded sample: of each class at most `rows` labelled documents and `size` bytes, in the order of a hash of their keys.
 
+    A text that no longer fits is passed over for later ones, until less than a hundredth
+    of the bytes is left. Of a class without a text of at most `size` bytes, the first
+    text's first `size` bytes are learnt from.
     Rows without a label count for nothing. Where one class or both have no rows, what is
     returned is the share of class 1, or 0.5 without any rows.
     """
@@ -112,12 +115,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", tex
         return float(next(iter(counts), 0.5))
     label_of: dict = {}
     for y in sorted(counts):
-        first = heads.where(F.col("y") == y).select("_key", "n").orderBy("h", "_key").limit(rows).collect()
-        total = np.cumsum([r.n for r in first])
-        label_of |= {r._key: y for r in first[: max(1, int(np.searchsorted(total, size, side="right")))]}
+        of_class = heads.where(F.col("y") == y).orderBy("h", "_key")
+        taken, left, later = [], size, F.lit(True)
+        while len(taken) < rows and 100 * left >= size:
+            page = of_class.where(later & (F.col("n") <= left)).select("_key", "h", "n").limit(rows).collect()
+            for r in page:
+                if r.n <= left and len(taken) < rows:
+                    taken.append(r._key)
+                    left -= r.n
+            if len(page) < rows:
+                break
+            last = page[-1]
+            later = (F.col("h") > last.h) | (F.col("h") == last.h) & (F.col("_key") > F.lit(last._key))
+        label_of |= dict.fromkeys(taken or [of_class.first()._key], y)
     # of rows that share a key one text is learnt from
-    got = docs.where(F.col(f"`{key}`").isin(list(label_of))).groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min(body).alias("text")).orderBy("_key").collect()
-    texts, ys = [r.text.encode() for r in got], [label_of[r._key] for r in got]
+    got = docs.where(F.col(f"`{key}`").isin(list(label_of))).groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min(F.substring(F.encode(body, "UTF-8"), 1, size)).alias("text")).orderBy("_key").collect()
+    texts, ys = [bytes(r.text) for r in got], [label_of[r._key] for r in got]
     weights = [counts[y] / sum(counts.values()) * 2 / ys.count(y) for y in ys]
     w = np.array(weights) * len(texts) / 2
     return learn(texts, np.array(ys, np.float32), w.astype(np.float32))

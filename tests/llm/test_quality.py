@@ -57,3 +57,19 @@ def test_awkward_rows(spark, docs, none, monkeypatch):
 def test_clashing_columns(docs, name):
     got = quality.score(docs.withColumnRenamed("digest", name), 0.25)
     assert got.columns.count(name) == 1 and {r.predicted for r in got.collect()} == {0}
+
+
+def test_sample_passes_over_texts_that_do_not_fit(spark, monkeypatch):
+    keys = list(range(40))
+    order = [r.k for r in spark.range(40).select(F.col("id").alias("k")).orderBy(F.xxhash64(F.col("k").cast("string"), (F.col("k") % 2).cast("int"))).collect()]
+    long = {next(k for k in order if k % 2 == y) for y in (0, 1)}
+    rows = [(k, f"{k:02}" * (5000 if k in long else 50)) for k in keys]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in keys], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda texts, ys, w: seen.append((texts, ys.tolist())))
+    quality.fit(docs, labels, "quality", rows=8, size=1000)
+    quality.fit(docs, labels, "quality", rows=100, size=1000)
+    quality.fit(docs.where(F.col("doc_id").isin(list(long))), labels, "quality", rows=8, size=1000)
+    assert [sorted(ys) for _, ys in seen] == [[0.0] * 8 + [1.0] * 8, [0.0] * 10 + [1.0] * 10, [0.0, 1.0]]
+    assert all(len(t) == 100 for texts, _ in seen[:2] for t in texts) and [len(t) for t in seen[2][0]] == [1000, 1000]
