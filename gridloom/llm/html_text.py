@@ -52,6 +52,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form menu
 _OWN = frozenset("article entry post story content".split())
 #: With these, a name says what a page has beside the element.
 _BESIDE = frozenset("has with without no".split())
+#: Generated names: a post's terms, a builder's containers, switches of a page.
+_GENERATED = re.compile(r"(?:category|tag)[-_].*|.*[-_](?:widget[-_](?:container|wrap)|enabled|disabled)|content[-_]widget", re.IGNORECASE)
 _CUT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -60,6 +62,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 def _named_apart(name: str) -> bool:
     """Whether a class or id says that an element is no part of an article."""
     for one in name.split():
+        if _GENERATED.fullmatch(one):
+            continue
         words = {w.lower() for w in _CUT.split(one)}
         found = words & _WORDS
         if found and not words & _BESIDE and (found - {"header"} or not words & _OWN):
@@ -119,7 +123,7 @@ class _Lines(HTMLParser):
         apart = apart or (FORM if tag == "form" else tag in _APART)
         if attrs and not (unseen or apart and apart != FORM):
             for key, value in attrs:
-                if key in ("class", "id") and value and tag not in ("html", "body"):
+                if key in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
                     apart = (apart != FORM and apart) or _named_apart(value) or apart
                 elif key == "role" and value:
                     apart = (apart != FORM and apart) or value.lower() in _ROLES or apart

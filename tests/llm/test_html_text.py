@@ -58,3 +58,11 @@ def test_awkward_rows(spark):
     got = sorted(html_text.extract(pages).collect(), key=lambda r: str(r.page_id))
     assert [(r.page_id, r.n_chars) for r in got] == [(1, 0), (2, 0), (3, 20_000 * (len(LONG) + 1) - 1), (3, 20_000 * (len(LONG) + 1) - 1), (None, 1)]
     assert html_text.extract(pages.where("false")).count() == 0
+
+
+NAMED = [f"<article class='post category-social tag-search'><h1>T</h1><p>{LONG}</p></article>", f"<main class='post share-enabled'><h1>T</h1><p>{LONG}</p></main>", f"<div class='elementor-widget-container'><h1>T</h1><p>{LONG}</p></div>", f"<div class='content-widget'><h1>T</h1><p>{LONG}</p></div>"]
+
+
+@pytest.mark.parametrize("page", NAMED)
+def test_generated_names_set_nothing_apart(page):
+    assert html_text.main_text(page + f"<div class='widget sidebar'>{LONG}</div>") == f"T\n{LONG}"
