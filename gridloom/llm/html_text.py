@@ -203,6 +203,13 @@ def main_text(html: str) -> str:
         # an element with a heading of its own is not left for a part without it
         if any(heading and holder == at and not apart for _, _, holder, apart, heading in lines):
             break
+        # nor is an element left for a part that does not have its content and headings
+        within = {inner}
+        for n, parent in enumerate(parser.parents):
+            if parent in within:
+                within.add(n)
+        if parser.kinds[inner] not in ("article", "main") and any((heading or take) and not apart and holder not in within and at in parser._above(holder) for (_, _, holder, apart, heading), take in zip(lines, chosen.tolist(), strict=True)):
+            break
         at = inner
     inside = set()
     for n, parent in enumerate(parser.parents):  # parents come before their parts

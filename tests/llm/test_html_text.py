@@ -66,3 +66,16 @@ NAMED = [f"<article class='post category-social tag-search'><h1>T</h1><p>{LONG}<
 @pytest.mark.parametrize("page", NAMED)
 def test_generated_names_set_nothing_apart(page):
     assert html_text.main_text(page + f"<div class='widget sidebar'>{LONG}</div>") == f"T\n{LONG}"
+
+
+SPLIT = {
+    "split body": (f"<div id='c'><div class='t'><h1>T</h1></div><div class='a'><p>{LONG}</p><p>{LONG}</p></div><div class='b'><p>{LONG}</p></div></div>", f"T\n{LONG}\n{LONG}\n{LONG}"),
+    "lede": (f"<div><p>{LONG}</p><div class='body'><p>{LONG}</p><p>{LONG}</p></div></div>", f"{LONG}\n{LONG}\n{LONG}"),
+    "quote": (f"<div><p>{LONG}</p><blockquote><p>{LONG}</p><p>{LONG}</p></blockquote><p>{LONG}</p></div>", f"{LONG}\n{LONG}\n{LONG}\n{LONG}"),
+}
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_split_articles_stay_whole(name):
+    page, want = SPLIT[name]
+    assert html_text.main_text(f"<body><nav><a>Home</a></nav>{page}</body>") == want
