@@ -48,7 +48,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    files = token_files.write_token_files(docs, tokenizers.path("byte_bpe_50k.json"))
+    files = token_files.write_token_files(docs, tokenizers.path("byte_bpe_50k.json"), added=True)
     return token_files.read_token_files(spark, files, kind=docs.schema["doc_id"].dataType)
 
 

@@ -38,13 +38,13 @@ _SHOWN = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(sorted(set
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    """The tokenizer, its table of pieces and its number of ids."""
+def _tokenizer(path: str, added: bool):
+    """The tokenizer's table of pieces and its number of ids. added: strings of its added tokens in a text are these tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True  # their strings in a text are ordinary text
+    own.encode_special_tokens = not added  # else their strings in a text are ordinary text
 
     # the tables hold very many small objects and no cycles, which a collection would walk in vain
     gc.set_threshold(1_000_000, 50, 100)
@@ -149,12 +149,13 @@ class _Writer:
         self.out.close()
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, length: int = SEQUENCE, path: str | None = None) -> list[tuple[str, str, int, int]]:
+def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, length: int = SEQUENCE, path: str | None = None, added: bool = False) -> list[tuple[str, str, int, int]]:
     """Writes the ids of all texts, each followed by end_id, in ascending order of key; returns (ids file, index file, ids before it, its ids) in that order.
 
     Null keys come first; rows of equal keys stand together in the order they are read
     in. A null text is empty: its end id alone. An empty table gives one empty file at
-    most. A task that runs again writes its file anew under the same name.
+    most. A task that runs again writes its file anew under the same name. Strings of the
+    tokenizer's added tokens in a text are these tokens where `added`, else ordinary text.
     """
     spark = ready(docs.sparkSession)
     path = path or shared_dir(spark, "tokens")
@@ -166,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text
     rows = rows.repartitionByRange(partitions(docs), "key", "n").sortWithinPartitions("key", "n")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, size = _tokenizer(tokenizer)
+        table, size = _tokenizer(tokenizer, added)
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         here = folder if "://" not in folder else tempfile.gettempdir()
         ids_to, index_to = (f"{here}/.{own}.{x}" for x in ("ids", "index"))

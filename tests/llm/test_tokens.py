@@ -61,3 +61,13 @@ def test_token_files(spark, docs, none, sf, tmp_path):
         first = token_files.Sequences(files[0][0])
         assert len(first[0][0]) == 64 and len(first) == -(-files[0][3] // 64)
     assert token_files.read_token_files(spark, token_files.write_token_files(none, P.path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_added_tokens_in_texts(spark):
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_files.read_token_files(spark, token_files.write_token_files(df, P.path("byte_bpe_50k.json"), added=True)).orderBy("start").collect()
+    want = [[*own.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert 50256 in want[0]
+    assert [(g.n_tokens, g.ids_crc32) for g in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
