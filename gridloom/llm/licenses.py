@@ -9,6 +9,7 @@ same way among known one-line notices.
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,10 @@ from .license_texts import NOTICES, SPELLINGS, TEXTS
 #: Known digests that are sent to every task, at most; of about 60 bytes each.
 BROADCAST_ROWS = 50_000
 
+#: Licences published as whole files, and the files' names.
+FILES = Path(__file__).parent / "license_files"
+FULL = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|:|[0-9])|\(c\)|©)[^\n]*$"
 
 
@@ -36,8 +41,9 @@ def canonical(lines: Column) -> Column:
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
-    """license_id, text of the licences built in, with and without their titles."""
+    """license_id, text of the licences built in, with and without their titles, and of those in license_files."""
     rows = [(i, x) for i, title, text in TEXTS for x in (text, f"{title}\n\n{text}")]
+    rows += [(i, (FILES / name).read_text(encoding="utf-8")) for i, name in FULL.items()]
     return spark.createDataFrame(rows, "license_id string, text string")
 
 

@@ -25,3 +25,9 @@ def test_own_list_and_equal_forms(spark):
     known = spark.createDataFrame([("B", "Do what you like!"), ("A", "do WHAT you like")], "license_id string, text string")
     docs = spark.createDataFrame([(1, "Do what, you like")], "doc_id long, text string")
     assert licenses.scan_licenses(docs, texts=known).first().license_id == "A"
+
+
+def test_whole_files(spark):
+    rows = [(i, (licenses.FILES / name).read_text(encoding="utf-8").replace("\n", " \n ")) for i, name in licenses.FULL.items()]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all(r.license_id == r.doc_id for r in got)
