@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators.labels import infer_labels
@@ -92,6 +93,25 @@ def _save_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return delimited.read_csv(spark, saved(t, "save-overlay"))[0]
 
 
+def _split_files(split_by: str, **options) -> Query:
+    """Orders written as parts and read back: each row's part, by its file's name, and its place in it."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        folder = files.scratch(spark, "split-files")
+        t = _table(spark, sf, "orders", o_orderpriority="o_orderpriority", o_totalprice="o_totalprice")
+        paths = t.write_split(folder, split_by, **options)
+        back = spark.read.csv(paths, header=True, schema="o_orderkey long, o_orderpriority string, o_totalprice double")
+        name = F.regexp_extract("_metadata.file_path", r"/table_(?:part_)?([^/]+)\.csv", 1)
+        place = F.row_number().over(Window.partitionBy("part").orderBy("at")).cast("long")
+        return back.select("*", name.alias("part"), F.monotonically_increasing_id().alias("at")).withColumn("place", place).drop("at")
+
+    return run
+
+
+def _odd_names(*rules: Rule, conjunction: str = "AND") -> Query:
+    return lambda spark, sf: _table(spark, sf, "part", v=EXPRESSIONS["odd_name"]).filter(rules, conjunction).to_df()
+
+
 def _scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = files.scratch(spark, "scan-csv")
     delimited.write_csv(_read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, ";")
@@ -103,10 +123,17 @@ def _table_stats(spark: SparkSession, sf: str) -> DataFrame:
     return t.to_df().agg(F.count("*").alias("total_rows"), (F.count("*") * len(t.base.columns)).alias("total_fields"))
 
 
+def _infer_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    made = {"v": EXPRESSIONS["odd_customer"], "prio": EXPRESSIONS["blank_priority"], "b": "CASE WHEN o_orderkey % 3 = 0 THEN 'TRUE' ELSE o_orderstatus END", "d": "CASE WHEN o_orderkey % 2 = 0 THEN '1/2/2024' ELSE '12' END"}
+    t = _table(spark, sf, "orders", **made)
+    return infer_labels(t.base, [F.col("o_orderkey")])
+
+
 EXPRESSIONS = {
     "blank_priority": "CASE WHEN o_orderkey % 7 = 0 THEN '  ' ELSE o_orderpriority END",
     "missing_size": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END",
     "missing_brand": "CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END",
+    "odd_name": "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN concat('Élan ', p_name) WHEN 3 THEN concat('ÜBER', p_name, ' ß') ELSE concat(' ', p_name, '\u3000') END",
     "odd_customer": "CASE WHEN o_orderkey % 11 = 0 THEN 'n/a' ELSE CAST(o_custkey AS STRING) END",
 }
 
@@ -156,6 +183,17 @@ def queries() -> dict[str, Query]:
         "join_right": _join("supplier", "customer", "s_suppkey", "c_custkey", "right", ("s_suppkey", "s_name"), ("c_name",)),
         "join_outer": _join("part", "customer", "p_partkey", "c_custkey", "outer", ("p_partkey", "p_name"), ("c_name",), where_a="p_partkey >= 500"),
         "join_last_wins": _join("customer", "orders", "c_custkey", "o_custkey", "inner", ("c_custkey", "c_name"), ("o_orderkey", "o_orderpriority"), unique=False),
+        "join_last_wins_left": _join("customer", "orders", "c_custkey", "o_custkey", "left", ("c_custkey", "c_name"), ("o_orderpriority",), unique=False),
+        "join_last_wins_right": _join("customer", "orders", "c_custkey", "o_custkey", "right", ("c_custkey", "c_name"), ("o_orderkey", "o_orderpriority"), where_a="c_custkey % 3 = 0", unique=False),
+        "join_last_wins_outer": _join("customer", "orders", "c_custkey", "o_custkey", "outer", ("c_custkey", "c_name"), ("o_orderpriority",), where_a="c_custkey % 3 = 0", unique=False),
+        "filter_equals_accents": _odd_names(Rule("v", "equals", "élan red widget")),
+        "filter_contains_accents": _odd_names(Rule("v", "contains", "über")),
+        "filter_starts_with_accents": _odd_names(Rule("v", "starts_with", "Él")),
+        "filter_ends_with_accents": _odd_names(Rule("v", "ends_with", " ß")),
+        "filter_blank_or_missing": _odd_names(Rule("v", "is_empty")),
+        "filter_not_equals_missing": _odd_names(Rule("v", "not_equals", "x")),
+        "split_rows_files": _split_files("rows", row_limit=4000),
+        "split_column_files": _split_files("column", column_name="o_orderpriority", one_file=True),
         "split_rows": lambda spark, sf: _table(spark, sf, "orders").split_rows(4000).groupBy("part").agg(F.count("*").alias("n")),
         "split_column": lambda spark, sf: _table(spark, sf, "orders").split_by("o_orderpriority").groupBy("part").agg(F.count("*").alias("n")),
         "edit_overlay": lambda spark, sf: _table(spark, sf, "nation", n_name="n_name").edit(3, "n_name", "EDITED").to_df(),
@@ -164,10 +202,24 @@ def queries() -> dict[str, Query]:
         "scan_csv": _scan_csv,
         "table_stats": _table_stats,
         "infer_types": lambda spark, sf: infer_labels(_read(spark, sf, "events"), [F.col("event_id")]),
+        "infer_types_mixed": _infer_mixed,
     }
 
 
+def _labels_sql(source: str, key: str, names: tuple[str, ...]) -> str:
+    """The vote of the first hundred rows on each column's label."""
+    cells = ", ".join(f"CAST({n} AS VARCHAR) AS {n}" for n in names)
+    return f"""
+WITH s AS (SELECT {cells} FROM {source} t ORDER BY t.{key} LIMIT 100),
+c AS (SELECT name, trim(v) AS v FROM (UNPIVOT s ON {", ".join(names)} INTO NAME name VALUE v)),
+l AS (SELECT name, CASE WHEN v = '' THEN NULL WHEN lower(v) IN ('true', 'false') THEN 'Boolean' WHEN regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'Numeric'
+  WHEN (length(v) - length(replace(v, '-', '')) = 2 OR length(v) - length(replace(v, '/', '')) = 2) AND strlen(v) >= 8 THEN 'Datetime' ELSE 'String' END AS label FROM c),
+n AS (SELECT name, label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY ALL)
+SELECT name, label AS data_type FROM n QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, list_position(['Numeric', 'Datetime', 'Boolean', 'String'], label)) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
+    accents = EXPRESSIONS["odd_name"]
     prio, size, brand, odd = (EXPRESSIONS[k].replace("STRING", "VARCHAR") for k in ("blank_priority", "missing_size", "missing_brand", "odd_customer"))
     return {
         "filter_equals": "SELECT * FROM customer WHERE lower(c_mktsegment) = 'building'",
@@ -213,6 +265,17 @@ def oracle_sql() -> dict[str, str]:
         "join_right": "SELECT coalesce(s_suppkey, c_custkey) AS s_suppkey, coalesce(s_name, '') AS s_name, c_name AS c_name_b FROM supplier RIGHT JOIN customer ON s_suppkey = c_custkey",
         "join_outer": "SELECT coalesce(p_partkey, c_custkey) AS p_partkey, coalesce(p_name, '') AS p_name, coalesce(c_name, '') AS c_name_b FROM (SELECT * FROM part WHERE p_partkey >= 500) p FULL JOIN customer ON p_partkey = c_custkey",
         "join_last_wins": "WITH b AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT c_custkey, c_name, o_orderkey AS o_orderkey_b, o_orderpriority AS o_orderpriority_b FROM customer JOIN b ON c_custkey = o_custkey",
+        "join_last_wins_left": "WITH b AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT c_custkey, c_name, coalesce(o_orderpriority, '') AS o_orderpriority_b FROM customer LEFT JOIN b ON c_custkey = o_custkey",
+        "join_last_wins_right": "WITH b AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT o_custkey AS c_custkey, coalesce(c_name, '') AS c_name, o_orderkey AS o_orderkey_b, o_orderpriority AS o_orderpriority_b FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c RIGHT JOIN b ON c_custkey = o_custkey",
+        "join_last_wins_outer": "WITH b AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(c_name, '') AS c_name, coalesce(o_orderpriority, '') AS o_orderpriority_b FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN b ON c_custkey = o_custkey",
+        "filter_equals_accents": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'élan red widget'",
+        "filter_contains_accents": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE contains(lower(v), 'über')",
+        "filter_starts_with_accents": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE starts_with(lower(v), 'él')",
+        "filter_ends_with_accents": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE ends_with(lower(v), ' ß')",
+        "filter_blank_or_missing": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE coalesce(v, '') = ''",
+        "filter_not_equals_missing": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE lower(coalesce(v, '')) <> 'x'",
+        "split_rows_files": "SELECT o_orderkey, o_orderpriority, o_totalprice, CAST((n - 1) // 4000 + 1 AS VARCHAR) AS part, (n - 1) % 4000 + 1 AS place FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)",
+        "split_column_files": r"SELECT o_orderkey, o_orderpriority, o_totalprice, part, row_number() OVER (PARTITION BY part ORDER BY o_orderkey) AS place FROM (SELECT *, regexp_replace(o_orderpriority, '[^\p{L}\p{N}]', '_', 'g') AS part FROM orders)",
         "split_rows": "SELECT part, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 4000 + 1 AS part FROM orders) GROUP BY part",
         "split_column": r"SELECT CASE WHEN k = '' THEN 'empty' ELSE k END AS part, count(*) AS n FROM (SELECT regexp_replace(o_orderpriority, '[^\p{L}\p{N}]', '_', 'g') AS k FROM orders) GROUP BY 1",
         "edit_overlay": "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'EDITED' ELSE n_name END AS n_name FROM nation",
@@ -220,5 +283,6 @@ def oracle_sql() -> dict[str, str]:
         "save_overlay": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CASE WHEN n_nationkey = 3 THEN 'EDITED' ELSE n_name END AS n_name FROM nation",
         "scan_csv": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer",
         "table_stats": "SELECT count(*) AS total_rows, count(*) * 6 AS total_fields FROM orders",
-        "infer_types": "SELECT * FROM (VALUES ('event_id', 'Numeric'), ('ts', 'Datetime'), ('user_id', 'Numeric'), ('event_type', 'String'), ('value', 'Numeric'), ('props', 'String')) t(name, data_type)",
+        "infer_types": _labels_sql("events", "event_id", ("event_id", "ts", "user_id", "event_type", "value", "props")),
+        "infer_types_mixed": _labels_sql(f"(SELECT o_orderkey, {odd} AS v, {prio} AS prio, CASE WHEN o_orderkey % 3 = 0 THEN 'TRUE' ELSE o_orderstatus END AS b, CASE WHEN o_orderkey % 2 = 0 THEN '1/2/2024' ELSE '12' END AS d FROM orders)", "o_orderkey", ("o_orderkey", "v", "prio", "b", "d")),
     }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_number, utrim
+from ..sources import files
 from .cells import as_number, as_text, column, is_numeric
 
 ROW = "_row_idx"
@@ -22,49 +23,71 @@ class SortSpec:
     numeric: bool | None = None  # None: by the column's type or label
 
 
-def number_rows(df: DataFrame, name: str = ROW, first: int = 0) -> DataFrame:
+#: A key of an order: what is compared, and whether it descends. Missing ones come last.
+Key = tuple[Column, bool]
+
+
+def number_rows(df: DataFrame, name: str = ROW, first: int = 0, scan: bool = False) -> DataFrame:
     """Adds the dense ordinal of each row in the order of the frame's partitions.
 
-    Two passes: rows are counted by partition, then each gets its partition's offset;
-    no task sees more than a partition. The frame must give the same rows again when it
-    is run again, as a file scan or a sort on a unique key does.
+    The rows are written once with their partition and their place in it, and both the
+    partitions' counts and the rows are read from there: a second run of a sort may deal
+    its rows to other partitions. scan: the frame is a plain scan of files, whose
+    partitions are the same each time, so nothing is written. No task sees more than a
+    partition.
     """
     spark = df.sparkSession
-    tagged = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33).cast("int")
+    tagged = df.withColumn("_row_at", F.monotonically_increasing_id())
+    if not scan:
+        path = files.scratch(spark, "rows")
+        tagged.write.parquet(path)
+        tagged = spark.read.schema(tagged.schema).parquet(path)
+    part = F.shiftright("_row_at", 33).cast("int")
     counts = sorted(tuple(r) for r in tagged.groupBy(part.alias("part")).count().collect())  # a row for each partition
     offsets, total = [], first
     for p, n in counts:
         offsets.append((p, total))
         total += n
-    starts = spark.createDataFrame(offsets, "_part int, _start long")
-    out = tagged.withColumn("_part", part).join(F.broadcast(starts), "_part", "left")
-    return out.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_start")
+    starts = spark.createDataFrame(offsets, "_row_part int, _row_start long")
+    out = tagged.withColumn("_row_part", part).join(F.broadcast(starts), "_row_part", "left")
+    return out.withColumn(name, F.col("_row_start") + F.col("_row_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_row_at", "_row_part", "_row_start")
 
 
-def sort_keys(df: DataFrame, specs: Sequence[SortSpec]) -> list[Column]:
+def sort_keys(df: DataFrame, specs: Sequence[SortSpec]) -> list[Key]:
     """Order by the newest spec first; older ones decide ties. Numbers come before what is none, either way round."""
-    keys: list[Column] = []
+    keys: list[Key] = []
     for s in specs:
         column(df, s.column)
         if s.numeric if s.numeric is not None else is_numeric(df, s.column):
             n = as_number(df, s.column)
-            good = F.when(is_number(n), n)
-            keys += [good.desc_nulls_last() if s.descending else good.asc_nulls_last()]
+            keys.append((F.when(is_number(n), n), s.descending))
         else:
-            t = F.lower(as_text(df, s.column))
-            keys += [t.desc() if s.descending else t.asc()]
+            keys.append((F.lower(as_text(df, s.column)), s.descending))
     return keys
 
 
-def positions(df: DataFrame, keys: Sequence[Column], name: str = "pos") -> DataFrame:
-    """The frame in order, with each row's place from 1 on; the keys must tell all rows apart."""
-    return number_rows(df.orderBy(*keys), name, 1)
+def ordered(df: DataFrame, keys: Sequence[Key], ties: Sequence[Column] = ()) -> tuple[DataFrame, list[Column]]:
+    """The frame with its keys as columns __key0, ..., computed once a row and not at each comparison, and the order by them and then by ties."""
+    names = [f"__key{i}" for i in range(len(keys))]
+    out = df.withColumns({n: c for n, (c, _) in zip(names, keys, strict=True)}) if names else df
+    by = [F.col(n).desc_nulls_last() if down else F.col(n).asc_nulls_last() for n, (_, down) in zip(names, keys, strict=True)]
+    return out, [*by, *ties]
+
+
+def _plain(df: DataFrame, keys: Sequence[Key]) -> DataFrame:
+    return df.drop(*(f"__key{i}" for i in range(len(keys))))
+
+
+def positions(df: DataFrame, keys: Sequence[Key], ties: Sequence[Column] = (), name: str = "pos") -> DataFrame:
+    """The frame in order, with each row's place from 1 on; keys and ties together must tell all rows apart."""
+    some, by = ordered(df, keys, ties)
+    return number_rows(_plain(some.orderBy(*by), keys), name, 1)
 
 
-def page(df: DataFrame, keys: Sequence[Column], offset: int, limit: int) -> DataFrame:
+def page(df: DataFrame, keys: Sequence[Key], ties: Sequence[Column], offset: int, limit: int) -> DataFrame:
     """Rows offset to offset + limit of the order; fewer at its end."""
-    return df.orderBy(*keys).offset(offset).limit(limit)
+    some, by = ordered(df, keys, ties)
+    return _plain(some.orderBy(*by).offset(offset).limit(limit), keys)
 
 
 def first_rows(df: DataFrame, keys: Sequence[Column], n: int | None) -> DataFrame:
@@ -79,13 +102,13 @@ def unique_values(df: DataFrame, name: str) -> DataFrame:
     return df.select(utrim(as_text(df, name)).alias("v")).distinct()
 
 
-def unique_keys(df: DataFrame, numeric: bool) -> list[Column]:
+def unique_keys(df: DataFrame, numeric: bool) -> list[Key]:
     """The order of distinct values: numbers ascending, then text by code point."""
     text = isinstance(df.schema["v"].dataType, T.StringType)
     if not numeric:
-        return [F.col("v").asc()]
+        return [(F.col("v"), False)]
     n = as_number(df, "v")
-    return [F.when(is_number(n), n).asc_nulls_last(), *([F.col("v").asc()] if text else [])]
+    return [(F.when(is_number(n), n), False), *([(F.col("v"), False)] if text else [])]
 
 
 def search_values(values: DataFrame, part: str) -> DataFrame:

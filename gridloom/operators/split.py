@@ -23,25 +23,32 @@ def by_value(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("part", file_safe(as_text(df, name)))
 
 
-def write_parts(df: DataFrame, folder: str, stem: str, delimiter: str = ",", extension: str = "csv") -> list[str]:
-    """One folder of CSV files, {stem}_{part}, for each part; returns their paths. A row goes out as its cells, without part.
+def write_parts(df: DataFrame, folder: str, stem: str, delimiter: str = ",", extension: str = "csv", one_file: bool = False) -> list[str]:
+    """CSV, {stem}_{part}.{extension}, for each part; returns the paths in the order of the parts' first rows. A row goes out as its cells, without part.
 
-    A part may hold any share of the rows: Spark rebalances and splits large ones over
-    several files of the part's folder.
+    df has row numbers, whose order each part keeps. one_file: a part is one file, all
+    rows of which pass one task. Else it is a folder of files in order, and a part may
+    hold any share of the rows.
     """
     spark = df.sparkSession
-    parts = df.withColumn("_part", F.col("part").cast("string")).drop("part").hint("rebalance", "_part")
-    if ROW in df.columns:
-        parts = parts.sortWithinPartitions("_part", ROW).drop(ROW)
+    parts = df.withColumn("__part", F.col("part").cast("string")).drop("part")
+    # a row for each path that is returned
+    firsts = [r[0] for r in parts.groupBy("__part").agg(F.min(ROW).alias("first")).orderBy("first").collect()]
+    # by the part alone each part meets in one task; by ranges of rows within it, a large one is spread over several in order
+    dealt = parts.repartition("__part") if one_file else parts.repartitionByRange("__part", ROW)
     aside = files.scratch(spark, "split")
-    parts.write.partitionBy("_part").options(header=True, sep=delimiter, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(aside)
+    out_rows = dealt.sortWithinPartitions("__part", ROW).drop(ROW)
+    out_rows.write.partitionBy("__part").options(header=True, sep=delimiter, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(aside)
     out = []
     p, fs = files._path(spark, folder)
     fs.mkdirs(p)
-    for name in files.children(spark, aside):
-        if name.startswith("_part="):
-            to = f"{folder.rstrip('/')}/{stem}_{name.removeprefix('_part=')}.{extension}"
-            files.replace(spark, f"{aside}/{name}", to)
-            out.append(to)
+    # Spark escapes what is not fit for a folder's name; a part's own name is not escaped
+    made = {files.unescaped(spark, name.removeprefix("__part=")): name for name in files.children(spark, aside) if name.startswith("__part=")}
+    for part in firsts:
+        here, to = f"{aside}/{made[part]}", f"{folder.rstrip('/')}/{stem}_{part}.{extension}"
+        if one_file:
+            (here,) = (f"{here}/{n}" for n in files.children(spark, here) if n.startswith("part-"))
+        files.replace(spark, here, to)
+        out.append(to)
     files.delete(spark, aside)
     return out

@@ -44,6 +44,7 @@ class Table:
     conjunction: str = "AND"
     sorts: tuple[SortSpec, ...] = ()
     known_labels: dict[str, str] = field(default_factory=dict, compare=False)
+    known: dict = field(default_factory=dict, compare=False)  # what is known of the base, which edits, rules and sorts leave as it is
 
     @classmethod
     def from_dataframe(cls, df: DataFrame, order_by: Sequence[str]) -> Table:
@@ -56,14 +57,19 @@ class Table:
         df, dialect = delimited.read_csv(spark, path, **options)
         return cls(df, (), dialect)
 
-    @cached_property
+    @property
     def numbered(self) -> DataFrame:
-        """The base rows in order, with their number."""
-        return order.number_rows(self.base.orderBy(*map(F.col, self.order_by)) if self.order_by else self.base)
+        """The base rows in order, with their number; numbered once for all tables that come from one."""
+        if "numbered" not in self.known:
+            scan = not self.order_by and self.dialect is not None
+            self.known["numbered"] = order.number_rows(self.base.orderBy(*map(F.col, self.order_by)) if self.order_by else self.base, scan=scan)
+        return self.known["numbered"]
 
-    @cached_property
+    @property
     def base_count(self) -> int:
-        return self.base.count()
+        if "count" not in self.known:
+            self.known["count"] = self.base.count()
+        return self.known["count"]
 
     def _needs_numbers(self) -> bool:
         return bool(self.edit_list) or not self.order_by
@@ -76,6 +82,9 @@ class Table:
         beyond = bool(self.edit_list) and max(e.row for e in self.edit_list) >= self.base_count
         return edits.overlay(self.numbered, self.edit_list, self.base_count if beyond else None)
 
+    def _with_numbers(self) -> DataFrame:
+        return self.rows if self._needs_numbers() else self.numbered
+
     @property
     def order(self) -> list[Column]:
         return [F.col(ROW)] if self._needs_numbers() else [F.col(f"`{c}`") for c in self.order_by]
@@ -91,8 +100,8 @@ class Table:
         return rows.where(rules.compile_rules(rows, self.rule_list, self.conjunction))
 
     @property
-    def view_order(self) -> list[Column]:
-        return [*order.sort_keys(self.view, self.sorts), *self.order]
+    def keys(self) -> list[order.Key]:
+        return order.sort_keys(self.view, self.sorts)
 
     def _plain(self, df: DataFrame) -> DataFrame:
         return df.drop(ROW)
@@ -119,11 +128,11 @@ class Table:
         return self.view.count()
 
     def page(self, offset: int, limit: int) -> DataFrame:
-        return self._plain(order.page(self.view, self.view_order, offset, limit))
+        return self._plain(order.page(self.view, self.keys, self.order, offset, limit))
 
     def positions(self, name: str = "pos") -> DataFrame:
         """The view in order with each row's place from 1 on."""
-        return self._plain(order.positions(self.view, self.view_order, name))
+        return self._plain(order.positions(self.view, self.keys, self.order, name))
 
     def unique(self, name: str, sample_rows: int | None = 50_000) -> DataFrame:
         """v, pos: distinct values of the first rows (None: of all), whatever the rules, in their order."""
@@ -186,22 +195,26 @@ class Table:
         return out.drop(f"{ROW}_b")
 
     def split_rows(self, limit: int = split.ROWS, use_edits: bool = True) -> DataFrame:
-        t = self if use_edits else replace(self, edit_list=())
-        rows = t.rows if t._needs_numbers() else t.numbered
-        return split.by_rows(rows, limit)
+        return split.by_rows((self if use_edits else replace(self, edit_list=()))._with_numbers(), limit)
 
     def split_by(self, name: str, use_edits: bool = True) -> DataFrame:
         t = self if use_edits else replace(self, edit_list=())
         return split.by_value(t.rows, name)
 
-    def write_split(self, folder: str, split_by: str, row_limit: int = split.ROWS, column_name: str | None = None) -> list[str]:
-        """Paths of the parts: by `rows` named {stem}_part_{i}, by `column` named {stem}_{value}."""
-        stem = (self.dialect.path if self.dialect else "table").rstrip("/").rpartition("/")[2].partition(".")[0]
+    def write_split(self, folder: str, split_by: str, row_limit: int = split.ROWS, column_name: str | None = None, one_file: bool | None = None) -> list[str]:
+        """Paths of the parts in the order in which their first rows come: by `rows` named {stem}_part_{i}, by `column` named {stem}_{value}, with the source's extension.
+
+        one_file: each part is one file, written by one task; else a folder of files.
+        Parts of row_limit rows are files unless said otherwise. A value may hold any
+        share of the rows, so its part is a folder unless one_file is asked for.
+        """
+        name = (self.dialect.path if self.dialect else "table.csv").rstrip("/").rpartition("/")[2]
+        stem, _, extension = name.rpartition(".") if "." in name else (name, "", "csv")
         d = self.dialect.delimiter if self.dialect else ","
         if split_by == "rows":
-            return split.write_parts(self.split_rows(row_limit), folder, f"{stem}_part", d)
+            return split.write_parts(self.split_rows(row_limit), folder, f"{stem}_part", d, extension, one_file is not False)
         if split_by == "column" and column_name:
-            return split.write_parts(self.split_by(column_name), folder, stem, d)
+            return split.write_parts(split.by_value(self._with_numbers(), column_name), folder, stem, d, extension, bool(one_file))
         raise ValueError(f"Invalid split type {split_by}")
 
     def text(self, name: str) -> Column:

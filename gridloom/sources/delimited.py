@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from . import files, sniff
 
 
+#: Characters 0x80 to 0x9F of ISO-8859-1 and what windows-1252 has there; five of them are the same.
+WESTERN = tuple(bytes(range(0x80, 0xA0)).translate(None, b"\x81\x8d\x8f\x90\x9d").decode(x) for x in ("latin-1", "cp1252"))
+
+
 @dataclass(frozen=True)
 class Dialect:
     path: str
@@ -34,12 +38,14 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     """
     dialect = sniff_dialect(spark, path, delimiter, encoding)
     names = sniff.distinct_names(list(dialect.headers))
-    if dialect.encoding == "windows-1252":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    # Spark has no windows-1252; it differs from ISO-8859-1 in the characters 0x80 to 0x9F alone
+    western = dialect.encoding == "windows-1252"
+    encoding = "ISO-8859-1" if western else dialect.encoding
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = spark.read.schema(schema).options(header=True, enforceSchema=True, sep=dialect.delimiter, quote='"', escape='"', multiLine=multi_line or dialect.encoding.startswith("UTF-16"), encoding=dialect.encoding, mode="PERMISSIVE")
+    reader = spark.read.schema(schema).options(header=True, enforceSchema=True, sep=dialect.delimiter, quote='"', escape='"', multiLine=multi_line or dialect.encoding.startswith("UTF-16"), encoding=encoding, mode="PERMISSIVE")
     df = reader.csv(path)
-    return df.select(*(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names)), dialect
+    cell = lambda n: F.translate(F.col(f"`{n}`"), *WESTERN) if western else F.col(f"`{n}`")
+    return df.select(*(F.coalesce(cell(n), F.lit("")).alias(n) for n in names)), dialect
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", single_file: bool = False, headers: tuple[str, ...] | None = None) -> str:

@@ -27,11 +27,13 @@ def test_encodings(data, found):
     assert sniff.sniff_encoding(data) == found
 
 
-def test_blank_lines_and_formula_cells(spark, tmp_path):
-    t = _open(spark, tmp_path, '\n\nRef,Batch No,Kind\n="00123",="77",="in"\n\n="00124",="78",="out"\n')
-    assert t.metadata().headers == ("Ref", "Batch No", "Kind")
-    assert _rows(t.page(0, 1)) == [('="00123"', '="77"', '="in"')]
-    assert t.count() == 2
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_blank_lines_anywhere_are_no_rows(spark, tmp_path, end):
+    lines = ["", "k;sum", "", "", "a;1", "", '"";""', "b;=1+1", "   ", '=B2;"=""C3"""', ""]
+    t = _open(spark, tmp_path, end.join(lines))
+    assert t.base.columns == ["k", "sum"]
+    assert [r for r in _rows(t.page(0, 20)) if any(c.strip() for c in r)] == [("a", "1"), ("b", "=1+1"), ("=B2", '="C3"')]
+    assert t.edit(0, "sum", "2").page(0, 1).first()["sum"] == "2"
 
 
 def test_quotes_ragged_rows_and_repeated_headers(spark, tmp_path):
@@ -49,6 +51,12 @@ def test_other_encodings(spark, tmp_path, encoding):
     assert t.dialect.delimiter == ";" and _rows(t.page(0, 9)) == [("é", "1"), ("ü", "2")]
 
 
+def test_signs_of_windows_1252(spark, tmp_path):
+    t = _open(spark, tmp_path, "“k”;v\n€;–’\n".encode("cp1252"))
+    assert t.dialect.encoding == "windows-1252" and _rows(t.page(0, 9)) == [("€", "–’")]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
+
+
 def test_header_only(spark, tmp_path):
     t = _open(spark, tmp_path, "\n\na,b\n")
     assert t.count() == 0 and t.metadata().total_fields == 0
@@ -66,14 +74,15 @@ def test_saving_over_the_file_that_is_read(spark, tmp_path):
 
 
 def test_split_files(spark, tmp_path):
-    t = _open(spark, tmp_path, "k,v\na b,1\na-b,2\nß,3\n,4\n")
-    paths = t.write_split(str(tmp_path / "parts"), "column", column_name="k")
-    assert sorted(p.rpartition("/")[2] for p in paths) == ["t_a_b.csv", "t_empty.csv", "t_ß.csv"]
-    back = [r for p in paths for r in _rows(Table.open(spark, p).to_df())]
-    assert sorted(back) == sorted(_rows(t.to_df()))
-    paths = t.write_split(str(tmp_path / "rows"), "rows", row_limit=3)
-    assert [p.rpartition("/")[2] for p in sorted(paths)] == ["t_part_1.csv", "t_part_2.csv"]
-    assert _rows(Table.open(spark, sorted(paths)[1]).to_df()) == [("", "4")]
+    t = _open(spark, tmp_path, "k,v\nß,3\na b,1\na-b,2\n,4\nß,5\n", "t.txt")
+    for one in (True, False):
+        paths = t.write_split(str(tmp_path / f"parts{one}"), "column", column_name="k", one_file=one)
+        assert [p.rpartition("/")[2] for p in paths] == ["t_ß.txt", "t_a_b.txt", "t_empty.txt"]
+        assert [_rows(Table.open(spark, p).page(0, 9)) for p in paths] == [[("ß", "3"), ("ß", "5")], [("a b", "1"), ("a-b", "2")], [("", "4")]]
+    assert (tmp_path / "partsTrue" / "t_ß.txt").is_file() and (tmp_path / "partsFalse" / "t_ß.txt").is_dir()
+    paths = t.write_split(str(tmp_path / "rows"), "rows", row_limit=2)
+    assert [p.rpartition("/")[2] for p in paths] == ["t_part_1.txt", "t_part_2.txt", "t_part_3.txt"]
+    assert (tmp_path / "rows" / "t_part_2.txt").read_text() == "k,v\na-b,2\n,4\n"
     with pytest.raises(ValueError):
         t.write_split(str(tmp_path / "no"), "other")
 

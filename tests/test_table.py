@@ -182,3 +182,34 @@ def test_filters_reach_the_scan(spark):
     t = Table.from_dataframe(df, ["o_orderkey"]).filter([Rule("o_totalprice", "gt", "400000")])
     plan = t.to_df().select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan and "GreaterThan(o_totalprice" in plan
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Sorts that keep many partitions, as a large table's do."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_row_numbers_over_many_partitions(many_partitions):
+    spark, n = many_partitions, 1_000_000
+    rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.md5(F.col("id").cast("string")).alias("s"), F.repeat(F.md5((F.col("id") + 1).cast("string")), 8).alias("wide"))
+    t = Table.from_dataframe(rows, ["k"])
+    assert t.numbered.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+    got = t.sort("s", True).positions().agg(F.count_distinct("pos").alias("d"), F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n")).first()
+    assert tuple(got) == (n, 1, n, n)
+    by = t.sort("s").positions().select("s", "pos").where("pos % 9973 = 1").orderBy("pos").collect()
+    assert [r.s for r in by] == sorted(r.s for r in by) and len(by) == n // 9973 + 1
+    assert [tuple(r) for r in t.edit(200_001, "s", "x").to_df().where("s = 'x'").select("k").collect()] == [(200_001,)]
+    parts = {r.part: (r.n, r.a, r.b) for r in t.split_rows(50_000).groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).collect()}
+    assert parts == {i + 1: (50_000, i * 50_000, i * 50_000 + 49_999) for i in range(20)}
+
+
+def test_numbers_are_kept_through_edits(spark):
+    t = Table.from_dataframe(spark.range(10).select(F.col("id").alias("k"), F.lit("").alias("_at")), ["k"])
+    assert t.edit(1, "_at", "a").known is t.known and t.numbered is t.edit(2, "k", "3").sort("k").numbered
