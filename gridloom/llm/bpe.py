@@ -216,7 +216,9 @@ class BytePairEncoder:
 @lru_cache(maxsize=2)
 def _table(path: str, pattern: str) -> tuple[BytePairEncoder, PieceTable]:
     own = BytePairEncoder(path, pattern)
-    return own, PieceTable(own.encode_pieces)
+    table = PieceTable(own.encode_pieces)
+    table.check(own.find)
+    return own, table
 
 
 def _binary(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -242,7 +244,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     Ids are as the tiktoken library's encode_ordinary gives them. decoded: the ids turned
     back into bytes. Null and empty texts have no ids. Repeated rows get equal results
     each; other columns are neither read nor returned. No rows give none. A worker holds
-    one block of texts and a bounded table of pieces.
+    one block of texts and a bounded table of pieces. The pattern has to split texts
+    where pieces begin and end (see pieces), as byte-level vocabularies' patterns do;
+    ValueError if it is found not to.
     """
 
     def make(column: pa.Array) -> list[pa.Array]:

@@ -6,7 +6,7 @@ single line end is a match of its own, whatever stands elsewhere: so a text may
 there, and its ids are those of the pieces in order. Pieces recur, so each is encoded
 once and then looked up; when the table is full, pieces not met again go. A comma or full stop
 between a letter or digit and white space is a match of its own too, and is cut off, so
-that a word is known whatever follows it.
+that a word is known whatever follows it. A pattern must keep to this: `check` tries it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 
 #: Pieces kept at most.
 MOST = 300_000
-#: White space other than spaces and line ends, and the signs that stand for a comma or full stop cut off.
+#: White space other than spaces and line ends, and the signs that stand for a comma or full stop cut off: a text that has such a sign itself is cut without them.
 _OTHER = re.compile(r"[^\S \n]|[\x02\x03]")
 _RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x02\x03"  # those of them that are ASCII
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -33,6 +33,8 @@ def _odd(text: str) -> bool:
     return any(c in text for c in _RARE) if text.isascii() else bool(_OTHER.search(text))
 
 
+#: Texts by which a pattern is tried.
+PROBES = ("a b, c. d\ne1, 2. (x) -y, 'z'", "don't  go\n\nthere,\tor.", "é中, 1². Ⅷ_ !!, ?.\nx", "\n a,b . c ,\r\n", "It's 12,5. We'll see\nA.B, c")
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -61,6 +63,7 @@ class PieceTable:
     def _clear(self) -> None:
         self.count, self.fresh, self.used = 0, [], 0
         self.bare, self.spaced = _Codes(self, ""), _Codes(self, " ")
+        self.odd = _Codes(self, " ")  # of texts that are odd: the signs below are themselves here
         self.spaced["\x02"], self.spaced["\x03"] = self.bare[","], self.bare["."]
         self.ids, self.starts, self.lens = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.uses = np.zeros(1 << 14, np.int64)
@@ -73,7 +76,7 @@ class PieceTable:
             self._clear()
             return
         place, live = (np.cumsum(kept) - 1).tolist(), kept.tolist()
-        for codes in (self.bare, self.spaced):
+        for codes in (self.bare, self.spaced, self.odd):
             some = {piece: place[c] for piece, c in codes.items() if live[c]}
             codes.clear()
             codes.update(some)
@@ -90,7 +93,7 @@ class PieceTable:
             return []
         if _odd(text):
             first, *rest = _CUT.split(text)
-            return [bare[first], *map(spaced.__getitem__, rest)]
+            return [bare[first], *map(self.odd.__getitem__, rest)]
         text = _STOP.sub(" \x03", _COMMA.sub(" \x02", text))
         out: list[int] = []
         for n, line in enumerate(text.split("\n")):
@@ -101,6 +104,15 @@ class PieceTable:
             out += map(spaced.__getitem__, rest)
         return out
 
+    def check(self, matches: Callable[[str], list[str]]) -> None:
+        """ValueError if a pattern's matches in some texts are not those in the pieces that the texts are cut into."""
+        for text in PROBES:
+            probe = PieceTable(self.encode)
+            codes = probe._codes(text)
+            # a piece is noted as it is met first; the comma and the full stop come before all others
+            if matches(text) != [m for c in codes for m in matches(probe.fresh[c])]:
+                raise ValueError(f"the pattern does not split {text!r} where its pieces begin and end")
+
     def _learn(self) -> None:
         ids, lens = self.encode(self.fresh)
         at, self.fresh = self.count - len(lens), []

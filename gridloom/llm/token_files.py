@@ -73,7 +73,9 @@ def _tokenizer(path: str, added: bool):
         lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lens.sum())), lens
 
-    return PieceTable(encode), own.get_vocab_size()
+    table = PieceTable(encode)
+    table.check(lambda text: [text[a:b] for _, (a, b) in own.pre_tokenizer.pre_tokenize_str(text)])
+    return table, own.get_vocab_size()
 
 
 def _put(path: str, uri: str) -> None:
@@ -149,13 +151,14 @@ class _Writer:
         self.out.close()
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, length: int = SEQUENCE, path: str | None = None, added: bool = False) -> list[tuple[str, str, int, int]]:
+def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, length: int = SEQUENCE, path: str | None = None, added: bool = True) -> list[tuple[str, str, int, int]]:
     """Writes the ids of all texts, each followed by end_id, in ascending order of key; returns (ids file, index file, ids before it, its ids) in that order.
 
     Null keys come first; rows of equal keys stand together in the order they are read
     in. A null text is empty: its end id alone. An empty table gives one empty file at
     most. A task that runs again writes its file anew under the same name. Strings of the
-    tokenizer's added tokens in a text are these tokens where `added`, else ordinary text.
+    tokenizer's added tokens in a text are these tokens, as the library has it; without
+    `added` they are ordinary text.
     """
     spark = ready(docs.sparkSession)
     path = path or shared_dir(spark, "tokens")

@@ -47,9 +47,9 @@ def test_bpe_digests(spark, docs, none, library):
 
 def test_token_files(spark, docs, none, sf, tmp_path):
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     odd = spark.createDataFrame(list(enumerate(_odd_texts())), "doc_id long, text string")
-    for n, df in enumerate((docs, spark.read.parquet(f"{sf}/documents.parquet"), odd)):
+    control = spark.createDataFrame(list(enumerate(_control_texts(2000))), "doc_id long, text string")
+    for n, df in enumerate((docs, spark.read.parquet(f"{sf}/documents.parquet"), odd, control)):
         files = token_files.write_token_files(df, P.path("byte_bpe_50k.json"), length=64, path=str(tmp_path / str(n)))
         got = token_files.read_token_files(spark, files).orderBy("start").collect()
         rows = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
@@ -65,9 +65,32 @@ def test_token_files(spark, docs, none, sf, tmp_path):
 
 def test_added_tokens_in_texts(spark):
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    texts = ["a <|endoftext|> b", "c"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = token_files.read_token_files(spark, token_files.write_token_files(df, P.path("byte_bpe_50k.json"), added=True)).orderBy("start").collect()
-    want = [[*own.encode(t, add_special_tokens=False).ids, 0] for t in texts]
-    assert 50256 in want[0]
-    assert [(g.n_tokens, g.ids_crc32) for g in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+    df = spark.createDataFrame(list(enumerate(["a <|endoftext|> b", "x<|endoftext|>, y", "c"])), "doc_id long, text string")
+    for added in (True, False):
+        own.encode_special_tokens = not added
+        got = token_files.read_token_files(spark, token_files.write_token_files(df, P.path("byte_bpe_50k.json"), added=added)).orderBy("start").collect()
+        want = [[*own.encode(t, add_special_tokens=False).ids, 0] for t in ("a <|endoftext|> b", "x<|endoftext|>, y", "c")]
+        assert (50256 in want[0]) == added
+        assert [(g.n_tokens, g.ids_crc32) for g in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+
+
+def _control_texts(n):
+    """Short texts over all control characters, the signs of words and numbers, commas and full stops."""
+    pick = random.Random(n)
+    signs = [*map(chr, range(32)), "\x7f", *map(chr, range(0x80, 0xA1)), *"  , . , .\n", "a", "the", "é", "1", "_", "'s", "-"]
+    return ["a \x02 b", "a \x03", "\x02", "a, \x02 \x03.", *("".join(pick.choices(signs, k=pick.randint(1, 12))) for _ in range(n))]
+
+
+def test_control_characters(library):
+    own, table = bpe._table(RANKS, P.PATTERN)
+    texts = _control_texts(20_000)
+    ids, bounds = table.texts(texts)
+    assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [library.encode_ordinary(t) for t in texts]
+    raw, ends = own.decode(ids, bounds)
+    assert raw.tobytes().decode() == "".join(texts) and ends[-1] == len(raw)
+
+
+@pytest.mark.parametrize("pattern", [r"\S+|\s+", r"[^,]+|,", r"(?s).+"])
+def test_patterns_that_split_elsewhere_are_errors(pattern):
+    with pytest.raises(ValueError):
+        bpe._table(RANKS, pattern)
