@@ -4,7 +4,11 @@ The standard library's parser streams events; text between block tags is a line.
 line's ratio is its characters to the tags since the line before; ratios are smoothed by
 a Gaussian over neighbouring lines, and runs of lines above a threshold are content.
 The element that holds most of the content is the article: all its lines are its text,
-short ones too, but for those inside menus, headers, adverts, forms and the like.
+short ones too, but for those inside menus, headers, adverts, forms and the like. Tags
+and roles say what these are. A class or id only makes it likely: a part named so
+counts for nothing at first, and is taken back if it turns out to hold the content.
+
+All is linear in a page's length, however its tags are nested or left open.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,8 @@ SIGMA, REACH = 1.0, 3
 DEVIATIONS = 0.5
 #: A part of an element is entered if it holds this share of the element's content.
 SHARE = 0.6
+#: A part set apart by its name alone is taken back if the content outside is less than this share of its own.
+OUTSIDE = 0.2
 
 # HTML's element names, and words by which pages name what is no article.
 _BLOCKS = frozenset(
@@ -39,6 +46,8 @@ _UNSEEN = frozenset("script style noscript template title head svg math iframe o
 _APART = frozenset("nav footer aside form menu dialog search".split())
 _HOLDERS = frozenset("html body article main section div td center blockquote header".split())
 _HEADINGS = frozenset("h1 h2 h3".split())
+#: Within these an open element is looked for, not beyond.
+_BOUNDS = _HOLDERS | frozenset("ul ol table dl".split())
 #: An open element of these ends where one of the same kind, or the second kind, begins.
 _ENDS = {"p": "p", "li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option"}
 _WORDS = frozenset(
@@ -47,9 +56,16 @@ _WORDS = frozenset(
     " promo promos promotion recommended related replies reply respond responses search share sharing sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subnav subscribe"
     " subscription toast toolbar topbar topnav widget widgets".split()
 )
+#: Those of them that say so even as a part of a longer name, however much the element holds.
+_SURE = frozenset(
+    "adsense breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer gdpr masthead navbar navigation navlinks newsletter replies reply respond"
+    " responses sidebar sidebars sidenav signup subnav topnav".split()
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
-#: With these, "header" names the article's own head.
+#: A class or id that is one of these says that an element is the article, or in it; words of a longer name then count for nothing.
 _OWN = frozenset("article entry post story content".split())
+#: Words that say nothing beside others.
+_PLAIN = frozenset("area bar block box container inner item items link links list outer panel row section wrap wrapper".split())
 #: With these, a name says what a page has beside the element.
 _BESIDE = frozenset("has with without no".split())
 #: Generated names: a post's terms, a builder's containers, switches of a page.
@@ -58,89 +74,146 @@ _CUT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+#: What a name says of an element: nothing, that it may be apart as a part of a longer name has it, or that it is.
+NOTHING, PERHAPS, SURE = 0, 1, 2
+
+
 @lru_cache(maxsize=4096)
-def _named_apart(name: str) -> bool:
+def _named_apart(name: str) -> int:
     """Whether a class or id says that an element is no part of an article."""
-    for one in name.split():
+    some, found = name.split(), NOTHING
+    own = any(one.lower() in _OWN for one in some)
+    for one in some:
         if _GENERATED.fullmatch(one):
             continue
-        words = {w.lower() for w in _CUT.split(one)}
-        found = words & _WORDS
-        if found and not words & _BESIDE and (found - {"header"} or not words & _OWN):
-            return True
-    return False
+        words = {w.lower() for w in _CUT.split(one) if w}
+        apart = words & _WORDS
+        if not apart or words & _BESIDE or apart == {"header"} and words & _OWN:
+            continue
+        if words <= _WORDS | _PLAIN or not own and apart & _SURE:
+            return SURE
+        if not own:
+            found = PERHAPS
+    return found
 
 
 #: Set apart by a form alone.
 FORM = 2
 
 
+class _Open(NamedTuple):
+    """An open element: its name, the holder it is in, whether it is set apart by tag or role, unseen, by which name, inside a link, inside an article, and its bound's count of open names."""
+
+    tag: str
+    holder: int
+    apart: int
+    unseen: bool
+    named: int
+    linked: bool
+    inside: bool
+    counts: dict[str, int]
+
+
+class _Line(NamedTuple):
+    """A line: its text, tags before and in it, its holder, whether it is set apart by tag or role, by which name, whether it is a heading, and whether all of it is links."""
+
+    text: str
+    tags: int
+    holder: int
+    apart: bool
+    named: int
+    heading: bool
+    linked: bool
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags before and in it, characters inside links, the element that holds it, and whether it is set apart."""
+    """Lines of a page, the elements that hold them, and the parts that are named apart."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # element n: its parent, whether it is an article, its first heading's line
+        # holders in the order they begin, so that parents come first: each one's parent and kind
         self.parents, self.kinds = [-1], ["html"]
-        self.stack: list[tuple[str, int, bool | int, bool]] = [("", 0, False, False)]  # name, holder, apart, unseen
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        # parts that are named apart, likewise; the first stands for none
+        self.outer, self.sure = [-1], [False]
+        self.open = [_Open("", 0, 0, False, 0, False, False, {})]
+        self.all: dict[str, int] = {}
+        self.lines: list[_Line] = []
         self.parts: list[str] = []
-        self.tags, self.heading = 0, False
+        self.tags, self.heading, self.free = 0, False, False
 
     def _end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, holder, apart, _ = self.stack[-1]
-                self.lines.append((text, max(self.tags, 1), holder, apart, self.heading))
+                e = self.open[-1]
+                self.lines.append(_Line(text, max(self.tags, 1), e.holder, bool(e.apart), e.named, self.heading, not self.free))
                 self.tags, self.heading = 0, False
-            self.parts = []
+            self.parts, self.free = [], False
 
     def _pop(self, depth: int) -> None:
-        del self.stack[depth:]
+        for e in self.open[depth:]:
+            self.all[e.tag] -= 1
+        for e in self.open[depth:]:
+            if e.tag not in _BOUNDS:
+                e.counts[e.tag] -= 1
+        del self.open[depth:]
+
+    def _push(self, e: _Open) -> None:
+        self.all[e.tag] = self.all.get(e.tag, 0) + 1
+        if e.tag not in _BOUNDS:
+            e.counts[e.tag] = e.counts.get(e.tag, 0) + 1
+        self.open.append(e)
+
+    def _close_open(self, *tags: str) -> None:
+        """Ends the innermost open element of these names, if there is one within the bound."""
+        counts = self.open[-1].counts
+        if any(counts.get(t) or t in _BOUNDS and self.open[-1].tag == t for t in tags):
+            depth = len(self.open) - 1
+            while self.open[depth].tag not in tags:
+                depth -= 1
+            self._pop(depth)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        block = tag in _BLOCKS
-        if block:
+        if tag in _BLOCKS:
             self._end_line()
             if other := _ENDS.get(tag):
-                for depth in range(len(self.stack) - 1, 0, -1):
-                    name = self.stack[depth][0]
-                    if name in (tag, other):
-                        self._pop(depth)
-                        break
-                    if name in _HOLDERS or name in ("ul", "ol", "table", "dl"):
-                        break
+                self._close_open(tag, other)
         self.tags += 1
         if tag in _HEADINGS:
             self.heading = True
         if tag in _VOID:
             return
-        _, holder, apart, unseen = self.stack[-1]
+        _, holder, apart, unseen, named, linked, inside, counts = self.open[-1]
         unseen = unseen or tag in _UNSEEN
         if tag in ("article", "main") and apart == FORM:
-            apart = False  # a form around the whole page
-        apart = apart or (FORM if tag == "form" else tag in _APART)
-        if attrs and not (unseen or apart and apart != FORM):
+            apart = 0  # a form around the whole page
+        apart = apart or (FORM if tag == "form" else int(tag in _APART))
+        name = NOTHING
+        if attrs and not (unseen or apart == 1):
             for key, value in attrs:
                 if key in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-                    apart = (apart != FORM and apart) or _named_apart(value) or apart
-                elif key == "role" and value:
-                    apart = (apart != FORM and apart) or value.lower() in _ROLES or apart
+                    name = max(name, _named_apart(value))
+                elif key == "role" and value and value.lower() in _ROLES:
+                    apart = 1
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and _HIDDEN.search(value):
                     unseen = True
-        if tag == "header" and not any(self.kinds[h] in ("article", "main") for h in self._above(holder)):
-            apart = True  # the page's header; an article's own holds its title
+        if name == PERHAPS and any(k in ("class", "id") and v and not _OWN.isdisjoint(v.lower().split()) for k, v in attrs):
+            name = NOTHING  # the class says what the id leaves open, or the other way round
+        if tag == "header" and not inside:
+            apart = 1  # the page's header; an article's own holds its title
+        if name:
+            self.outer.append(named)
+            self.sure.append(name == SURE)
+            named = len(self.outer) - 1
         if tag in _HOLDERS:
+            kind = "main" if any(k == "role" and v == "main" for k, v in attrs) else tag
             self.parents.append(holder)
-            self.kinds.append("main" if any(k == "role" and v == "main" for k, v in attrs) else tag)
+            self.kinds.append(kind)
             holder = len(self.kinds) - 1
-        self.stack.append((tag, holder, apart, unseen))
-
-    def _above(self, holder: int) -> Iterator[int]:
-        while holder >= 0:
-            yield holder
-            holder = self.parents[holder]
+            inside = inside or kind in ("article", "main")
+        if tag in _BOUNDS:
+            counts = {}
+        self._push(_Open(tag, holder, apart, unseen, named, linked or tag == "a", inside, counts))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # HTML knows no empty elements but the void ones
@@ -150,17 +223,21 @@ class _Lines(HTMLParser):
         if tag in _BLOCKS:
             self._end_line()
         self.tags += 1
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth][0] == tag:
-                self._pop(depth)
-                break
-            # an end tag without its start ends nothing that is larger
-            if self.stack[depth][0] in _HOLDERS and tag not in _HOLDERS and tag not in _APART:
-                break
+        # an end tag without its start ends nothing, and none ends an element that is larger
+        if tag not in _BOUNDS and tag not in _APART:
+            self._close_open(tag)
+        elif self.all.get(tag):
+            depth = len(self.open) - 1
+            while self.open[depth].tag != tag:
+                depth -= 1
+            self._pop(depth)
 
     def handle_data(self, data: str) -> None:
-        if not self.stack[-1][3]:
+        e = self.open[-1]
+        if not e.unseen:
             self.parts.append(data)
+            if not e.linked and not data.isspace() and any(c.isalnum() for c in data):
+                self.free = True
 
     def close(self) -> None:
         super().close()
@@ -174,48 +251,84 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, k)[REACH : REACH + n] / np.convolve(np.ones(n), k)[REACH : REACH + n]
 
 
+def _content(lines: list[_Line], counted: list[bool]) -> list[bool]:
+    """Which lines are content: above the threshold of the smoothed ratios of those that count."""
+    ratio = smoothed(np.array([len(x.text) / x.tags if c else 0.0 for x, c in zip(lines, counted, strict=True)]))
+    return ((ratio >= DEVIATIONS * ratio.std()) & np.array(counted)).tolist()
+
+
+def _named_content(parser: _Lines) -> list[bool]:
+    """For each part that is named apart, whether it is taken back: it and what is around it hold the content all the same."""
+    lines, outer, sure = parser.lines, parser.outer, parser.sure
+    back = [True] + [False] * (len(outer) - 1)
+    if len(outer) > 1 and not all(sure[1:]):
+        content = _content(lines, [not x.apart for x in lines])
+        own = [0] * len(outer)
+        for x, c in zip(lines, content, strict=True):
+            if c:
+                own[x.named] += len(x.text)
+        # with what is in its parts that are named in part, too
+        weight, inner = own[:], [0] * len(outer)
+        for n in range(len(outer) - 1, 0, -1):
+            if not sure[n]:
+                weight[outer[n]] += weight[n] if outer[n] else 0
+                if not inner[outer[n]] or weight[n] > weight[inner[outer[n]]]:
+                    inner[outer[n]] = n
+        at, outside = inner[0], own[0]
+        while at and outside < OUTSIDE * weight[at]:
+            back[at], outside = True, outside + own[at]
+            at = inner[at]
+    for n in range(1, len(outer)):  # what is around comes first
+        back[n] = back[n] and back[outer[n]]
+    return back
+
+
 def main_text(html: str) -> str:
     """The article of a page, its blocks joined by line ends; '' if there is none."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
-    if not any(not apart for _, _, _, apart, _ in lines):
+    lines, parents, kinds = parser.lines, parser.parents, parser.kinds
+    back = _named_content(parser)
+    counted = [not x.apart and back[x.named] for x in lines]
+    if not any(counted):
         return ""
-    ratio = smoothed(np.array([0.0 if apart else len(text) / tags for text, tags, _, apart, _ in lines]))
-    chosen = ratio >= DEVIATIONS * ratio.std()
-    # characters of content in each element and all above it
-    weight = [0] * len(parser.kinds)
-    parts: dict[int, set[int]] = {}
-    for (text, _, holder, apart, _), take in zip(lines, chosen.tolist(), strict=True):
-        if take and not apart:
-            below = -1
-            for h in parser._above(holder):
-                weight[h] += len(text)
-                if below >= 0:
-                    parts.setdefault(h, set()).add(below)
-                below = h
+    content = _content(lines, counted)
+    # of each element and all in it: characters of content, and lines that are content or a heading; and its own headings
+    n = len(kinds)
+    weight, lead, headings, last = [0] * n, [0] * n, [False] * n, list(range(n))
+    for x, count, take in zip(lines, counted, content, strict=True):
+        if count:
+            weight[x.holder] += len(x.text) if take else 0
+            lead[x.holder] += take or x.heading
+            headings[x.holder] |= x.heading
+    best, articles = [-1] * n, [False] * n
+    for h in range(n - 1, 0, -1):
+        p = parents[h]
+        weight[p] += weight[h]
+        lead[p] += lead[h]
+        last[p] = max(last[p], last[h])
+        if weight[h]:
+            articles[p] |= kinds[h] == "article"
+            if best[p] < 0 or weight[h] >= weight[best[p]]:
+                best[p] = h
     at = 0
-    while parser.kinds[at] not in ("article", "main") or any(parser.kinds[p] == "article" for p in parts.get(at, ())):
-        inner = max(parts.get(at, ()), key=lambda p: weight[p], default=None)
-        if inner is None or weight[inner] < SHARE * weight[at]:
-            break
+    while kinds[at] not in ("article", "main") or articles[at]:
+        inner = best[at]
         # an element with a heading of its own is not left for a part without it
-        if any(heading and holder == at and not apart for _, _, holder, apart, heading in lines):
+        if inner < 0 or weight[inner] < SHARE * weight[at] or headings[at]:
             break
         # nor is an element left for a part that does not have its content and headings
-        within = {inner}
-        for n, parent in enumerate(parser.parents):
-            if parent in within:
-                within.add(n)
-        if parser.kinds[inner] not in ("article", "main") and any((heading or take) and not apart and holder not in within and at in parser._above(holder) for (_, _, holder, apart, heading), take in zip(lines, chosen.tolist(), strict=True)):
+        if kinds[inner] not in ("article", "main") and lead[inner] < lead[at]:
             break
         at = inner
-    inside = set()
-    for n, parent in enumerate(parser.parents):  # parents come before their parts
-        if n == at or parent in inside:
-            inside.add(n)
-    return "\n".join(text for text, _, holder, apart, _ in lines if holder in inside and not apart)
+    kept = [i for i, (x, count) in enumerate(zip(lines, counted, strict=True)) if count and at <= x.holder <= last[at]]
+    if kinds[at] not in ("article", "main"):
+        # rows of links before and after what is content or a heading are menus
+        lead_lines = [i for i in kept if content[i] and not lines[i].linked or lines[i].heading]
+        if lead_lines:
+            kept = [i for i in kept if lead_lines[0] <= i <= lead_lines[-1] or not lines[i].linked]
+    return "\n".join(lines[i].text for i in kept)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

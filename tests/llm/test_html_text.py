@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import numpy as np
 import pytest
@@ -79,3 +80,34 @@ SPLIT = {
 def test_split_articles_stay_whole(name):
     page, want = SPLIT[name]
     assert html_text.main_text(f"<body><nav><a>Home</a></nav>{page}</body>") == want
+
+
+TAKEN_BACK = {
+    "terms of a post": f"<article class='post category-advertising'><h1>T</h1><p>{LONG}</p></article>",
+    "own id": f"<div id='content' class='page widget-page'><h1>T</h1><p>{LONG}</p></div>",
+    "own class": f"<div class='story search-story'><h1>T</h1><p>{LONG}</p></div>",
+    "holds the content": f"<div class='page-widget'><div class='social-x'><h1>T</h1><p>{LONG}</p><div class='comments'><p>{LONG}</p></div></div></div>",
+    "menu and pager in a flat body": f"<ul><li><a href='/'>Home</a></li><li><a>About</a></li></ul><h1>T</h1><p>{LONG}</p><p><a>Prev</a> | <a>Next</a></p>",
+    "neutral names": f"<div class='x1'><a>Home</a></div><div class='x2'><h1>T</h1><div class='x3'><p>{LONG}</p></div></div><div class='x4'><a>About</a></div>",
+}
+
+
+@pytest.mark.parametrize("name", TAKEN_BACK)
+def test_names_are_only_a_hint(name):
+    assert html_text.main_text(f"<body>{TAKEN_BACK[name]}</body>") == f"T\n{LONG}"
+
+
+def test_a_part_named_apart_stays_apart_beside_content():
+    page = f"<body><div class='site-search'><p>{LONG}</p><p>{LONG}</p></div><div><h1>T</h1><p>{LONG}</p></div><div class='reader-comments'>{f'<p>{LONG}</p>' * 9}</div></body>"
+    assert html_text.main_text(page) == f"T\n{LONG}"
+    assert html_text.main_text(f"<body><div class='comments'><p>{LONG}</p></div></body>") == ""
+
+
+NESTED = ["<b>" * 20_000 + "</i>" * 20_000, "<div>x" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<td></td>" * 20_000, "<b>" * 20_000 + "<p>x</p>" * 20_000, "<span>" * 20_000 + "<nav></nav>" * 20_000, "<div>" * 20_000 + "<header>x</header>" * 20_000, "<div class='page-widget'>x" * 20_000]
+
+
+@pytest.mark.parametrize("page", NESTED, ids=range(len(NESTED)))
+def test_time_is_linear_in_nesting(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 4  # a fifth of a second or so each; squared work takes a minute
