@@ -1,20 +1,21 @@
 """Benchmark decontamination with a positional inverted index, by DataFrame functions only.
 
-The corpus counts of the benchmark's words say which word of each window is rarest and
-which comes next. Postings (word, document, position, the words around it) of those
-words alone are written: a frequent word's postings are never asked for unless a window
-has nothing rarer. A posting minus the word's place in the item is where the item would
-begin; postings of the two rarest words that name the same beginning are intersected,
-and what is left is compared word by word. Proximity matches allow the two beginnings
-to lie some words apart. Documents are told apart by the md5 of their text, so copies
-share their postings.
+The postings of a corpus (word, document, position of every word) are written once and
+serve any benchmark. They stay where their documents are: no word's postings are ever
+brought together, so a word in every document is no larger a task than another. For a
+benchmark, the postings' counts say which word of each window is rarest and which comes
+next. A posting of such a word minus its place in the item is where the item would
+begin. The two lists of a window are intersected by document and beginning, and the
+beginnings that are left are intersected with the postings of all the item's words.
+Windows that occur are runs of words that are there. Proximity matches allow the
+beginnings of several rare words to lie some words apart.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import staged
@@ -35,9 +36,13 @@ def _count(words: Column) -> Column:
     return F.greatest(F.size(words).cast("long") - edges, F.lit(0).cast("long"))
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A written table, sent to every task if it has few rows and else left to be shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _few(df) else df
 
 
 def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,80 +53,99 @@ def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _windows(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """item, at (the window's place), words, p1, t1, p2, t2: places in the item of the rarest word and of the next one, and the words.
+    """item, at (the window's place), distinct (its different words), missing (those that the corpus lacks), rare: the others as (cf, term, p), the rarest first.
 
-    Windows with a word that the corpus lacks are left out: they occur nowhere.
+    p is the word's place in the item; of a word that a window repeats, its first.
     """
     at = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
     cut = items.select("item", F.explode(at).alias("at"), "words").withColumn("words", F.slice("words", F.col("at") + 1, window))
-    each = cut.select("item", "at", F.size("words").alias("n"), F.posexplode("words").alias("k", "term"))
-    # a word that a window repeats counts at its first place
-    first = each.groupBy("item", "at", "n", "term").agg(F.min("k").alias("k"), F.count("*").alias("times"))
-    known = first.join(counts, "term").groupBy("item", "at", "n").agg(F.sum("times").alias("known"), F.array_sort(F.collect_list(F.struct("cf", "term", "k"))).alias("rare"))
-    rare = known.where("known = n").select("item", "at", *(F.get("rare", F.lit(i)).getField(f).alias(f"{a}{i + 1}") for i in (0, 1) for f, a in (("k", "p"), ("term", "t"))))
-    return rare.join(cut, ["item", "at"]).select("item", "at", "words", (F.col("at") + F.col("p1")).alias("p1"), "t1", (F.col("at") + F.col("p2")).alias("p2"), "t2")
+    each = cut.select("item", "at", F.posexplode("words").alias("k", "term"))
+    first = each.groupBy("item", "at", "term").agg((F.min("k") + F.col("at")).alias("p"))
+    known = first.join(counts, "term", "left").groupBy("item", "at")
+    rare = F.array_sort(F.collect_list(F.when(F.col("cf").isNotNull(), F.struct("cf", "term", "p"))))
+    return known.agg(F.count("*").cast("int").alias("distinct"), F.count_if(F.col("cf").isNull()).cast("int").alias("missing"), rare.alias("rare"))
 
 
 class Index:
-    """Postings of a benchmark's rarest words in a corpus, and its windows.
+    """The postings of a corpus, written once.
 
-    heads: one row per document: key (null without one), doc, n_words. postings: term, doc, pos, start, around.
+    heads: a row for each document: doc (its number), key (null without one), digest
+    (md5 of the text), n_words. postings: term, doc, pos (place in the split words).
+    Documents are rows: copies have postings each, so that none is more frequent than
+    another. Null texts have no words.
     """
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str | None = "doc_id", text: str = "text", item_key: str = "item_id"):
-        self.items = _items(benchmark, item_key, text)
-        words = split_words(F.col(f"`{text}`"))
-        vocabulary = _small(staged(self.items.select(F.explode("words").alias("term")).distinct(), "benchmark-words"))
-        counts = staged(docs.select(F.explode(words).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("cf")), "benchmark-counts")
-        self.windows = staged(_windows(self.items, counts, window), "benchmark-windows")
-        seeds = _small(staged(self.windows.select(F.explode(F.array("t1", "t2")).alias("seed")).where("seed is not null").distinct(), "benchmark-seeds"))
+    def __init__(self, docs: DataFrame, key: str | None = "doc_id", text: str = "text"):
         text_ = F.coalesce(F.col(f"`{text}`"), F.lit(""))
         # exploded from an array of one, so that texts are split once
-        rows = docs.select((F.col(f"`{key}`") if key else F.lit(None).cast("string")).alias("key"), F.md5(text_).alias("doc"), F.explode(F.array(words)).alias("words"))
-        each = rows.select("key", "doc", "words", F.posexplode("words").alias("pos", "term")).join(seeds, F.col("term") == F.col("seed"), "left")
-        start = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-        around = F.when(F.col("seed").isNotNull(), F.slice("words", start + 1, 2 * window - 1))
-        found = each.where("seed is not null or pos = 0").select("key", "doc", "pos", F.when(F.col("pos") == 0, _count(F.col("words"))).alias("n_words"), F.col("seed").alias("term"), start.alias("start"), around.alias("around"))
-        found = staged(found, "postings")
-        self.heads = found.where("pos = 0").select("key", "doc", "n_words")
-        self.postings = found.where("term is not null").select("term", "doc", "pos", "start", "around")
-
-    def _beginnings(self) -> DataFrame:
-        """item, p, doc, begin (where the item would begin), and the posting, for each rare word of an item."""
-        w = self.windows
-        places = w.select("item", F.col("p1").alias("p"), F.col("t1").alias("term")).union(w.select("item", "p2", "t2")).where("term is not null").distinct()
-        return self.postings.join(_small(places), "term").select("item", "p", "doc", (F.col("pos") - F.col("p")).alias("begin"), "start", "around")
-
-    def _paired(self) -> DataFrame:
-        """The beginnings whose posting has the other rare word of a window at the right distance; the others cannot intersect."""
-        w = self.windows
-        one = w.select("item", F.col("p1").alias("p"), F.struct((F.col("p2") - F.col("p1")).alias("by"), F.col("t2").alias("term")).alias("other"))
-        two = w.where("p2 is not null").select("item", F.col("p2").alias("p"), F.struct((F.col("p1") - F.col("p2")).alias("by"), F.col("t1").alias("term")).alias("other"))
-        others = _small(one.union(two).groupBy("item", "p").agg(F.collect_set("other").alias("others")))
-        at = F.col("begin") + F.col("p") - F.col("start")
-        there = F.exists("others", lambda x: x.term.isNull() | F.coalesce(F.get("around", at + x.by) == x.term, F.lit(False)))
-        return self._beginnings().join(others, ["item", "p"]).where(there).drop("others")
+        rows = docs.select((F.col(f"`{key}`") if key else F.lit(None).cast("string")).alias("key"), F.monotonically_increasing_id().alias("doc"), text_.alias("text"), F.explode(F.array(split_words(text_))).alias("words"))
+        rows = rows.select("doc", F.struct("key", F.md5("text").alias("digest"), _count(F.col("words")).alias("n_words")).alias("head"), "words")
+        each = rows.select("doc", "head", F.posexplode("words").alias("pos", "term")).where("term <> '' or pos = 0")
+        found = staged(each.select("term", "doc", "pos", F.when(F.col("pos") == 0, F.col("head")).alias("head")), "postings")
+        self.heads = found.where("pos = 0").select("doc", "head.*")
+        self.postings = found.where("term <> ''").select("term", "doc", "pos")
+
+    def search(self, benchmark: DataFrame, window: int = 10, item_key: str = "item_id", text: str = "text") -> Search:
+        return Search(self, benchmark, window, item_key, text)
+
+
+class Search:
+    """A benchmark's windows in a corpus."""
+
+    def __init__(self, index: Index, benchmark: DataFrame, window: int, item_key: str, text: str):
+        self.postings, self.window = index.postings, window
+        self.items = _items(benchmark, item_key, text)
+        vocabulary = staged(self.items.select(F.explode("words").alias("term")).distinct(), "benchmark-words")
+        if _few(vocabulary):
+            counts = self.postings.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("cf"))
+        else:  # counted before the words are joined: a task sends each of its words once
+            counts = self.postings.groupBy("term").agg(F.count("*").alias("cf")).join(vocabulary, "term")
+        self.windows = staged(_windows(self.items, staged(counts, "benchmark-counts"), window), "benchmark-windows")
+
+    def _alignments(self) -> DataFrame:
+        """item, doc, begin: where the two rarest words of a window that the corpus may hold are at the right places."""
+        rare = lambda i, f: F.get("rare", F.lit(i)).getField(f)
+        pairs = self.windows.where("missing = 0").select("item", rare(0, "term").alias("t1"), rare(0, "p").alias("p1"), rare(1, "term").alias("t2"), rare(1, "p").alias("p2")).distinct()
+        pairs = staged(pairs.withColumn("pair", F.monotonically_increasing_id()), "benchmark-pairs")
+        # the roles of a pair that a posting fills are bits
+        seeds = pairs.select("pair", F.explode(F.array(F.struct(F.col("t1").alias("term"), F.col("p1").alias("p"), F.when(F.col("t2").isNull(), 3).otherwise(1).alias("role")), F.struct(F.col("t2").alias("term"), F.col("p2").alias("p"), F.lit(2).alias("role")))).alias("x")).select("pair", "x.*").where("term is not null")
+        lists = self.postings.join(_small(staged(seeds, "benchmark-seeds")), "term").select("pair", "doc", (F.col("pos") - F.col("p")).alias("begin"), "role")
+        both = lists.groupBy("pair", "doc", "begin").agg(F.bit_or("role").alias("roles")).where("roles = 3")
+        return both.join(_small(pairs.select("pair", "item")), "pair").select("item", "doc", "begin").distinct()
 
     def exact(self) -> DataFrame:
-        """doc, item, start, end: occurrences of windows in documents, as places in their split words."""
-        lists = self._paired().groupBy("item", "doc", "begin").agg(F.collect_set(F.struct("p", "start", "around")).alias("found"))
-        each = lists.select("item", "doc", "begin", F.transform("found", lambda x: x.p).alias("places"), F.explode("found").alias("x"))
-        met = each.select("item", "doc", "begin", "places", F.col("x.p").alias("p1"), "x.start", "x.around").join(_small(self.windows), ["item", "p1"])
-        met = met.where("p2 is null or array_contains(places, p2)")
-        at = F.col("begin") + F.col("at")
-        # a window that would begin before the text cannot occur
-        same = (at >= F.col("start")) & (F.slice("around", F.greatest(at - F.col("start"), F.lit(0)) + 1, F.size("words")) == F.col("words"))
-        return met.where(same).select("doc", "item", at.alias("start"), (at + F.size("words")).alias("end"))
-
-    def near(self, slack: int) -> DataFrame:
-        """doc, item: the two rarest words of a window lie in a document as in the item, give or take slack words; exact matches too."""
-        pairs = _small(self.windows.select("item", "p1", "p2").distinct())
-        b = self._beginnings().select("item", "p", "doc", "begin").distinct()
-        cell = F.floor(F.col("begin") / (slack + 1))
-        one = b.withColumnRenamed("p", "p1").join(pairs, ["item", "p1"]).select("item", "doc", "p1", "p2", cell.alias("cell"), F.col("begin").alias("b1"))
-        two = b.join(pairs.select("item", "p1", F.col("p2").alias("p")), ["item", "p"]).select("item", "doc", "p1", F.col("p").alias("p2"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), F.col("begin").alias("b2"))
-        met = one.join(two, ["item", "doc", "p1", "p2", "cell"]).where(F.abs(F.col("b1") - F.col("b2")) <= slack)
-        return met.select("doc", "item").union(one.where("p2 is null").select("doc", "item")).distinct()
+        """doc, item, start, end: runs of words in documents that are occurrences of windows, as places in their split words."""
+        found = staged(self._alignments(), "alignments")
+        words = self.items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("i", "term"))
+        asked = found.join(_small(words), "item").select("item", "n", "doc", "begin", "i", (F.col("begin") + F.col("i")).alias("pos"), "term")
+        own = self.postings.join(_small(staged(found.select("doc").distinct(), "aligned")), "doc", "left_semi")
+        met = asked.join(own, ["doc", "pos", "term"])
+        # words one after another have the same place minus rank
+        rank = F.row_number().over(Window.partitionBy("item", "doc", "begin").orderBy("i"))
+        runs = met.withColumn("run", F.col("i") - rank).groupBy("item", "doc", "begin", "n", "run").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b"))
+        return runs.where(F.col("b") - F.col("a") >= F.least(F.lit(self.window), F.col("n"))).select("doc", "item", (F.col("begin") + F.col("a")).alias("start"), (F.col("begin") + F.col("b")).alias("end"))
+
+    def near(self, slack: int, words: int = 4, least: int = 3) -> DataFrame:
+        """doc, item: documents near an item.
+
+        Of a window's `words` rarest words that the corpus has, at least `least` (of fewer
+        different words in the window, all) are there, in as many places of the document,
+        and where the item would begin by them lies within slack words.
+        """
+        need = F.least(F.lit(least), F.col("distinct"))
+        some = self.windows.select("item", "at", need.alias("need"), F.slice("rare", 1, words).alias("rare")).where(F.size("rare") >= F.col("need"))
+        each = staged(some.select("item", "at", "need", F.explode("rare").alias("x")).select("item", "at", "need", "x.term", "x.p"), "benchmark-rare")
+        places = each.groupBy("item", "term", "p").agg(F.min("need").alias("need"))
+        lists = self.postings.join(_small(places), "term").select("item", "p", "need", "doc", "pos", (F.col("pos") - F.col("p")).alias("begin"))
+
+        def dense(by: list[str], behind: int) -> Column:
+            around = Window.partitionBy(*by).orderBy("begin").rangeBetween(-behind, slack)
+            return F.least(F.size(F.collect_set("p").over(around)), F.size(F.collect_set("pos").over(around)))
+
+        # first by items, which leaves few; then by windows
+        likely = lists.withColumn("met", dense(["item", "doc"], slack)).where("met >= need").select("item", "p", "doc", "pos", "begin")
+        own = likely.join(_small(each.select("item", "p", "at", "need")), ["item", "p"])
+        return own.withColumn("met", dense(["item", "at", "doc"], 0)).where("met >= need").select("doc", "item").distinct()
 
 
 def _covered(spans: Column) -> Column:
@@ -146,9 +170,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key:
     Repeated documents get equal results each; other columns are neither read nor
     returned. With no documents there are no rows, with no items no hits.
     """
-    index = Index(docs, benchmark, window, key, text, item_key)
-    ids = _small(index.items.select("item", "item_id"))
-    hits = index.exact().join(ids, "item").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item_id").alias("ids"))
+    index = Index(docs, key, text)
+    search = index.search(benchmark, window, item_key, text)
+    ids = _small(search.items.select("item", "item_id"))
+    hits = search.exact().join(ids, "item").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.collect_set("item_id").alias("ids"))
     listed = F.sha2(F.concat_ws(",", F.array_sort("ids")), 256)
     hits = staged(hits.select("doc", _covered(F.col("spans")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), listed.alias("items_sha256")), "contaminated")
     none = F.lit(0).cast("long")
@@ -159,11 +184,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_key: str = "item_id") -> DataFrame:
     """The rows of docs, with its columns, in which no window of the benchmark occurs; null texts have no words and stay."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    hit = staged(Index(docs, benchmark, window, None, text, item_key).exact().select("doc").distinct(), "contaminated")
-    return rows.join(_small(hit), F.md5(F.coalesce("_text", F.lit(""))) == F.col("doc"), "left_anti").select("_row.*")
+    index = Index(docs, None, text)
+    found = staged(index.search(benchmark, window, item_key, text).exact().select("doc").distinct(), "contaminated")
+    # rows are known by their texts: the numbers of a second run might be others
+    hit = staged(index.heads.join(_small(found), "doc", "left_semi").select("digest").distinct(), "contaminated-texts")
+    return rows.join(_small(hit), F.md5(F.coalesce("_text", F.lit(""))) == F.col("digest"), "left_anti").select("_row.*")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 3, window: int = 10, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """key, item_id: items near a document's words, as Index.near has it; a row for each document and item."""
-    index = Index(docs, benchmark, window, key, text, item_key)
-    return index.near(slack).join(_small(index.items.select("item", "item_id")), "item").join(index.heads, "doc").select(F.col("key").alias(key), "item_id").distinct()
+    """key, item_id: items near a document's words, as Search.near has it; a row for each row of docs and item.
+
+    Nulls, repeated rows and empty tables are as in contamination; a row without items
+    near it is not returned.
+    """
+    index = Index(docs, key, text)
+    search = index.search(benchmark, window, item_key, text)
+    near = search.near(slack).join(_small(search.items.select("item", "item_id")), "item").select("doc", "item_id").distinct()
+    return near.join(index.heads, "doc").select(F.col("key").alias(key), "item_id")

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 from gridloom.llm import decontamination
 
@@ -44,12 +45,71 @@ def test_small_cases(spark):
     assert [tuple(g)[1:] for g in got] == _brute([*TEXTS, *TEXTS], ITEMS)
 
 
+def _near(texts, items, slack=3, window=10, words=4, least=3):
+    """(place of the text, item) by the definition: rare words of a window, in order of count in all texts and of the words themselves."""
+    split = [_words(t) for t in texts]
+    cf = Counter(w for t in split for w in t)
+    out = set()
+    for item_id, item in items:
+        v = _words(item)
+        for at in range(max(1, len(v) - window + 1)) if v else ():
+            first = {}
+            for k, w in enumerate(v[at : at + window]):
+                first.setdefault(w, at + k)
+            rare = sorted((cf[w], w, p) for w, p in first.items() if cf[w])[:words]
+            for n, t in enumerate(split):
+                found = sorted((i - p, p, i) for _, w, p in rare for i, x in enumerate(t) if x == w)
+                for b, _, _ in found:
+                    some = [(p, i) for c, p, i in found if b <= c <= b + slack]
+                    if min(len({p for p, _ in some}), len({i for _, i in some})) >= min(least, len(first)):
+                        out.add((n, "" if item_id is None else str(item_id)))
+    return out
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red green of the blue"), (2, "red green x x of the blue"), (3, "red x x x x x x green blue"), (4, "blue red")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "red green of the blue")], "item_id long, text string")
+    texts = ["red green of the blue", "red green x x of the blue", "red x x x x x x green blue", "blue red", "red green of the", "x red lime of the blue"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, "red green of the blue"), (8, "violet green of the blue")], "item_id long, text string")
     got = decontamination.proximity(docs, items, slack=2).collect()
-    # rarest of all: of and the, then green
-    assert sorted(r.doc_id for r in got) == [1, 2]
+    assert {(r.doc_id, r.item_id) for r in got} == _near(texts, [tuple(r) for r in items.collect()], 2)
+    # a word of each item may be another one, even if it is nowhere in the corpus
+    assert {(r.doc_id, r.item_id) for r in got} >= {(0, "7"), (1, "7"), (5, "7"), (0, "8"), (4, "8")} and not any(r.doc_id in (2, 3) for r in got)
+
+
+def test_proximity_of_the_tables(spark, sf):
+    docs, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = docs.orderBy("doc_id").collect()
+    items = [tuple(r) for r in benchmark.select("item_id", "text").collect()]
+    got = {(r.doc_id, r.item_id) for r in decontamination.proximity(docs, benchmark).collect()}
+    assert got == {(rows[n].doc_id, i) for n, i in _near([r.text for r in rows], items)}
+    exact = {(r.doc_id, i) for r in rows for i, n in ((str(i), _brute([r.text], [(i, t)])[0][1]) for i, t in items) if n}
+    assert exact and exact <= got
+    assert decontamination.proximity(docs.where("false"), benchmark).count() == 0 == decontamination.proximity(docs, benchmark.where("false")).count()
+
+
+def test_one_index_for_two_benchmarks(spark):
+    index = decontamination.Index(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    for some in (ITEMS[:3], ITEMS[3:]):
+        found = index.search(spark.createDataFrame(some, "item_id long, text string")).exact().join(index.heads, "doc").select("key").distinct()
+        assert sorted(r.key for r in found.collect()) == [n for n, w in enumerate(_brute(TEXTS, some)) if w[1]]
+
+
+def test_without_broadcasts(spark, sf, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontamination.contamination(docs, benchmark).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, decontamination.contamination(docs, benchmark).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_very_long_text(spark):
+    text = "w" + " other words" * 300_000 + " quick brown foxes"
+    docs = spark.createDataFrame([(1, text), (2, "quick brown")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Quick brown foxes")], "item_id long, text string")
+    assert [tuple(r)[:4] for r in decontamination.contamination(docs, items).orderBy("doc_id").collect()] == [(1, 600_004, 3, 1), (2, 2, 0, 0)]
 
 
 def test_awkward_rows(spark, docs, none):
