@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontamination, html_text, imatch, licenses, ngram_lm, quality, sharding, simhash, token_files
 from ._common import table
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import NOTICES, SPELLINGS
 
-#: Bytes of text in a shard at most.
-SHARD_BYTES = 16 << 20
+#: Bytes of text in a shard at most: few enough that the smallest tables are split several times.
+SHARD_BYTES = 64 << 10
 
 
 def crc_is_two(modulus: int):
@@ -114,23 +114,25 @@ def license_sql() -> str:
         return x
 
     def lines(x: str) -> str:
-        x = rf"regexp_replace(lower(coalesce({x}, '')), '(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|:|[0-9])|\(c\)|©)[^\n]*$', '', 'g')"
-        return same(rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')", SPELLINGS)
+        x = rf"regexp_replace(lower(coalesce({x}, '')), '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright[ \t]*(?:\(c\)|©|:|<|\[|\{{|yyyy|[0-9])[^\n]*|\(c\)[^\n]*|©[^\n]*|all rights reserved[^\p{{L}}\p{{N}}\n]*)$', '', 'g')"
+        x = rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+        x = rf"regexp_replace(chr(10) || chr(10) || {x} || chr(10) || chr(10), '(\n *\n) *copyright [^\n]*(\n *\n)', '\1\2', 'g')"
+        return same(x, SPELLINGS)
 
     def whole(x: str) -> str:
         return same(rf"trim(regexp_replace({x}, '[ \n]+', ' ', 'g'))", [s for s in SPELLINGS if " " in s[0].strip()])
 
-    texts = ", ".join(f"({_quoted(i)}, {_quoted(x)})" for i, title, text in TEXTS for x in (text, f"{title}\n\n{text}"))
+    texts = ", ".join(f"({_quoted(i)}, {_quoted(x)})" for i, x in licenses.texts())
     notices = ", ".join(f"({_quoted(i)}, {_quoted(x)})" for i, x in NOTICES)
     return f"""
 WITH t AS (SELECT md5({whole(lines('text'))}) AS digest, min(license_id) AS license_id FROM (VALUES {texts}) v(license_id, text) GROUP BY 1),
 n AS (SELECT md5({whole(lines('text'))}) AS digest, min(license_id) AS license_id FROM (VALUES {notices}) v(license_id, text) GROUP BY 1),
-d AS (SELECT doc_id, {lines('text')} AS l FROM documents),
-w AS (SELECT doc_id, md5({whole('l')}) AS digest FROM d),
-e AS (SELECT doc_id, md5({whole('x')}) AS digest FROM (SELECT doc_id, unnest(string_split(l, chr(10))) AS x FROM d)),
-f AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM e JOIN n USING (digest) GROUP BY doc_id)
+d AS (SELECT row_number() OVER () AS n, doc_id, {lines('text')} AS l FROM documents),
+w AS (SELECT n, doc_id, md5({whole('l')}) AS digest FROM d),
+e AS (SELECT n, md5({whole('x')}) AS digest FROM (SELECT n, unnest(string_split(l, chr(10))) AS x FROM d)),
+f AS (SELECT e.n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM e JOIN n USING (digest) GROUP BY e.n)
 SELECT w.doc_id, w.digest, t.license_id, coalesce(f.notices, '') AS notices
-FROM w LEFT JOIN t USING (digest) LEFT JOIN f ON w.doc_id = f.doc_id"""
+FROM w LEFT JOIN t USING (digest) LEFT JOIN f ON w.n = f.n"""
 
 
 def oracle_sql() -> dict[str, str]:
