@@ -11,12 +11,16 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time.
 BLOCK_BYTES = 2 << 20
 #: Bytes that Spark gives a Python task at a time, about; its own bound is a number of rows, however long.
 ARROW_BYTES = 8 << 20
 
+#: Rows of a key from which on it may be told apart from others in joins.
+HOT = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,6 +65,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, found: DataFrame, on: str, total: int, count: str = "n") -> DataFrame:
+    """Rows joined to a written table with one row for each key, which also counts the key's rows; total is the number of rows.
+
+    Keys of more than a ten-thousandth of all rows (and of HOT rows at least) are at most
+    ten thousand: these are sent to every task, so that their rows meet in none. The
+    others' rows are shuffled by key.
+    """
+    hot = max(HOT, total // 10_000)
+    heavy = F.broadcast(found.where(F.col(count) > hot).drop(count))
+    light = found.where(F.col(count) <= hot).drop(count)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(on), on, "left_anti").join(light, on))
+
+
 def partitions(df: DataFrame) -> int:
     """Number of input partitions, which follows the input's bytes."""
     return max(1, df.rdd.getNumPartitions())

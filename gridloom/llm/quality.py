@@ -158,8 +158,9 @@ def score(docs: DataFrame, net: ChunkNet | float, threshold: float = 0.7, text:
 
 
 def accepted(docs: DataFrame, net: ChunkNet | float, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of docs, with its columns, whose score is at least the threshold."""
-    own = ("_quality_score", "_quality_predicted")
+    """The rows of docs, with its columns, whose score is at least the threshold. Nulls, repeats and empty tables are as in score."""
+    free = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # longer than any name of docs
+    own = (f"{free}score", f"{free}predicted")
     return score(docs, net, threshold, text, own).where(F.col(own[1]) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import blocks, hash_words, mix, mounted_dir, ready, staged, text_bytes
+from ._common import blocks, hash_words, join_counted, mix, mounted_dir, ready, staged, text_bytes
 
-#: Fingerprints in a tile: 1/TILES of all, between LEAST and MOST.
+#: Fingerprints in a tile: 1/TILES of all, between LEAST and MOST. Tiles are TILES and one more for each
+#: population count at most, until they are as large as MOST; then their number grows with the input.
 TILES, LEAST, MOST = 128, 8192, 1 << 20
 #: Numbers of dropped rows that are sent to every task, at most; of some 30 bytes each.
 BROADCAST_ROWS = 1_000_000
@@ -231,25 +232,20 @@ def links(distinct: DataFrame, radius: int, similarity: float | None = None, fol
 
     With a similarity they connect nodes whose sets have it, too; distinct then has node, file, start, size besides.
     """
-    # at most 65 rows each: counts of fingerprints by population count
+    # a row for each population count, 65 at most: its number of tiles
     counts = {r[0]: r[1] for r in distinct.groupBy(F.bit_count("fp").alias("ones")).count().collect()}
     size = min(MOST, max(LEAST, sum(counts.values()) // TILES))
-    tiles = [(ones, n, max(1, -(-count // size))) for ones, count in sorted(counts.items()) for n in [0]]
-    many = {ones: m for ones, _, m in tiles}
-    pairs = []
-    names = [(ones, k) for ones, m in many.items() for k in range(m)]
-    number = {x: i for i, x in enumerate(names)}
-    for x in names:
-        for ones in range(x[0], x[0] + radius + 1):
-            pairs += [(number[x], number[(ones, k)]) for k in range(many.get(ones, 0)) if (ones, k) >= x]
+    many = {ones: max(1, -(-n // size)) for ones, n in sorted(counts.items())}
     spark = distinct.sparkSession
-    # the plan of pairs: tiles are few (TILES, and one more for each population count), whatever the input
-    plan = spark.createDataFrame([(i, n) for n, p in enumerate(pairs) for i in sorted(set(p))], "tile int, pair int")
-    first = spark.createDataFrame([(ones, number[(ones, 0)], m) for ones, m in many.items()], "ones int, first int, m int")
-    ones = F.bit_count("fp")
-    dealt = distinct.withColumn("ones", ones.cast("int")).join(F.broadcast(first), "ones").select((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")).alias("tile"), *distinct.columns)
-    packed = staged(dealt.groupBy("tile").agg(F.collect_list("fp" if similarity is None else F.struct("fp", "node", "file", "start", "size")).alias("fps")), "simhash-tiles")
-    both = packed.join(F.broadcast(plan), "tile")
+    tiles = F.broadcast(spark.createDataFrame(list(many.items()), "ones int, m int"))
+    near = F.broadcast(spark.createDataFrame([(a, b, many[b]) for a in many for b in many if abs(a - b) <= radius], "ones int, other int, m int"))
+    dealt = distinct.withColumn("ones", F.bit_count("fp").cast("int")).join(tiles, "ones").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    packed = staged(dealt.groupBy("ones", "tile").agg(F.collect_list("fp" if similarity is None else F.struct("fp", "node", "file", "start", "size")).alias("fps")), "simhash-tiles")
+    # each tile meets all tiles of near population counts, itself too; a pair is named by both, the lesser first
+    one = F.struct("ones", "tile")
+    met = packed.join(near, "ones").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    two = F.struct(F.col("other").alias("ones"), F.col("k").alias("tile"))
+    both = met.select(F.struct(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).alias("pair"), "fps")
 
     def compare(group: pa.Table) -> pa.Table:
         fps = [np.frombuffer(x.values.buffers()[1], np.uint64)[x.values.offset : x.values.offset + len(x.values)] for x in group.column("fps").combine_chunks()]
@@ -267,7 +263,9 @@ def links(distinct: DataFrame, radius: int, similarity: float | None = None, fol
         src, dst = link_similar(fps[0], fps[1] if len(fps) > 1 else None, radius, size, load, similarity)
         return pa.table({"src": node[np.array(src, np.int64)], "dst": node[np.array(dst, np.int64)]})
 
-    n = max(1, min(len(pairs), 4 * distinct.sparkSession.sparkContext.defaultParallelism, 10_000))
+    # as many partitions as there are pairs, by the counts of tiles alone, up to 10,000
+    pairs = sum(m * many.get(b, 0) if b > a else m * (m + 1) // 2 for a, m in many.items() for b in range(a, a + radius + 1))
+    n = max(1, min(pairs, 4 * spark.sparkContext.defaultParallelism, 10_000))
     return both.repartition(n, "pair").groupBy("pair").applyInArrow(compare if similarity is None else compare_sets, "src long, dst long")
 
 
@@ -275,20 +273,21 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for each node of a written table of edges src, dst, by large-star and small-star rounds."""
     both = lambda e: e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
-    def large(e: DataFrame) -> DataFrame:
+    # the centre of a large component has very many edges: it is told by its count
+    def large(e: DataFrame, total: int) -> DataFrame:
         n = both(e)
-        least = n.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
-        return n.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        least = staged(n.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"), F.count("*").alias("n")), "components-least")
+        return join_counted(n, least, "src", 2 * total).where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
 
-    def small(e: DataFrame) -> DataFrame:
+    def small(e: DataFrame, total: int) -> DataFrame:
         down = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        least = down.groupBy("src").agg(F.min("dst").alias("low"))
-        tied = down.join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
+        least = staged(down.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n")), "components-least")
+        tied = join_counted(down, least, "src", total).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
         return tied.union(least.select("src", F.col("low").alias("dst"))).distinct()
 
-    e, before = edges, None
+    e, before, total = edges, None, edges.count()
     while True:
-        e = staged(small(large(e)), "components")
+        e = staged(small(staged(large(e, total), "components-large"), total), "components")
         # a forest of stars has one edge for each node, and all edges of a round equal the last round's
         now = tuple(e.agg(F.count("*"), F.count_distinct("src"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
         if now == before or now[0] == 0:
@@ -315,11 +314,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, key: str =
 
 
 def _named(rows: DataFrame, found: DataFrame, node: str) -> DataFrame:
-    """The rows with the smallest key of their node's component."""
-    least = rows.groupBy(node).agg(F.min("key").alias("low"))
-    named = least.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
-    low = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return rows.join(named.join(low, "component").select(node, "component_id"), node)
+    """The rows with the smallest key of their node's component. rows: a written table."""
+    total = rows.count()
+    least = rows.groupBy(node).agg(F.min("key").alias("low"), F.count("*").alias("n"))
+    # a node may be that of very many rows, and a component may have very many nodes
+    named = staged(least.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node)), "simhash-nodes")
+    low = staged(named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("nodes")), "simhash-components")
+    ids = staged(join_counted(named.select("component", node, "n"), low, "component", total, "nodes").select(node, "component_id", "n"), "simhash-ids")
+    return join_counted(rows, ids, node, total)
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 13, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:

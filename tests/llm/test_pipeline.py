@@ -3,10 +3,25 @@ import hashlib
 import corpus_pipeline
 import pytest
 from gridloom.llm import decontamination, quality, simhash
+from pyspark.sql import functions as F
 
 from .test_decontamination import _brute as hits
-from .test_simhash import _brute as groups
-from .test_simhash import _fingerprint
+
+
+def _shingles(text):
+    some = (text or "").encode().lower().split()
+    return {b" ".join(some[i : i + 5]) for i in range(max(1, len(some) - 4))} if some else set()
+
+
+def groups(sets):
+    """The first of each set's component; sets are linked from a Jaccard similarity of 0.8 on."""
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and len(a & b) >= 0.8 * len(a | b):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
 
 
 @pytest.fixture(scope="module")
@@ -27,8 +42,9 @@ def test_stages_against_brute_force(spark, sf, quick):
         if n == 0:
             assert 0.7 * len(before) < len(rows) < len(before)
         elif n == 1:
-            roots = groups([_fingerprint(r.text) for r in before], 4)
-            assert rows == [before[i] for i in sorted(set(roots))]
+            # the stage's rule is five-word shingles of similarity 0.8 or more, whatever the fingerprints; over all pairs
+            roots = groups([_shingles(r.text) for r in before])
+            assert rows == [before[i] for i in sorted(set(roots))] and len(rows) < len(before)
         elif n == 2:
             items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
             assert rows == [r for r, h in zip(before, hits([r.text for r in before], items), strict=True) if not h[4]]
@@ -50,4 +66,7 @@ def test_representatives_and_clean_of_awkward_rows(spark, docs, none):
     items = spark.createDataFrame([(1, "quick brown")], "item_id long, text string")
     assert sorted(str(r.doc_id) for r in decontamination.clean(docs, items).collect()) == ["2", "3", "7", "None"]
     assert decontamination.clean(none, items).count() == 0
+    clash = docs.withColumn("_quality_score", F.lit(2)).withColumn("_text", F.lit("t")).withColumn("_row", F.lit(3))
+    assert [tuple(r)[4:] for r in quality.accepted(clash, 0.9).collect()] == [(2, "t", 3)] * 7 and quality.accepted(clash, 0.9).columns == clash.columns
+    assert decontamination.clean(clash, items).columns == clash.columns and decontamination.clean(clash, items).count() == 4
     assert quality.accepted(docs, 0.9).count() == 7 and quality.accepted(docs, 0.5).count() == 0

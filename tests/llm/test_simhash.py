@@ -102,3 +102,33 @@ def test_representatives_of_similar_texts(spark, docs, none):
     assert got == sorted(set(label)) and len(got) < 100
     assert sorted(str(r.doc_id) for r in simhash.representatives(docs, 13, similarity=0.8).collect()) == ["1", "2", "7", "None"]
     assert simhash.representatives(none, 13, similarity=0.8).count() == 0
+
+
+def test_many_tiles_and_hot_keys(spark, monkeypatch):
+    # tiles of 40 fingerprints, a third of all rows in one text and components with a centre, told apart from 5 rows on
+    from gridloom.llm import _common
+
+    for name, value in (("LEAST", 40), ("MOST", 40)):
+        monkeypatch.setattr(simhash, name, value)
+    monkeypatch.setattr(_common, "HOT", 5)
+    pick = np.random.default_rng(7)
+    fps = pick.integers(0, 2**63, 300, dtype=np.int64)
+    fps = np.concatenate([fps, fps[0] ^ (1 << np.arange(40)), np.zeros(150, np.int64)]).tolist()
+    rows = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, key, text, words: rows.toDF("key", "fp"))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    roots = _brute([f & (2**64 - 1) for f in fps], 4)
+    assert got == dict(enumerate(roots))
+
+
+def test_very_long_text(spark):
+    long = "some words that go on " * 60_000
+    docs = spark.createDataFrame([(1, long), (2, long + "end"), (3, "some words")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(r.doc_id for r in simhash.representatives(docs, 13, similarity=0.8).collect()) == [1, 3]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6, 7), (2, "a b c", 8, 9, 10)], "doc_id long, text string, _row long, _n long, fp long")
+    for some in (simhash.representatives(docs), simhash.representatives(docs, 13, similarity=0.8)):
+        assert [tuple(r) for r in some.collect()] == [(1, "a b c", 5, 6, 7)] and some.columns == docs.columns
