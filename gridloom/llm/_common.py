@@ -128,7 +128,7 @@ _STEP = 0x9E3779B97F4A7C15
 _POW = np.array([pow(_STEP, i, 2**64) for i in range(256)], dtype=np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     global _POW
     while len(_POW) < n:
         _POW = np.concatenate([_POW, _POW * np.uint64(pow(_STEP, len(_POW), 2**64))])
@@ -162,6 +162,6 @@ def hash_words(raw: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) ->
         return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64)
     length = np.diff(np.append(starts, n))
     pos = np.arange(starts[0], n, dtype=np.int64) - np.repeat(starts, length)
-    values = np.where(between, np.uint64(0), _SALT)[raw[starts[0] :]] * _powers(int(length.max()))[pos]
+    values = np.where(between, np.uint64(0), _SALT)[raw[starts[0] :]] * powers(int(length.max()))[pos]
     h = mix(np.add.reduceat(values, starts - starts[0]))
     return h, np.diff(np.searchsorted(starts, off))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SIGNS, blocks, hash_words, mix, mounted_dir, partitions, ready, text_bytes
+from ._common import SIGNS, blocks, hash_words, mix, mounted_dir, partitions, powers, ready, text_bytes
 from .runs import RUNS, MappedArrays, cut_runs, merged_runs, save_array, summed
 
 #: Kept terms are in at least and at most these shares of the documents (and in two at least).
@@ -98,7 +98,7 @@ def build_lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, mos
 
 
 def signatures(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """A row of 16-bit hashes for each text: the whole lexicon's, then each part's; 0 where a part has no term of the text."""
+    """A row of 32-bit hashes for each text: the whole lexicon's, then each part's; 0 where a part has no term of the text."""
     terms, n = distinct_terms(column)
     text = np.repeat(np.arange(len(n)), n)
     known, back = np.unique(terms, return_inverse=True)
@@ -108,19 +108,18 @@ def signatures(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     # a text without kept terms counts all it has
     kept |= (np.bincount(text[kept], minlength=len(n)) == 0)[text]
     terms, text = terms[kept], text[kept]
-    n = np.bincount(text, minlength=len(n))
-    out = np.zeros((len(n), len(_SHARES)), np.uint16)
-    full = np.flatnonzero(n)
-    if not len(full):
-        return out
-    starts = (np.cumsum(n) - n)[full]
+    out = np.zeros((len(n), len(_SHARES)), np.uint32)
     for i, share in enumerate(_SHARES):
         spread = mix(terms ^ _SALTS[2 * i])
-        inside = np.ones(len(terms), bool) if share >= 2.0**64 else spread < np.uint64(share)
-        # terms are distinct and in order, so a sum of their hashes stands for the sorted list
-        sums = np.add.reduceat(np.where(inside, mix(spread + _SALTS[2 * i + 1]), np.uint64(0)), starts)
-        some = np.add.reduceat(inside.astype(np.int64), starts) > 0
-        out[full, i] = np.where(some, np.maximum((sums >> np.uint64(48)).astype(np.uint16), 1), 0)
+        inside = np.arange(len(terms)) if share >= 2.0**64 else np.flatnonzero(spread < np.uint64(share))
+        if not len(inside):
+            continue
+        own = text[inside]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        # terms are in order: a polynomial of their hashes, by their places in the sorted list
+        place = np.arange(len(inside)) - np.repeat(starts, np.diff(np.append(starts, len(inside))))
+        whole = np.add.reduceat(mix(spread[inside] + _SALTS[2 * i + 1]) * powers(int(place.max()) + 1)[place], starts)
+        out[own[starts], i] = np.maximum((mix(whole) >> np.uint64(32)).astype(np.uint32), 1)
     return out
 
 
@@ -137,13 +136,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _hex(rows: np.ndarray) -> list[str]:
-    raw = rows.astype(">u2").tobytes().hex()
-    width = rows.shape[1] * 4
+    raw = rows.astype(">u4").tobytes().hex()
+    width = rows.shape[1] * 8
     return [raw[i : i + width] for i in range(0, len(raw), width)] if width else []
 
 
 def fingerprints(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fingerprint (4 hexadecimal digits for the lexicon and for each part) of every row; equal texts have equal ones, null is empty."""
+    """key, fingerprint (8 hexadecimal digits for the lexicon and for each part) of every row; equal texts have equal ones, null is empty."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
@@ -166,22 +165,22 @@ def compare_with_edits(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", t
     spark = ready(docs.sparkSession)
     n = partitions(docs)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    # ranges of keys: one least key for each partition
-    ranged = rows.select("key").where("key is not null").repartitionByRange(n, "key").withColumn("part", F.spark_partition_id())
-    least = sorted(r.low for r in ranged.groupBy("part").agg(F.min("key").alias("low")).collect())
+    hashed = rows.select("key", F.xxhash64("text").alias("h"))
+    # ranges of keys and hashes, so that rows of one key are dealt out too: one least pair for each partition
+    ranged = hashed.repartitionByRange(n, "key", "h").withColumn("part", F.spark_partition_id())
+    least = sorted((r.low["key"] is not None, r.low["key"], r.low["h"]) for r in ranged.groupBy("part").agg(F.min(F.struct("key", "h")).alias("low")).collect())
 
-    def part_of(k) -> int:
-        return 0 if k is None else max(0, bisect_right(least, k) - 1)
+    def part_of(k, h: int) -> int:
+        return max(0, bisect_right(least, (k is not None, k, h)) - 1)
 
     kind = rows.schema["key"].dataType
     fields = [T.StructField("part", T.IntegerType()), T.StructField("key", kind), T.StructField("h", T.LongType()), T.StructField("text", T.StringType())]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = pa.array([part_of(k) for k in batch.column(0).to_pylist()], pa.int32())
+            parts = pa.array(list(map(part_of, batch.column(0).to_pylist(), batch.column(1).to_pylist())), pa.int32())
             yield pa.RecordBatch.from_arrays([parts, *batch.columns], names=["part", *batch.schema.names])
 
-    hashed = rows.select("key", F.xxhash64("text").alias("h"))
     greatest = hashed.mapInArrow(place, T.StructType(fields[:3])).groupBy("part").agg(F.max(F.struct("key", "h")).alias("first")).collect()  # a row for each partition
     # the first row of a partition is also what comes after the last row of the one above
     filled = sorted((r.part for r in greatest), reverse=True)
@@ -192,7 +191,7 @@ def compare_with_edits(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", t
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            parts = [part_of(k) for k in keys]
+            parts = list(map(part_of, keys, hashes))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *batch.columns, pa.array([False] * len(keys))], names=schema.names)
             more = [i for i, (p, k, h) in enumerate(zip(parts, keys, hashes, strict=True)) if firsts[p] == (k, h)]
             if more:

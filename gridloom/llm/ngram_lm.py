@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from ._common import blocks, hash_words, mix, mounted_dir, ready, staged, text_bytes
 from .runs import RUNS, MappedArrays, bucket_of, cut_runs, merged_runs, run, save_array, summed
 
-#: Bytes of text for each bucket, about, and entries of a task's counts before it sends them on.
+#: Buckets at most; each task sends a run to each.
+BUCKETS = 50_000
+#: Bytes of text for each bucket, about, until there are BUCKETS, and entries of a task's counts before it sends them on.
 BUCKET_BYTES, FLUSH = 16 << 20, 4_000_000
 #: Bytes of text that are scored at a time.
 SCORE_BYTES = 4 << 20
@@ -124,7 +126,7 @@ def train(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES)
     spark = ready(docs.sparkSession)
     here = mounted_dir(spark, "ngrams")
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    n_words, n_pairs = max(1, size // (4 * bucket_bytes)), max(1, size // bucket_bytes)
+    n_words, n_pairs = (min(BUCKETS, max(1, size // some)) for some in (4 * bucket_bytes, bucket_bytes))
 
     # 1. words
     def put_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +140,8 @@ def train(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES)
     for r in found:
         words[r.bucket] = r.n
     words, all_tokens = tuple(words), sum(r.total for r in found)
+    if sum(words) >= 1 << 32:
+        raise ValueError("a pair's key has 32 bits for each word's number: there are too many different words")
 
     # 2. pairs, and for each word what its pairs add up to
     def keys(h: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from gridloom.llm import imatch
+from pyspark.sql import functions as F
 
 
 def _brute(rows):
@@ -63,3 +64,17 @@ def test_awkward_rows(spark, docs, none):
     assert imatch.compare_with_edits(none, imatch.build_lexicon(none)).count() == 0
     one = docs.where("doc_id = 1")
     assert imatch.compare_with_edits(one, lexicon).first().near_next == 1.0
+
+
+def test_hashes_are_of_the_sorted_terms(spark, docs):
+    lexicon = imatch.build_lexicon(docs)
+    a, b, c = (imatch.signatures(pa.array([t]), lexicon)[0] for t in ("b a c", "C, a  b b", "a b d"))
+    assert a.dtype == np.uint32 and (a == b).all() and a[0] != c[0] and ((a == c) | (a == 0) | (c == 0)).sum() < len(a)
+
+
+def test_one_key_of_many_rows_is_dealt_out(spark):
+    docs = spark.createDataFrame([(5, f"text number {i}") for i in range(400)] + [(None, f"none {i}") for i in range(50)], "doc_id long, text string").repartition(6)
+    rows = sorted(((r.doc_id is not None, r.doc_id, r.h, r.text) for r in docs.withColumn("h", F.xxhash64("text")).collect()), reverse=True)
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + rows[(i + 1) % len(rows)][3][: len(t) // 3]).encode()).hexdigest() for i, (_, _, _, t) in enumerate(rows))
+    got = imatch.compare_with_edits(docs, imatch.build_lexicon(docs)).withColumn("p", F.spark_partition_id()).collect()
+    assert sorted(r.edited_sha256 for r in got) == want and len({r.p for r in got}) > 1
