@@ -51,7 +51,8 @@ def with_shards(rows: DataFrame, max_bytes: int, key: str, size: Column | str) -
         one = [F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(total[0]).cast("long").alias("shard_bytes"), F.lit(total[1]).cast("long").alias("shard_rows")]
         return base.select("_row.*", "n_bytes", *one)
 
-    open_rows, path, round_, done = base, [], 0, []
+    # the rounds see row numbers and sizes alone; each is written once, for the rows that are done and for the next one
+    open_rows, path, round_, done = base.select("_n", "n_bytes", "_bits"), [], 0, []
     while True:
         here = f"_a{round_}"
         open_rows = open_rows.withColumn(here, _address(round_))
@@ -68,16 +69,16 @@ def with_shards(rows: DataFrame, max_bytes: int, key: str, size: Column | str) -
         directory = staged(nodes.groupBy(*path).agg(leaf.alias("_leaf")), "shard-directory")
         if round_ == 0:
             directory = F.broadcast(directory)  # 2**STEP rows at most, whatever the input
-        joined = open_rows.join(directory, path)
-        done.append(joined.where("_leaf is not null").select("_row.*", "n_bytes", F.expr("substring(_bits, 1, _leaf.depth)").alias("shard"), "_leaf.*"))
-        if last or not directory.where("_leaf is null").limit(1).count():
-            break
+        joined = staged(open_rows.join(directory, path), "shard-round")
+        done.append(joined.where("_leaf is not null").select("_n", F.expr("substring(_bits, 1, _leaf.depth)").alias("shard"), "_leaf.*"))
         open_rows = joined.where("_leaf is null").drop("_leaf")
+        if last or not open_rows.limit(1).count():
+            break
         round_ += 1
-    out = done[0]
+    leaves = done[0]
     for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        leaves = leaves.unionByName(x)
+    return base.join(leaves, "_n").select("_row.*", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
 
 
 def shard_documents(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
