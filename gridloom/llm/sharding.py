@@ -3,7 +3,8 @@
 A row's address is a string of hash bits: 60 of md5(key), then 60 of md5(row
 number), so that repeated keys can be told apart too. The directory starts as one
 bucket; a bucket over the byte limit is split on its next bit, others stay whole.
-Sizes are summed for 12 bits of address at a time, so 100 TB take two rounds.
+Sizes are summed for up to 16 bits of address at a time, as many as the largest open
+bucket needs, so 100 TB take two or three rounds.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ._common import shared_dir, staged
 
-#: Address bits looked at in one round; a round's first directory has at most 2**STEP rows.
-STEP = 12
+#: Address bits looked at in one round at most; the first directory has at most 2**STEP rows.
+STEP = 16
 WORD = 60
 
 
@@ -24,9 +25,9 @@ def _bits(value: Column) -> Column:
     return F.lpad(F.bin(F.conv(F.substring(F.md5(value), 1, WORD // 4), 16, 10).cast("long")), WORD, "0")
 
 
-def _address(round_: int) -> Column:
+def _address(start: int, bits: int) -> Column:
     """The bits of one round as an integer."""
-    return F.conv(F.substring("_bits", round_ * STEP + 1, STEP), 2, 10).cast("int")
+    return F.conv(F.substring("_bits", start + 1, bits), 2, 10).cast("int")
 
 
 def with_shards(rows: DataFrame, max_bytes: int, key: str, size: Column | str) -> DataFrame:
@@ -52,29 +53,34 @@ def with_shards(rows: DataFrame, max_bytes: int, key: str, size: Column | str) -
         return base.select("_row.*", "n_bytes", *one)
 
     # the rounds see row numbers and sizes alone; each is written once, for the rows that are done and for the next one
-    open_rows, path, round_, done = base.select("_n", "n_bytes", "_bits"), [], 0, []
+    open_rows, path, start, largest, done = base.select("_n", "n_bytes", "_bits"), [], 0, total[0], []
     while True:
-        here = f"_a{round_}"
-        open_rows = open_rows.withColumn(here, _address(round_))
-        path.append(here)
+        # as many bits as the largest open bucket needs to be cut into parts that fit, and two more
+        bits = min(STEP, max(1, -(-largest // max(1, max_bytes)) - 1).bit_length() + 2, 2 * WORD - start)
+        last = start + bits == 2 * WORD  # only rows alike in all bits are left with more than fits
+        here = f"_a{start}"
+        open_rows = open_rows.withColumn(here, _address(start, bits))
+        above, path = path, [*path, here]
         cells = open_rows.groupBy(*path).agg(F.sum("n_bytes").alias("_b"), F.count("*").alias("_c"))
-        nodes = cells.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(STEP)))).withColumn("_node", F.expr(f"shiftright({here}, {STEP} - _d)"))
-        node = W.partitionBy(*path[:-1], "_d", "_node")
-        nodes = nodes.withColumns({"_b": F.sum("_b").over(node), "_c": F.sum("_c").over(node)})
-        fits = (F.col("_b") <= max_bytes) | (F.col("_c") == 1)
-        leaf = F.min(F.when(fits, F.struct((F.col("_d") + round_ * STEP).alias("depth"), F.col("_b").alias("shard_bytes"), F.col("_c").alias("shard_rows"))))
-        last = round_ == 2 * WORD // STEP - 1
-        if last:  # only rows alike in 120 bits get here
-            leaf = F.coalesce(leaf, F.min(F.struct((F.col("_d") + round_ * STEP).alias("depth"), F.col("_b").alias("shard_bytes"), F.col("_c").alias("shard_rows"))))
-        directory = staged(nodes.groupBy(*path).agg(leaf.alias("_leaf")), "shard-directory")
-        if round_ == 0:
+        nodes = cells.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(bits)))).withColumn("_node", F.expr(f"shiftright({here}, {bits} - _d)"))
+        fits = (F.col("_b") <= max_bytes) | (F.col("_c") == 1) | (F.lit(last) & (F.col("_d") == bits))
+        nodes = staged(nodes.groupBy(*above, "_d", "_node").agg(F.sum("_b").alias("_b"), F.sum("_c").alias("_c")).withColumn("_fits", fits), "shard-nodes")
+        # a bucket is a node that fits under one that does not
+        split = nodes.where("not _fits").select(*above, (F.col("_d") + 1).alias("_d"), F.col("_node").alias("_parent"))
+        small = nodes.where("_fits").withColumn("_parent", F.shiftright("_node", 1))
+        buckets = small.where("_d = 1").unionByName(small.join(split, [*above, "_d", "_parent"], "left_semi").select(small.columns))
+        leaf = F.struct((F.col("_d") + start).alias("depth"), F.col("_b").alias("shard_bytes"), F.col("_c").alias("shard_rows")).alias("_leaf")
+        first = F.expr(f"shiftleft(_node, {bits} - _d)")
+        directory = buckets.select(*above, F.explode(F.sequence(first, first + F.expr(f"shiftleft(1, {bits} - _d)") - 1)).alias(here), leaf)
+        if start == 0:
             directory = F.broadcast(directory)  # 2**STEP rows at most, whatever the input
-        joined = staged(open_rows.join(directory, path), "shard-round")
+        joined = staged(open_rows.join(directory, path, "left"), "shard-round")
         done.append(joined.where("_leaf is not null").select("_n", F.expr("substring(_bits, 1, _leaf.depth)").alias("shard"), "_leaf.*"))
-        open_rows = joined.where("_leaf is null").drop("_leaf")
-        if last or not open_rows.limit(1).count():
+        largest = nodes.where(F.col("_d") == bits).where("not _fits").agg(F.max("_b")).first()[0]
+        if largest is None:
             break
-        round_ += 1
+        open_rows = joined.where("_leaf is null").drop("_leaf")
+        start += bits
     leaves = done[0]
     for x in done[1:]:
         leaves = leaves.unionByName(x)

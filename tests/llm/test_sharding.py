@@ -33,6 +33,7 @@ def test_against_brute_force(spark, sf):
 def test_deep_directory_and_single_large_row(spark):
     rows = [(i, "x" * 10) for i in range(9000)] + [(9000, "y" * 500)]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    assert {str(r.doc_id): r.shard for r in got} == _brute([(str(k), len(t)) for k, t in rows], 10)
     assert len(got) == 9001 and max(r.depth for r in got) > sharding.STEP
     assert all(r.shard_rows == 1 for r in got)
 
