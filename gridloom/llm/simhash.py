@@ -15,6 +15,7 @@ which tasks memory-map.
 
 from __future__ import annotations
 
+import shutil
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -261,6 +262,7 @@ def links(distinct: DataFrame, radius: int, similarity: float | None = None, fol
             return _mapped(f"{folder}/{file[i]}.u64")[start[i] : start[i] + size[i]] if size[i] else np.zeros(0, np.uint64)
 
         src, dst = link_similar(fps[0], fps[1] if len(fps) > 1 else None, radius, size, load, similarity)
+        _mapped.cache_clear()  # a worker that stays must not hold files that are deleted
         return pa.table({"src": node[np.array(src, np.int64)], "dst": node[np.array(dst, np.int64)]})
 
     # as many partitions as there are pairs, by the counts of tiles alone, up to 10,000
@@ -339,7 +341,10 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius:
     sets = staged(_written_sets(rows, folder, words, shingle), "simhash")
     one = F.min(F.struct("fp", "file", "start", "size")).alias("one")
     distinct = staged(sets.groupBy("node").agg(one).select("node", "one.*"), "simhash-distinct")
-    found = components(staged(links(distinct, radius, similarity, folder).distinct(), "simhash-links"))
+    linked = staged(links(distinct, radius, similarity, folder).distinct(), "simhash-links")
+    # the links are written: the sets, larger than the texts, are asked for no more
+    shutil.rmtree(folder, ignore_errors=True)
+    found = components(linked)
     return _named(sets.select("key", "node"), found, "node").select(F.col("key").alias(key), "component_id")
 
 
