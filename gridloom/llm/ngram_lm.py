@@ -1,13 +1,16 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted arrays.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark, kept as sorted arrays.
 
-A word is its 64-bit hash. Each task counts its own words (then word pairs), sorts
+A word is its 64-bit hash. Each task counts its own words (then triples of words), sorts
 them and sends one compressed run to each bucket; a bucket merges its runs into sorted
-arrays and writes them as files to the shared folder. Buckets are ranges of mixed
-hashes, so a frequent word or context weighs no more than any other key, and there are
-more buckets the more text there is. Workers memory-map the arrays to score texts.
-
-Files: words (hash, count, total, kinds, preceders) and pairs (word number << 32 | word
-number, count), each cut into buckets. A word's number is its place in all words.
+arrays and writes them as files to the shared folder. What triples add up to for their
+pairs, and pairs for their words, goes on to the buckets of these. Buckets are ranges of
+mixed hashes of whole keys, so a frequent word or context weighs no more than any other
+key, and there are more buckets the more text there is. Workers memory-map the arrays to
+score texts.
+
+Files: words (hash, count, and as a context and as what follows), pairs (word number << 32
+| word number, the same), triples (hash of a pair and a word number, count), each cut into
+buckets. A word's number is its place in all words.
 """
 
 from __future__ import annotations
@@ -18,20 +21,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, hash_words, mix, mounted_dir, ready, staged, text_bytes
+from ._common import blocks, hash_words, mix, mounted_dir, ready, text_bytes
 from .runs import RUNS, MappedArrays, bucket_of, cut_runs, merged_runs, run, save_array, summed
 
 #: Buckets at most; each task sends a run to each.
 BUCKETS = 50_000
 #: Bytes of text for each bucket, about, until there are BUCKETS, and entries of a task's counts before it sends them on.
-BUCKET_BYTES, FLUSH = 16 << 20, 4_000_000
+BUCKET_BYTES, FLUSH = 8 << 20, 2_000_000
 #: Bytes of text that are scored at a time.
 SCORE_BYTES = 4 << 20
 #: Stands for a text's end as a word; as a context it is a text's start.
 EDGE = np.uint64(0x5EED0FE2D0000001)
+_LOW = np.uint64(2**32 - 1)
+#: Sums of a context: all that follows it, and kinds of it that count once, twice, more often; and how many kinds stand before it.
+SUMS = ("total", "once", "twice", "more", "before")
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,30 +48,50 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, ends, EDGE), n + 1
 
 
-def _contexts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """What stands before each token: a text's first word follows EDGE."""
-    before = np.roll(h, 1)
-    before[np.cumsum(n) - n] = EDGE
-    return before
+def _before(at: np.ndarray, lens: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """What stands two places and one place before each token: before a text's first word is the edge."""
+    starts = np.cumsum(lens) - lens
+    one = np.roll(at, 1)
+    one[starts] = edge
+    two = np.roll(one, 1)
+    two[starts] = edge
+    return two, one
+
+
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+
 
+def _triple(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(pair) + word)
 
-def _texts(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{text}`").alias("text"))
 
+def _merged(key: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys in order, what each carries, and the sums of the last column."""
+    if not len(key):
+        return [key, *rest]
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return [key[at], *(x[order[at]] for x in rest[:-1]), np.add.reduceat(rest[-1][order], at)]
 
-def _count(docs: DataFrame, text: str, keys: Callable, bucket: Callable, n: int) -> DataFrame:
-    """Runs of (key, count), dealt to their buckets."""
+
+def _count(docs: DataFrame, text: str, keys: Callable, n: int) -> DataFrame:
+    """Runs of counted keys, dealt to buckets. keys: a hash for each token, and what is sent for it instead, if anything."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            k, c = summed(*map(np.concatenate, zip(*held, strict=True)))
-            yield from cut_runs(bucket(k), n, [k, c], "run")
+            h, *sent = _merged(*map(np.concatenate, zip(*held, strict=True)))
+            if len(sent) == 1:
+                return cut_runs(bucket_of(h, n), n, [h, *sent], "run")
+            order = np.argsort(sent[0])  # for compression
+            return cut_runs(bucket_of(h, n)[order], n, [x[order] for x in sent], "run")
 
         for block in blocks(batches):
             h, lens = tokens(block.column("text"))
-            held.append(summed(k := keys(h, lens), np.ones(len(k), np.int64)))
+            held.append(_merged(*keys(h, lens), np.ones(len(h), np.int64)))
             size += len(held[-1][0])
             if size > FLUSH:
                 yield from flush()
@@ -72,20 +99,20 @@ def _count(docs: DataFrame, text: str, keys: Callable, bucket: Callable, n: int)
         if size:
             yield from flush()
 
-    return _texts(docs, text).mapInArrow(each, RUNS).repartitionById(n, F.col("bucket"))
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(each, RUNS).repartitionById(n, F.col("bucket"))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Where a model's files are, and its sums. buckets, words: of files and of words in each."""
+    """Where a model's files are, and its sums. words: of each file of words; discounts: of triples, pairs and words."""
 
     folder: str
     words: tuple[int, ...]
     pairs: int
+    triples: int
     tokens: int
     mass: int
-    discounts: tuple[float, float, float]
-    lower: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]
     spare: float
 
     @property
@@ -94,9 +121,10 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def _arrays(folder: str, words: tuple[int, ...], pairs: int) -> tuple[MappedArrays, MappedArrays, np.ndarray]:
-    first = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
-    return MappedArrays(folder, len(words), ("hash", "count", "total", "kinds", "preceders")), MappedArrays(folder, pairs, ("pair", "pair_count")), first
+def _arrays(model: Model) -> tuple[MappedArrays, MappedArrays, MappedArrays, np.ndarray]:
+    words = MappedArrays(model.folder, len(model.words), ("hash", "count", *(f"word_{x}" for x in SUMS)))
+    pairs = MappedArrays(model.folder, model.pairs, ("pair", *(f"pair_{x}" for x in SUMS)))
+    return words, pairs, MappedArrays(model.folder, model.triples, ("triple", "triple_count")), np.concatenate([[0], np.cumsum(model.words)]).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -104,11 +132,8 @@ def _hashes(folder: str, words: tuple[int, ...]) -> tuple[MappedArrays, np.ndarr
     return MappedArrays(folder, len(words), ("hash",)), np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
 
 
-def _numbers(own: MappedArrays, first: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Numbers of distinct words in order, -1 where unknown."""
-    bucket = bucket_of(words, own.buckets)
-    there, place, _ = own.find(words, bucket, 0)
-    return np.where(there, first[bucket.astype(np.int64)] + place, -1)
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max())))
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -121,12 +146,33 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.01), k - 0.01) for k, x in zip((1, 2, 3), d, strict=True))
 
 
+def _tallies(x: np.ndarray) -> np.ndarray:
+    """How many are 1, 2, 3, 4, how many are 3 or more, and the sum of all."""
+    n = np.bincount(np.minimum(x.astype(np.int64), 5), minlength=6)
+    return np.array([*n[1:5], n[3:].sum(), x.sum()], np.int64)
+
+
+def _sums(left: np.ndarray, right: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """What keys counted c times add up to: for their contexts left, and for what they end in."""
+    zero = np.zeros(len(c), np.int64)
+    kinds = [(np.minimum(c, 3) == i).astype(np.int64) for i in (1, 2, 3)]
+    return summed(np.concatenate([left, right]), *(np.concatenate([x, zero]) for x in (c, *kinds)), np.concatenate([zero, zero + 1]))
+
+
+def _aside(batches: Iterator[pa.RecordBatch], kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes runs on; tallies are kept."""
+    for batch in batches:
+        is_run = pc.equal(batch.column("kind"), "run")
+        kept.append(batch.filter(pc.invert(is_run)))
+        yield batch.filter(is_run)
+
+
 def train(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> Model:
-    """Counts a bigram model over whole texts; a null text is empty. No rows give a model that knows nothing."""
+    """Counts a trigram model over whole texts; a null text is empty. No rows give a model that knows nothing."""
     spark = ready(docs.sparkSession)
     here = mounted_dir(spark, "ngrams")
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    n_words, n_pairs = (min(BUCKETS, max(1, size // some)) for some in (4 * bucket_bytes, bucket_bytes))
+    n_words, n_pairs, n_triples = (min(BUCKETS, max(1, size // some)) for some in (8 * bucket_bytes, bucket_bytes, bucket_bytes))
 
     # 1. words
     def put_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +181,7 @@ def train(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES)
             save_array(here, "count", b, c.astype(np.int64))
             yield pa.RecordBatch.from_pydict({"bucket": [b], "n": [len(h)], "total": [int(c.sum())]})
 
-    found = _count(docs, text, lambda h, _: h, lambda k: bucket_of(k, n_words), n_words).mapInArrow(put_words, "bucket long, n long, total long").collect()  # a row for each bucket
+    found = _count(docs, text, lambda h, _: [h], n_words).mapInArrow(put_words, "bucket long, n long, total long").collect()  # a row for each bucket
     words = [0] * n_words
     for r in found:
         words[r.bucket] = r.n
@@ -143,87 +189,100 @@ def train(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES)
     if sum(words) >= 1 << 32:
         raise ValueError("a pair's key has 32 bits for each word's number: there are too many different words")
 
-    # 2. pairs, and for each word what its pairs add up to
-    def keys(h: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    # 2. triples, and for each pair what its triples add up to
+    def keys(h: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
         own, first = _hashes(here, words)
         known, at = np.unique(h, return_inverse=True)
-        number = _numbers(own, first, known)
-        edge = number[np.searchsorted(known, EDGE)]
-        after = number[at]
-        before = np.roll(after, 1)
-        before[np.cumsum(lens) - lens] = edge
-        return (before << 32 | after).astype(np.uint64)
-
-    def put_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.uint64(2**32 - 1)
-        # numbers belong to the bucket of words that their hashes are in
-        starts = np.cumsum(words)
-        for b, (k, c) in merged_runs(batches, 2):
+        bucket = bucket_of(known, own.buckets)
+        number = first[bucket.astype(np.int64)] + own.find(known, bucket, 0)[1]
+        two, one = _before(at, lens, int(np.searchsorted(known, EDGE)))
+        pair, word = _pair(number[two], number[one]), number[at].astype(np.uint64)
+        return [_triple(pair, word), pair, word]
+
+    def put_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, (h, pair, word, c) in merged_runs(batches, 3, lambda pair, word, c: _merged(_triple(pair, word), pair, word, c)):
             c = c.astype(np.int64)
-            save_array(here, "pair", b, k)
-            save_array(here, "pair_count", b, c.astype(np.min_scalar_type(int(c.max()))))
-            left, right = k >> np.uint64(32), k & low
-            kinds = np.minimum(c, 3)
-            one, zero = np.ones(len(k), np.int64), np.zeros(len(k), np.int64)
-            sums = summed(np.concatenate([left, right]), np.concatenate([c, zero]), *(np.concatenate([(kinds == i).astype(np.int64), zero]) for i in (1, 2, 3)), np.concatenate([zero, one]))
-            yield from cut_runs(np.searchsorted(starts, sums[0].astype(np.int64), side="right").astype(np.uint64), n_words, sums, "sums")
-            yield run(0, "counts", 0, np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(np.int64).tobytes())
-
-    runs = staged(_count(docs, text, keys, lambda k: bucket_of(mix(k), n_pairs), n_pairs).mapInArrow(put_pairs, RUNS), "ngram-sums")
-    counted = [sum(x) for x in zip(*(np.frombuffer(r.data, np.int64).tolist() for r in runs.where("kind = 'counts'").select("data").toLocalIterator()), strict=True)] or [0] * 4
-
-    # 3. totals, kinds and preceders of words, as files beside their hashes
-    discounts = _discounts(counted)
+            save_array(here, "triple", b, h)
+            save_array(here, "triple_count", b, _narrow(c))
+            sums = _sums(pair, _pair(pair & _LOW, word), c)
+            yield from cut_runs(bucket_of(mix(sums[0]), n_pairs), n_pairs, sums, "run")
+            yield run(b % n_pairs, "triples", 0, _tallies(c).tobytes())
 
+    # 3. pairs; they count by how many kinds stand before them
+    def put_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, kept = np.cumsum(words), []  # a word's number tells its bucket
+        for b, (pair, *sums) in merged_runs(_aside(batches, kept), 1 + len(SUMS)):
+            for name, x in zip(("pair", *(f"pair_{x}" for x in SUMS)), (pair, *map(_narrow, sums)), strict=True):
+                save_array(here, name, b, x)
+            before = sums[-1].astype(np.int64)
+            follows = before > 0
+            sums = _sums(pair[follows] >> np.uint64(32), pair[follows] & _LOW, before[follows])
+            yield from cut_runs(np.searchsorted(starts, sums[0].astype(np.int64), side="right").astype(np.uint64), n_words, sums, "run")
+            yield run(b % n_words, "pairs", 0, _tallies(before).tobytes())
+        yield from (x.set_column(0, "bucket", pa.array(np.arange(x.num_rows, dtype=np.int32) % n_words)) for x in kept if x.num_rows)
+
+    # 4. the same of words, beside their hashes
     def put_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (number, total, k1, k2, k3, before) in merged_runs(batches, 6):
+        kept, tallies = [], {"triples": np.zeros(6, np.int64), "pairs": np.zeros(6, np.int64), "words": np.zeros(6, np.int64)}
+        for b, (number, *sums) in merged_runs(_aside(batches, kept), 1 + len(SUMS)):
             at = number.astype(np.int64) - sum(words[:b])
-            spare = discounts[0] * k1 + discounts[1] * k2 + discounts[2] * k3
-            for name, x, kind in (("total", total, np.int64), ("kinds", spare, np.float64), ("preceders", before, np.int64)):
-                full = np.zeros(words[b], kind)
+            for name, x in zip(SUMS, sums, strict=True):
+                full = np.zeros(words[b], np.int64)
                 full[at] = x
-                save_array(here, name, b, full)
-            n = np.bincount(np.minimum(before.astype(np.int64), 5), minlength=6)
-            yield pa.RecordBatch.from_pydict({"mass": [int(before.sum())], **{f"n{i}": [int(n[i])] for i in range(1, 5)}, "many": [int(n[3:].sum())]})
-
-    sums = runs.where("kind = 'sums'").repartitionById(n_words, F.col("bucket")).mapInArrow(put_sums, "mass long, n1 long, n2 long, n3 long, n4 long, many long").collect()  # a row for each bucket
-    mass, n1, n2, n3, n4, many = (sum(x) for x in zip(*sums, strict=True)) if sums else [0] * 6
-    lower = _discounts([n1, n2, n3, n4])
-    return Model(here, words, n_pairs, all_tokens, mass, discounts, lower, lower[0] * n1 + lower[1] * n2 + lower[2] * many)
+                save_array(here, f"word_{name}", b, full)
+            tallies["words"] += _tallies(sums[-1])
+        for batch in kept:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                tallies[kind] += np.frombuffer(data, np.int64)
+        yield pa.RecordBatch.from_pydict({"kind": list(tallies), "n": [x.tolist() for x in tallies.values()]})
+
+    triples = _count(docs, text, keys, n_triples).mapInArrow(put_triples, RUNS)
+    pairs = triples.repartitionById(n_pairs, F.col("bucket")).mapInArrow(put_pairs, RUNS)
+    sums = pairs.repartitionById(n_words, F.col("bucket")).mapInArrow(put_sums, "kind string, n array<long>").collect()  # three rows for each bucket of words
+    n = {kind: [sum(x) for x in zip(*(r.n for r in sums if r.kind == kind), strict=True)] or [0] * 6 for kind in ("triples", "pairs", "words")}
+    discounts = tuple(_discounts(n[kind][:4]) for kind in ("triples", "pairs", "words"))
+    ones, twos, _, _, many, mass = n["words"]
+    return Model(here, words, n_pairs, n_triples, all_tokens, mass, discounts, sum(d * k for d, k in zip(discounts[2], (ones, twos, many), strict=True)))
+
+
+def _interpolated(count: np.ndarray, context: list[np.ndarray], discounts: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+    """Discounted counts by their contexts' totals, and the discounted mass by the lower order; that alone where the context is unknown."""
+    total, *kinds = context
+    spare = sum(d * k for d, k in zip(discounts, kinds, strict=True))
+    p = (np.maximum(count - np.array([0.0, *discounts])[np.minimum(count, 3)], 0) + spare * lower) / np.maximum(total, 1)
+    return np.where(total > 0, p, lower)
 
 
 def log_probabilities(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens and known tokens of each text, and its log10 probability by counts of words and by the model."""
     h, lens = tokens(column)
     starts = np.cumsum(lens) - lens
-    by_word, by_pair, first = _arrays(model.folder, model.words, model.pairs)
+    by_word, by_pair, by_triple, first = _arrays(model)
     known, at = np.unique(h, return_inverse=True)
     bucket = bucket_of(known, by_word.buckets)
-    own = by_word.find(known, bucket, 0)
-    number = np.where(own[0], first[bucket.astype(np.int64)] + own[1], -1)
-    count, total, before = (np.zeros(len(known), np.int64) for _ in range(3))
-    kinds = np.zeros(len(known))
-    for b in np.unique(bucket[own[0]]).tolist():
-        which = np.flatnonzero(own[0] & (bucket == b))
-        place, files = own[1][which], by_word[b]
-        for to, x in zip((count, total, kinds, before), files[1:], strict=True):
-            to[which] = x[place]
+    there, place, (count, *word) = by_word.find(known, bucket, 1 + len(SUMS))
+    number = np.where(there, first[bucket.astype(np.int64)] + place, -1)
     base = np.log10((count + 1) / (model.tokens + model.distinct + 1))
-    edge = int(np.searchsorted(known, EDGE))
-    left = np.roll(at, 1)
-    left[starts] = edge
-    # how often a word follows another one, discounted; what is left over is spread evenly over all words and one unknown
-    lower = np.array([0.0, *model.lower])[np.minimum(before, 3)]
-    follows = (np.maximum(before - lower, 0) + model.spare / (model.distinct + 1)) / model.mass if model.mass else np.full(len(known), 1 / (model.distinct + 1))
-    both = (number[left] >= 0) & (number[at] >= 0)
-    pair = np.where(both, number[left] << 32 | np.maximum(number[at], 0), -1).astype(np.uint64)
-    some, back = np.unique(pair, return_inverse=True)
-    _, _, (seen,) = by_pair.find(some, bucket_of(mix(some), by_pair.buckets), 1)
-    c = np.where(both, seen[back], 0)
-    all_, spare = total[left], kinds[left]
-    off = np.array([0.0, *model.discounts])[np.minimum(c, 3)]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(all_ > 0, (c - off + spare * follows[at]) / all_, follows[at])
+    two, one = _before(at, lens, int(np.searchsorted(known, EDGE)))
+
+    def pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        ok = (number[left] >= 0) & (number[right] >= 0)
+        key = _pair(np.where(ok, number[left], 0), np.where(ok, number[right], 0))
+        some, back = np.unique(key, return_inverse=True)
+        _, _, sums = by_pair.find(some, bucket_of(mix(some), by_pair.buckets), len(SUMS))
+        return ok, key, [np.where(ok, x[back], 0) for x in sums]
+
+    ok, key, wide = pairs(two, one)
+    _, _, narrow = pairs(one, at)
+    ok &= number[at] >= 0
+    some, back = np.unique(_triple(key, np.where(ok, number[at], 0).astype(np.uint64)), return_inverse=True)
+    _, _, (seen,) = by_triple.find(some, bucket_of(some, by_triple.buckets), 1)
+    # a word by how many kinds stand before it; what is left over is spread evenly over all words and one unknown
+    kinds = word[-1]
+    off = np.array([0.0, *model.discounts[2]])[np.minimum(kinds, 3)]
+    p = (np.maximum(kinds - off, 0) + model.spare / (model.distinct + 1)) / model.mass if model.mass else np.full(len(known), 1 / (model.distinct + 1))
+    p = _interpolated(narrow[-1], [x[one] for x in word[:4]], model.discounts[1], p[at])
+    p = _interpolated(np.where(ok, seen[back], 0), wide[:4], model.discounts[0], p)
     return lens, np.add.reduceat((count > 0)[at].astype(np.int64), starts), np.add.reduceat(base[at], starts), np.add.reduceat(np.log10(p), starts)
 
 

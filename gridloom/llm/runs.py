@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +58,14 @@ def run(bucket: int, kind: str, n: int, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "kind", "n", "data"])
 
 
-def merged_runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The summed runs of each bucket of a task."""
+def merged_runs(batches: Iterator[pa.RecordBatch], columns: int, merge: Callable = summed) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The merged runs of each bucket of a task."""
     held: dict[int, list] = {}
     for batch in batches:
         for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
             held.setdefault(b, []).append(unpack(data.as_buffer().to_pybytes(), columns))
     for b, runs in held.items():
-        yield b, summed(*map(np.concatenate, zip(*runs, strict=True)))
+        yield b, merge(*map(np.concatenate, zip(*runs, strict=True)))
 
 
 def save_array(folder: str, name: str, bucket: int, array: np.ndarray) -> None:
