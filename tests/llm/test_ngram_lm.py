@@ -15,40 +15,34 @@ def _words(text):
 
 def _brute(rows):
     """(n_tokens, n_known, train_tokens, base, score) of each text."""
-    uni, tri = Counter(), Counter()
+    uni, bi = Counter(), Counter()
     for text, held in rows:
         if not held:
-            t = [*_words(text), 0]
-            uni.update(t)
-            tri.update(zip([0, 0, *t], [0, *t], t, strict=False))
+            w = _words(text)
+            uni.update([*w, 0])
+            bi.update(zip([0, *w], [*w, 0], strict=True))
     n, v = sum(uni.values()), len(uni)
-    # lower orders count what differs before them
-    counts = [tri, Counter(g[1:] for g in tri)]
-    counts.append(Counter(g[1:] for g in counts[1]))
-    orders = []
-    for some in counts:
-        total, kinds = Counter(), defaultdict(Counter)
-        for g, c in some.items():
-            total[g[:-1]] += c
-            kinds[g[:-1]][min(c, 3)] += 1
-        orders.append((some, total, kinds, [0, *ngram_lm._discounts([sum(c == k for c in some.values()) for k in (1, 2, 3, 4)])]))
-
-    def p(gram):
-        if not gram:
-            return 1 / (v + 1)
-        some, total, kinds, d = orders[3 - len(gram)]
-        context = gram[:-1]
-        if not total[context]:
-            return p(gram[1:])
-        c = some[gram]
-        return (max(c - d[min(c, 3)], 0) + sum(d[k] * m for k, m in kinds[context].items()) * p(gram[1:])) / total[context]
-
-    for a in [(0, 0), (0, "the"), *list(tri)[5:7], ("never", "seen")]:  # probabilities of all words and one unknown add up to 1
-        assert not n or math.isclose(sum(p((*a[-2:], b)) for b in [*uni, "unknown"]), 1)
+    total, kinds, before = Counter(), defaultdict(Counter), Counter()
+    for (a, b), c in bi.items():
+        total[a] += c
+        kinds[a][min(c, 3)] += 1
+        before[b] += 1
+    d, e = ([0, *ngram_lm._discounts([sum(c == k for c in some.values()) for k in (1, 2, 3, 4)])] for some in (bi, before))
+    mass, spare = sum(before.values()), sum(e[min(c, 3)] for c in before.values())
+
+    def follows(b):
+        return (max(before[b] - e[min(before[b], 3)], 0) + spare / (v + 1)) / mass if mass else 1 / (v + 1)
+
+    def p(a, b):
+        c = bi[a, b]
+        return (c - d[min(c, 3)] + sum(d[k] * m for k, m in kinds[a].items()) * follows(b)) / total[a] if total[a] else follows(b)
+
+    for a in [0, *list(uni)[:3], "never seen"]:  # probabilities of all words and one unknown add up to 1
+        assert not n or math.isclose(sum(p(a, b) for b in [*uni, "unknown"]), 1)
     out = []
     for text, _ in rows:
         t = [*_words(text), 0]
-        out.append((len(t), sum(uni[x] > 0 for x in t), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in t), sum(math.log10(p(g)) for g in zip([0, 0, *t], [0, *t], t, strict=False))))
+        out.append((len(t), sum(uni[x] > 0 for x in t), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in t), sum(math.log10(p(a, b)) for a, b in zip([0, *t], t, strict=False))))
     return out
 
 
