@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 2 << 20
 #: Bytes that Spark gives a Python task at a time, about; its own bound is a number of rows, however long.
 ARROW_BYTES = 8 << 20
+#: Bytes of text after which a Python task gives freed memory back.
+RELEASE_BYTES = 32 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
 
 #: Rows of a key from which on it may be told apart from others in joins.
 HOT = 1000
@@ -88,8 +92,16 @@ def local_path(uri: str) -> str:
     return uri.split(":", 1)[1].replace("//", "", 1) if uri.startswith("file:") else uri
 
 
+def release() -> None:
+    """Gives freed memory back to the machine: Python workers stay between tasks, and idle ones must not hold what they once used."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches by rows so that each holds about `most` bytes of one string column; a longer text stands alone."""
+    """Cuts record batches by rows so that each holds about `most` bytes of one string column; a longer text stands alone. Frees memory as it goes and when it ends."""
+    held = 0
     for batch in batches:
         col = batch.column(column)
         n = len(col)
@@ -101,6 +113,11 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str | int = "text", most:
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
             yield batch.slice(at, min(end, n) - at)
             at = min(end, n)
+        held += int(off[-1] - off[0])
+        if held >= RELEASE_BYTES:
+            release()
+            held = 0
+    release()
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import blocks, hash_words, join_counted, mix, mounted_dir, ready, staged, text_bytes
+from ._common import blocks, hash_words, join_counted, mix, mounted_dir, ready, release, staged, text_bytes
 
 #: Fingerprints in a tile: 1/TILES of all, between LEAST and MOST. Tiles are TILES and one more for each
 #: population count at most, until they are as large as MOST; then their number grows with the input.
@@ -263,6 +263,7 @@ def links(distinct: DataFrame, radius: int, similarity: float | None = None, fol
 
         src, dst = link_similar(fps[0], fps[1] if len(fps) > 1 else None, radius, size, load, similarity)
         _mapped.cache_clear()  # a worker that stays must not hold files that are deleted
+        release()
         return pa.table({"src": node[np.array(src, np.int64)], "dst": node[np.array(dst, np.int64)]})
 
     # as many partitions as there are pairs, by the counts of tiles alone, up to 10,000
