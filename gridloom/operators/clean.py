@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, fmt_num, is_number, utrim
+from ..sources import files
 from .cells import as_number, as_text, column, is_numeric
 from .order import first_rows
 
@@ -38,6 +39,33 @@ def trim(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: utrim(as_text(df, n)) for n in some}) if some else df
 
 
+def median_of_all(numbers: DataFrame) -> DataFrame:
+    """One row, v: the exact median of column n, however many values it has; null if there is none.
+
+    The counts of distinct values are written once in order. From the partitions' sums
+    it is known which one or two hold the middle, and only these are looked through.
+    """
+    spark = numbers.sparkSession
+    path = files.scratch(spark, "median")
+    counts = numbers.where("n is not null").select(F.col("n").cast("double")).groupBy("n").agg(F.count("*").alias("c"))
+    counts = counts.orderBy("n").withColumn("part", F.spark_partition_id())
+    counts.write.parquet(path)
+    counts = spark.read.schema(counts.schema).parquet(path)
+    parts = sorted(tuple(r) for r in counts.groupBy("part").agg(F.sum("c")).collect())  # a row for each partition
+    total = sum(n for _, n in parts)
+    middle = ((total - 1) // 2, total // 2)
+    weight, at, some = F.lit(0.0), 0, []
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy("n"))
+    for part, n in parts:
+        for place in middle:
+            if at <= place < at + n:
+                some.append(part)
+                here = (F.col("part") == part) & (F.col("upto") - F.col("c") <= place - at) & (F.col("upto") > place - at)
+                weight = weight + F.when(here, 0.5).otherwise(0.0)
+        at += n
+    return counts.where(F.col("part").isin(some)).withColumn("upto", upto).withColumn("w", weight).where("w > 0").agg(F.sum(F.col("n") * F.col("w")).alias("v"))
+
+
 def statistic(df: DataFrame, name: str, kind: str, order: Sequence[Column] = (), sample_rows: int | None = SAMPLE_ROWS) -> DataFrame:
     """One row, v: the Mean or Median of what is a number, or the Mode of what is not blank; null if there is none.
 
@@ -48,6 +76,8 @@ def statistic(df: DataFrame, name: str, kind: str, order: Sequence[Column] = (),
     if kind in ("Mean", "Median"):
         n = as_number(df, name)
         numbers = some.select(F.when(is_number(n), n).alias("n"))
+        if kind == "Median" and sample_rows is None:
+            return median_of_all(numbers)
         return numbers.agg((F.avg("n") if kind == "Mean" else F.median("n")).alias("v"))
     if kind == "Mode":
         t = utrim(as_text(df, name))

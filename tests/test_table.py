@@ -1,3 +1,5 @@
+import statistics
+
 import pytest
 from gridloom.operators import clean, labels, rules
 from gridloom.operators.rules import Rule
@@ -213,3 +215,26 @@ def test_row_numbers_over_many_partitions(many_partitions):
 def test_numbers_are_kept_through_edits(spark):
     t = Table.from_dataframe(spark.range(10).select(F.col("id").alias("k"), F.lit("").alias("_at")), ["k"])
     assert t.edit(1, "_at", "a").known is t.known and t.numbered is t.edit(2, "k", "3").sort("k").numbered
+
+
+@pytest.mark.parametrize("values", [[], [None], [4.0], [3.0, 1.0], [2.0] * 5 + [9.0] * 5, [1.0, 1.0, 7.0, None]])
+def test_median_of_few(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "n double")
+    known = sorted(v for v in values if v is not None)
+    assert clean.median_of_all(df).first().v == (statistics.median(known) if known else None)
+
+
+@pytest.mark.parametrize("rows", [9999, 10000])
+def test_median_over_many_partitions(spark, rows):
+    # half of all rows have one value, and the middle lies between or inside partitions
+    n = F.when(F.col("id") % 2 == 0, F.lit(1.5)).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000)) - 2500.0)
+    df = spark.range(rows).select(n.alias("n"))
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for some in (df, df.where("n <> 1.5")):
+            assert clean.median_of_all(some).first().v == statistics.median(r.n for r in some.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
