@@ -12,7 +12,6 @@ from __future__ import annotations
 import gc
 import os
 import string
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -78,19 +77,6 @@ def _tokenizer(path: str, added: bool):
     return table, own.get_vocab_size()
 
 
-def _put(path: str, uri: str) -> None:
-    """Moves a worker's finished file to the shared folder under its final name."""
-    to = local_path(uri)
-    if "://" in to:
-        where, name = fs.FileSystem.from_uri(to)
-        with open(path, "rb") as a, where.open_output_stream(name) as b:
-            while chunk := a.read(8 << 20):
-                b.write(chunk)
-        os.remove(path)
-    else:
-        os.replace(path, to)
-
-
 def open_file(uri: str) -> pa.ipc.RecordBatchFileReader:
     """An Arrow file, memory-mapped where it is a file of this machine or of a mounted folder."""
     path = local_path(uri)
@@ -124,11 +110,11 @@ class Sequences:
 class _Writer:
     """Packs ids into sequences as they come; `finish` pads the last one."""
 
-    def __init__(self, path: str, kind: pa.DataType, length: int):
+    def __init__(self, to: pa.NativeFile, kind: pa.DataType, length: int):
         self.length = length
         lists = [pa.field("ids", pa.list_(kind, length)), pa.field("mask", pa.list_(pa.bool_(), length)), pa.field("ends", pa.list_(pa.bool_(), length))]
         self.schema, self.kind = pa.schema(lists), kind
-        self.out = pa.ipc.new_file(path, self.schema)
+        self.out = pa.ipc.new_file(to, self.schema)
         self.ids, self.ends = np.zeros(0, kind.to_pandas_dtype()), np.zeros(0, bool)
 
     def _write(self, ids: np.ndarray, real: np.ndarray, ends: np.ndarray) -> None:
@@ -172,13 +158,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, size = _tokenizer(tokenizer, added)
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
-        here = folder if "://" not in folder else tempfile.gettempdir()
-        ids_to, index_to = (f"{here}/.{own}.{x}" for x in ("ids", "index"))
-        out, index, total, n = _Writer(ids_to, pa.uint16() if size <= 1 << 16 else pa.uint32(), length), None, 0, 0
+        where, name = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        # written to the shared folder under names of this run, and renamed when they are complete
+        made = {x: (f"{name}/.{own}.{x}", f"part-{part:06d}.{x}.arrow") for x in ("ids", "index")}
+        sinks = {x: where.open_output_stream(aside) for x, (aside, _) in made.items()}
+        out, index, total, n = _Writer(sinks["ids"], pa.uint16() if size <= 1 << 16 else pa.uint32(), length), None, 0, 0
         for block in blocks(batches):
             keys = block.column("key")
             if index is None:
-                index = pa.ipc.new_file(index_to, pa.schema([pa.field("key", keys.type)]))
+                index = pa.ipc.new_file(sinks["index"], pa.schema([pa.field("key", keys.type)]))
             ids, bounds = table.texts(block.column("text").to_pylist())
             at = bounds[1:] + np.arange(len(keys))  # places of the end ids
             ends = np.zeros(len(ids) + len(keys), bool)
@@ -189,17 +177,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text
             index.write_batch(pa.RecordBatch.from_arrays([keys], names=["key"]))
             total, n = total + len(all_), n + len(keys)
         out.finish()
-        names = []
-        for file, made in ((ids_to, True), (index_to, index is not None)):
-            if made and file is index_to:
-                index.close()
+        if index is not None:
+            index.close()
+        for x, (aside, file) in made.items():
+            sinks[x].close()
             if n:
-                _put(file, to := f"{path}/part-{part:06d}.{file.rpartition('.')[2]}.arrow")
-                names.append(to)
-            elif made:
-                os.remove(file)
+                where.move(aside, f"{name}/{file}")
+            else:
+                where.delete_file(aside)
         if n:
-            yield pa.RecordBatch.from_pydict({"part": [part], "ids": [names[0]], "index": [names[1]], "total": [total]})
+            ids_to, index_to = (f"{path}/{file}" for _, file in made.values())
+            yield pa.RecordBatch.from_pydict({"part": [part], "ids": [ids_to], "index": [index_to], "total": [total]})
 
     parts = sorted(tuple(r) for r in rows.mapInArrow(write, "part long, ids string, index string, total long").collect())  # a row for each file
     before = np.cumsum([0, *(p[3] for p in parts)]).tolist()
