@@ -71,6 +71,8 @@ _BESIDE = frozenset("has with without no".split())
 #: Generated names: a post's terms, a builder's containers, switches of a page.
 _GENERATED = re.compile(r"(?:category|tag)[-_].*|.*[-_](?:widget[-_](?:container|wrap)|enabled|disabled)|content[-_]widget", re.IGNORECASE)
 _CUT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?--!?\s*>)", re.DOTALL)
+_TAG = re.compile(r"<([A-Za-z][^\s/>]*)")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -216,8 +218,11 @@ class _Lines(HTMLParser):
         self._push(_Open(tag, holder, apart, unseen, named, linked or tag == "a", inside, counts))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        # HTML knows no empty elements but the void ones
-        self.handle_starttag(tag, attrs)
+        # HTML knows no empty elements but the void ones, and drawings and the like
+        if tag in _UNSEEN:
+            self.tags += 1
+        else:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCKS:
@@ -239,7 +244,29 @@ class _Lines(HTMLParser):
             if not e.linked and not data.isspace() and any(c.isalnum() for c in data):
                 self.free = True
 
+    # of what is between < and > without being a tag the library takes some for errors, or for text
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        found = _COMMENT.match(self.rawdata, i)
+        return found.end() if found else -1
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        end = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        at = self.rawdata.find(end, i)
+        return at + len(end) if at >= 0 else -1
+
     def close(self) -> None:
+        # what the library waits for at a page's end is no text: markup without an end, which goes, as browsers
+        # have it, or a tag that is not well formed, which stands as one without attributes
+        while self.rawdata[:1] == "<" and self.rawdata[1:2].strip("/") and not self.cdata_elem:
+            rest, tag = self.rawdata, _TAG.match(self.rawdata)
+            at = rest.find(">") if tag else -1
+            self.rawdata = ""
+            if at >= 0:
+                self.handle_starttag(tag[1].lower(), [])
+                if tag[1].lower() in self.CDATA_CONTENT_ELEMENTS:
+                    self.set_cdata_mode(tag[1].lower())
+                self.feed(rest[at + 1 :])
         super().close()
         self._end_line()
 
@@ -336,8 +363,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     Whole pages are read; a null page is empty, and a page without an article has the
     text ''. Character references are decoded, white space inside a block is one space,
-    and blocks are joined by one line end in page order. Repeated rows get equal results
-    each; other columns are neither read nor returned. No rows give none.
+    and blocks are joined by one line end in page order. Broken markup is never an error:
+    comments, tags and declarations that do not end go up to the page's end. Repeated
+    rows get equal results each; other columns are neither read nor returned. No rows give none.
     """
     ready(pages.sparkSession)
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))

@@ -5,6 +5,8 @@ import time
 import numpy as np
 import pytest
 from gridloom.llm import html_text
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 
 def _plain(page):
@@ -111,3 +113,39 @@ def test_time_is_linear_in_nesting(page):
     began = time.process_time()
     html_text.main_text(page)
     assert time.process_time() - began < 4  # a fifth of a second or so each; squared work takes a minute
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<![new[a]]><p>text", "text"),
+        ("<![ 1><p>text", "text"),
+        ("<![<p>text", "text"),
+        ("<![CDATA[a > b]]><p>text", "text"),
+        ("<p>text<!-- a --!> on", "text on"),
+        ("<!-->text<!--->, too", "text, too"),
+        ("<p>text<!-- <p>no", "text"),
+        ("<p>text <b class=", "text"),
+        ("<p>text <", "text <"),
+        ('<p class="odd>text</p><p>more', "text\nmore"),
+        ('<p><svg class="icon"/>text<script src="x"/> on', "text on"),
+        ("<script>a < b <p>no", ""),
+        ('<script x="odd>a<p>b</p></script><p>text', "text"),
+        ("<p>&#xD800;&unknown;&#99999999999;", "�&unknown;�"),
+    ],
+)
+def test_broken_markup(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!--", '<p class="', '<a b="c" ', "<a/", "<![", "</", "</a ", "&#x", '<p class="odd>'])
+def test_broken_markup_takes_linear_time(piece):
+    began = time.process_time()
+    html_text.main_text(piece * 20_000)
+    assert time.process_time() - began < 4
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("<>/!-[]&#;=\"' apx", max_size=60))
+def test_no_markup_is_an_error(html):
+    html_text.main_text(html)
