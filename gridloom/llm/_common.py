@@ -69,6 +69,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """The frame itself if it is a plain scan of files, which has its rows in the same places each time it is read; else written once and read back."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    plain = plan.deterministic()
+    while plain and plan.nodeName() in ("Project", "Filter"):
+        plan = plan.child()
+    return df if plain and plan.nodeName() == "LogicalRelation" else staged(df, label)
+
+
 def join_counted(rows: DataFrame, found: DataFrame, on: str, total: int, count: str = "n") -> DataFrame:
     """Rows joined to a written table with one row for each key, which also counts the key's rows; total is the number of rows.
 
