@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fim, html_text, imatch, licenses, ngram_lm, quality, sharding, simhash, token_files, warc
+from . import bpe, decontamination, fim, hard_negatives, html_text, imatch, licenses, ngram_lm, quality, sharding, simhash, token_files, warc
 from ._common import table
 from .license_texts import NOTICES, SPELLINGS
 
@@ -65,6 +65,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.page_records(warc.read_warc(spark, warc.write_warc(pages)), pages.schema["page_id"].dataType)
@@ -75,7 +81,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_lm, op2_extendible_sharding, op3_decontamination, op4_simhash_near_dedup, op5_byte_level_bpe, op6_quality_classifier, op7_token_files, op8_imatch_fingerprints, op9_html_extraction, op10_license_scan, op12_warc, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_extendible_sharding, op3_decontamination, op4_simhash_near_dedup, op5_byte_level_bpe, op6_quality_classifier, op7_token_files, op8_imatch_fingerprints, op9_html_extraction, op10_license_scan, op11_hard_negatives, op12_warc, op13_fill_in_middle)}
 
 
 def sharding_sql(max_bytes: int = SHARD_BYTES) -> str:
