@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .operators.labels import infer_labels
 from .operators.order import search_values
-from .operators.rules import Rule
+from .operators.rules import Rule, checklist_rule
 from .plans.table import Table, saved
+from .plans.workspace import Workspace
 from .sources import delimited, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +60,7 @@ def _filter_is_empty(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _filter_count(spark: SparkSession, sf: str) -> DataFrame:
-    lines = Table(_read(spark, sf, "lineitem"), ("l_orderkey",)).filter([Rule("l_quantity", "gt", "45")])
+    lines = Table.from_dataframe(_read(spark, sf, "lineitem"), ["l_orderkey"]).filter([Rule("l_quantity", "gt", "45")])
     return lines.to_df().agg(F.count("*").alias("n"))
 
 
@@ -118,6 +119,54 @@ def _scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     return Table.open(spark, path, multi_line=False).to_df()
 
 
+def _scan_csv_multiline(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, with their line ends and quotes, through one file that is read by blocks."""
+    path = files.scratch(spark, "scan-multiline")
+    texts = _table(spark, sf, "documents", text="concat(coalesce(text, ''), '\n\"', source, '\",\n')", lang="lang")
+    texts.save(path)
+    return Table.open(spark, path).rows
+
+
+def _save_own(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as a file that is opened, edited, appended to and saved over itself, edited and saved again, and read on by the same session."""
+    path = files.scratch(spark, "own")
+    delimited.write_csv(_read(spark, sf, "region").select("r_regionkey", "r_name"), path)
+    work = Workspace(spark)
+    at = work.open(path)
+    for row, name, value in ((1, "r_name", "EDITED, twice"), (6, "r_name", "NEW"), (7, "r_regionkey", "7")):
+        work.update_cell(at, row, name, value)
+        work.save(at)
+    return work[at].positions()
+
+
+def _edit_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth order's priority and every seventh one's price edited from a frame, some twice."""
+    t = _table(spark, sf, "orders", o_orderpriority="o_orderpriority", o_totalprice="o_totalprice")
+    rows = t.numbered.select(F.col("_row_idx").alias("row"))
+    edits = rows.where("row % 5 = 0").selectExpr("row", "'o_orderpriority' AS column", "concat('edit ', row) AS value", "0 AS at")
+    again = rows.where("row % 10 = 0").selectExpr("row", "'o_orderpriority'", "'again'", "1")
+    price = rows.where("row % 7 = 0").selectExpr("row", "'o_totalprice'", "cast(row + 0.5 AS string)", "2")
+    return t.edit_many(edits.union(again).union(price), seq="at").to_df()
+
+
+def _stored_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The middle of a sorted view that was written once."""
+    t = _table(spark, sf, "orders").sort("o_totalprice", True).stored()
+    return t.page(t.count() // 2, 100)
+
+
+def _long_list(conjunction: str) -> Query:
+    """Rules with every third value of a column, up to 50,000 as a checklist has them."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        t = _table(spark, sf, "orders", o_orderstatus="o_orderstatus", o_totalprice="o_totalprice", key="concat('Order ', o_orderkey)")
+        values = [r.v for r in t.unique_values("key").collect()]  # as many as a checklist shows
+        checked = [v for v in values if int(v.split()[1]) % 3 == 0]
+        return t.filter([Rule("o_orderstatus", "equals", "f"), *checklist_rule([], "key", values, checked), Rule("o_totalprice", "gt", "200000")], conjunction).to_df()
+
+    return run
+
+
 def _table_stats(spark: SparkSession, sf: str) -> DataFrame:
     t = _table(spark, sf, "orders")
     return t.to_df().agg(F.count("*").alias("total_rows"), (F.count("*") * len(t.base.columns)).alias("total_fields"))
@@ -200,6 +249,13 @@ def queries() -> dict[str, Query]:
         "edit_append": _edit_append,
         "save_overlay": _save_overlay,
         "scan_csv": _scan_csv,
+        "scan_csv_multiline": _scan_csv_multiline,
+        "save_over_own_file": _save_own,
+        "edit_many": _edit_many,
+        "page_stored": _stored_page,
+        "filter_in_long_and": _long_list("AND"),
+        "filter_in_long_or": _long_list("OR"),
+        "filter_regex_classes": _filter("part", Rule("p_name", "regex", r"^[[:alpha:]--[a-m]]++[^\S\n](?i:WIDG|[x-z])\w{2}\b"), Rule("p_type", "regex", r"(?x) ^ (?P<kind> [A-Z&&[^AEIOU]] ) [[:upper:]~~O] # a comment"), conjunction="OR"),
         "table_stats": _table_stats,
         "infer_types": lambda spark, sf: infer_labels(_read(spark, sf, "events"), [F.col("event_id")]),
         "infer_types_mixed": _infer_mixed,
@@ -220,6 +276,7 @@ SELECT name, label AS data_type FROM n QUALIFY row_number() OVER (PARTITION BY n
 
 def oracle_sql() -> dict[str, str]:
     accents = EXPRESSIONS["odd_name"]
+    listed = "SELECT o_orderkey, o_orderstatus, o_totalprice, concat('Order ', o_orderkey) AS key, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders"
     prio, size, brand, odd = (EXPRESSIONS[k].replace("STRING", "VARCHAR") for k in ("blank_priority", "missing_size", "missing_brand", "odd_customer"))
     return {
         "filter_equals": "SELECT * FROM customer WHERE lower(c_mktsegment) = 'building'",
@@ -282,6 +339,13 @@ def oracle_sql() -> dict[str, str]:
         "edit_append": "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region UNION ALL SELECT '', '' UNION ALL SELECT '', 'NEW'",
         "save_overlay": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CASE WHEN n_nationkey = 3 THEN 'EDITED' ELSE n_name END AS n_name FROM nation",
         "scan_csv": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer",
+        "scan_csv_multiline": """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS _row_idx, CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') || chr(10) || '"' || source || '",' || chr(10) AS text, lang FROM documents""",
+        "save_over_own_file": "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, CASE WHEN r_regionkey = 1 THEN 'EDITED, twice' ELSE r_name END AS r_name, r_regionkey + 1 AS pos FROM region UNION ALL SELECT '', '', 6 UNION ALL SELECT '', 'NEW', 7 UNION ALL SELECT '7', '', 8",
+        "edit_many": "SELECT o_orderkey, CASE WHEN r % 10 = 0 THEN 'again' WHEN r % 5 = 0 THEN 'edit ' || r ELSE o_orderpriority END AS o_orderpriority, CASE WHEN r % 7 = 0 THEN r + 0.5 ELSE o_totalprice END::DOUBLE AS o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders)",
+        "page_stored": "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET (SELECT count(*) // 2 FROM orders)",
+        "filter_in_long_and": f"SELECT * EXCLUDE (n) FROM ({listed}) WHERE lower(o_orderstatus) = 'f' AND n <= 50000 AND o_orderkey % 3 = 0 AND o_totalprice > 200000",
+        "filter_in_long_or": f"SELECT * EXCLUDE (n) FROM ({listed}) WHERE lower(o_orderstatus) = 'f' OR n <= 50000 AND o_orderkey % 3 = 0 OR o_totalprice > 200000",
+        "filter_regex_classes": r"SELECT * FROM part WHERE regexp_matches(p_name, '^[A-Zn-z]+[ \t](?i:WIDG|[x-z])[0-9A-Za-z_]{2}\b') OR regexp_matches(p_type, '^[B-DF-HJ-NP-TV-Z][A-NP-Z]')",
         "table_stats": "SELECT count(*) AS total_rows, count(*) * 6 AS total_fields FROM orders",
         "infer_types": _labels_sql("events", "event_id", ("event_id", "ts", "user_id", "event_type", "value", "props")),
         "infer_types_mixed": _labels_sql(f"(SELECT o_orderkey, {odd} AS v, {prio} AS prio, CASE WHEN o_orderkey % 3 = 0 THEN 'TRUE' ELSE o_orderstatus END AS b, CASE WHEN o_orderkey % 2 = 0 THEN '1/2/2024' ELSE '12' END AS d FROM orders)", "o_orderkey", ("o_orderkey", "v", "prio", "b", "d")),

@@ -9,12 +9,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import IllegalArgumentException
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import EPSILON, ascii_lower, blank
 from .cells import as_number, as_text
+from .patterns import java_pattern
+
+#: Values of an `in` rule that are compared one after another, at most; and characters of a list that is sent to every task, at most.
+LIST_VALUES, BROADCAST_CHARACTERS = 100, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -43,34 +48,6 @@ def members(value: str) -> list[str]:
     return [p.strip() for p in value.split(",")]
 
 
-def java_pattern(spark: SparkSession, pattern: str) -> str | None:
-    """A pattern as Java takes it, with Unicode classes and $ at the very end alone; None if it is no valid one.
-
-    Look-around and references back are taken for invalid: the patterns meant here have none.
-    """
-    bare = re.sub(r"\\\\", "", pattern)
-    if re.search(r"\(\?(<?[=!])|\\[1-9]|\\k<", bare):
-        return None
-    own = "(?Ud)" + _ends_for_good(pattern.replace("(?P<", "(?<"))
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(own)
-    except IllegalArgumentException:
-        return None
-    return own
-
-
-def _ends_for_good(pattern: str) -> str:
-    r"""$ as \z, which a line end that closes the text does not satisfy; with the flag m it stays, as the end of a line."""
-    if re.search(r"\(\?[a-zA-Z]*m", pattern):
-        return pattern
-    parts, inside = re.findall(r"\\.|.", pattern, re.DOTALL), 0
-    for i, p in enumerate(parts):
-        inside += (p == "[") - (p == "]" and inside > 0)
-        if p == "$" and not inside:
-            parts[i] = r"\z"
-    return "".join(parts)
-
-
 def _condition(df: DataFrame, rule: Rule) -> Column:
     text, value, false = as_text(df, rule.column), rule.value, F.lit(False)
     k = parse_number(value)
@@ -101,11 +78,49 @@ def _condition(df: DataFrame, rule: Rule) -> Column:
         found = number > k if rule.operator == "gt" else number < k
         return found & ~F.isnan(number)
     if rule.operator == "in":
-        some = members(value)
+        some = list(dict.fromkeys(members(value)))
         return F.lower(text).isin([F.lower(F.lit(x)) for x in some]) if some else false
     return false
 
 
+def _long(rule: Rule) -> list[str] | None:
+    """The values of an `in` rule that has many."""
+    if rule.operator != "in" or len(rule.value) < LIST_VALUES:
+        return None
+    some = list(dict.fromkeys(members(rule.value)))
+    return some if len(some) > LIST_VALUES else None
+
+
+def _members_frame(spark: SparkSession, values: list[str], name: str) -> DataFrame:
+    """One column, the lower-cased values. They are in the rule, so in the driver, and their size is known."""
+    frame = spark.createDataFrame(pd.DataFrame({name: values}), T.StructType([T.StructField(name, T.StringType())])).select(F.lower(name).alias(name)).distinct()
+    return F.broadcast(frame) if sum(map(len, values)) <= BROADCAST_CHARACTERS else frame
+
+
+def passed(df: DataFrame, rules: Sequence[Rule], conjunction: str = "AND") -> DataFrame:
+    """The rows that rules pass, as compile_rules has it; lists of many values are joined to and not compared one after another.
+
+    Where all rules have to pass, a long list is a semi join. Where one is enough, its join
+    marks the rows and the mark stands in the condition.
+    """
+    some = [r for r in rules if r.column in df.columns]
+    lists = {n: values for n, r in enumerate(some) if (values := _long(r))}
+    if not lists:
+        return df.where(compile_rules(df, some, conjunction))
+    short = [r for n, r in enumerate(some) if n not in lists]
+    out, marks = df.where(compile_rules(df, short)) if conjunction != "OR" else df, []
+    for n, values in lists.items():
+        name = next(x for k in range(len(df.columns) + 1) if (x := f"_in_{n}_{k}") not in df.columns)
+        same, frame = F.lower(as_text(df, some[n].column)) == F.col(name), _members_frame(df.sparkSession, values, name)
+        out = out.join(frame, same, "left" if conjunction == "OR" else "left_semi")
+        if conjunction == "OR":
+            marks.append(F.col(name).isNotNull())
+    if not marks:
+        return out
+    rest = [compile_rules(df, short, "OR")] if short else []
+    return out.where(reduce(lambda a, b: a | b, [*rest, *marks])).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def compile_rules(df: DataFrame, rules: Sequence[Rule], conjunction: str = "AND") -> Column:
     """"OR" passes rows that any rule passes, everything else those that all pass. Rules on unknown columns are left out, no rules pass all rows, an unknown operator passes none."""
     each = [_condition(df, r) for r in rules if r.column in df.columns]

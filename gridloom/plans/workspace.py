@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.rules import Rule
-from ..sources import delimited
+from ..sources import delimited, files
 from .table import Metadata, Table
 
 
 class Workspace:
-    """Opening a path twice gives the same id; close forgets a table."""
+    """Opening a path twice gives the same id, unless the file has changed in between; close forgets a table."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -25,49 +25,71 @@ class Workspace:
         return self.tables[file_id]
 
     def open(self, path: str, **options) -> str:
-        if path not in self.ids:
+        known = self.ids.get(path)
+        if known and self.tables[known].source.version != files.version(self.spark, path):
+            known = None  # someone else wrote it: the earlier table stays as it is, under its own id
+        if not known:
             table = Table.open(self.spark, path, **options)
-            self.ids[path] = uuid.uuid4().hex
-            self.tables[self.ids[path]] = table
-        return self.ids[path]
+            known = self.ids[path] = uuid.uuid4().hex
+            self.tables[known] = table
+        return known
+
+    def _put(self, file_id: str, table: Table) -> None:
+        """The table of an id from now on; a view that was written for the one before goes."""
+        old = self[file_id].store
+        if old and old is not table.store:
+            old.delete(self.spark)
+        self.tables[file_id] = table
 
     def add(self, name: str, df: DataFrame, order_by: list[str]) -> str:
         self.tables[name] = Table.from_dataframe(df, order_by)
         return name
 
     def close(self, file_id: str) -> None:
-        self.tables.pop(file_id, None)
+        if file_id in self.tables:
+            self._put(file_id, self[file_id].clear())
+            del self.tables[file_id]
         self.ids = {p: i for p, i in self.ids.items() if i != file_id}
 
     def metadata(self, file_id: str) -> Metadata:
         return self[file_id].metadata()
 
     def rows(self, file_id: str, offset: int, limit: int) -> list[list[str]]:
-        """A page as lists of text."""
+        """A page as lists of text. A sorted or filtered view is written when its first page is asked for, and stays as it is for the others."""
+        if self[file_id].sorts or self[file_id].rule_list:
+            self._put(file_id, self[file_id].stored())
         page = self[file_id].page(offset, limit)
         return [["" if v is None else str(v) for v in r] for r in page.collect()]
 
     def update_cell(self, file_id: str, row: int, name: str, value: str) -> None:
-        self.tables[file_id] = self[file_id].edit(row, name, value)
+        self._put(file_id, self[file_id].edit(row, name, value))
+
+    def update_cells(self, file_id: str, cells: DataFrame) -> None:
+        """An edit for each (row, column, value) of a frame."""
+        self._put(file_id, self[file_id].edit_many(cells))
 
     def discard(self, file_id: str) -> None:
-        self.tables[file_id] = self[file_id].discard()
+        self._put(file_id, self[file_id].discard())
 
     def apply_filter(self, file_id: str, rules: list[Rule], conjunction: str = "AND") -> int:
-        self.tables[file_id] = self[file_id].filter(rules, conjunction)
+        self._put(file_id, self[file_id].filter(rules, conjunction))
         return self.tables[file_id].count()
 
     def clear_filter(self, file_id: str) -> None:
-        self.tables[file_id] = self[file_id].clear()
+        self._put(file_id, self[file_id].clear())
 
     def sort(self, file_id: str, name: str, descending: bool = False) -> None:
-        self.tables[file_id] = self[file_id].sort(name, descending)
+        self._put(file_id, self[file_id].sort(name, descending))
 
     def unique_values(self, file_id: str, name: str) -> list[str]:
         return [str(r.v) for r in self[file_id].unique(name).orderBy("pos").collect()]
 
     def save(self, file_id: str, path: str | None = None, single_file: bool = False) -> str:
-        return self[file_id].save(path, single_file)
+        """Saves all rows; over the table's own file, the edits are in the file from then on."""
+        table = self[file_id]
+        target = path or (table.dialect.path if table.dialect else None)
+        self._put(file_id, table.saved(path, single_file))
+        return target
 
     def clean(self, file_id: str, kind: str, path: str, **params) -> str:
         """kind: deduplicate (keys), trim (names) or fill_missing (name, kind, value)."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import files, sniff
+from . import files, records, sniff
 
 
 #: Characters 0x80 to 0x9F of ISO-8859-1 and what windows-1252 has there; five of them are the same.
@@ -34,18 +34,30 @@ def sniff_dialect(spark: SparkSession, path: str, delimiter: str | None = None,
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multi_line: bool = True) -> tuple[DataFrame, Dialect]:
     """All cells as text; missing cells and blank ones are ''. Short rows are filled up, blank lines left out.
 
-    multi_line=False lets Spark split large files, where no quoted cell has a line end.
+    Files are read block by block, in as many tasks as they have blocks; see records for
+    quoted cells with line ends. multi_line=False: there are none, so nothing is looked
+    for before reading. UTF-16 files are read by one task each.
     """
+    df, dialect, _ = read_numbered(spark, path, delimiter, encoding, multi_line)
+    return df.drop(records.ROW), dialect
+
+
+def read_numbered(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, multi_line: bool = True) -> tuple[DataFrame, Dialect, int | None]:
+    """As read_csv, with row numbers and how many rows there are, if they are known from reading."""
     dialect = sniff_dialect(spark, path, delimiter, encoding)
     names = sniff.distinct_names(list(dialect.headers))
     # Spark has no windows-1252; it differs from ISO-8859-1 in the characters 0x80 to 0x9F alone
     western = dialect.encoding == "windows-1252"
+    if multi_line and not dialect.encoding.startswith("UTF-16"):
+        decode = (lambda c: F.translate(F.decode(c, "ISO-8859-1"), *WESTERN)) if western else None
+        df, total = records.read_records(spark, path, dialect.delimiter, names, decode)
+        return df, dialect, total
     encoding = "ISO-8859-1" if western else dialect.encoding
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = spark.read.schema(schema).options(header=True, enforceSchema=True, sep=dialect.delimiter, quote='"', escape='"', multiLine=multi_line or dialect.encoding.startswith("UTF-16"), encoding=encoding, mode="PERMISSIVE")
+    reader = spark.read.schema(schema).options(header=True, enforceSchema=True, sep=dialect.delimiter, quote='"', escape='"', multiLine=multi_line, encoding=encoding, mode="PERMISSIVE")
     df = reader.csv(path)
     cell = lambda n: F.translate(F.col(f"`{n}`"), *WESTERN) if western else F.col(f"`{n}`")
-    return df.select(*(F.coalesce(cell(n), F.lit("")).alias(n) for n in names)), dialect
+    return df.select(*(F.coalesce(cell(n), F.lit("")).alias(n) for n in names)), dialect, None
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", single_file: bool = False, headers: tuple[str, ...] | None = None) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
@@ -54,21 +56,66 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} could not be moved to {to}")
 
 
+def _journal(path: str) -> str:
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/.{name}.swap" if folder else f".{name}.swap"
+
+
 def replace(spark: SparkSession, path: str, to: str) -> None:
-    """Puts path in the place of what may be at `to`, which goes only once the new one is complete."""
-    if exists(spark, to):
-        old = f"{to}.old-{uuid.uuid4().hex[:8]}"
-        move(spark, to, old)
-        move(spark, path, to)
-        delete(spark, old)
-    else:
-        move(spark, path, to)
+    """Puts path in the place of what may be at `to`, which goes only once the new one is complete.
+
+    A journal beside `to` says what is under way, for mend to finish it if this stops anywhere.
+    """
+    mend(spark, to)
+    if not exists(spark, to):
+        return move(spark, path, to)
+    old = f"{to.rstrip('/')}.old-{uuid.uuid4().hex[:8]}"
+    write_text(spark, _journal(to), json.dumps({"new": path, "old": old}))
+    move(spark, to, old)
+    move(spark, path, to)
+    delete(spark, old)
+    delete(spark, _journal(to))
+
+
+def mend(spark: SparkSession, path: str) -> None:
+    """Finishes a replacement of path that was stopped: the new content if it was complete, which it was before the old one was moved."""
+    if not exists(spark, _journal(path)):
+        return
+    try:
+        what = json.loads(head(spark, _journal(path), 1 << 20))
+    except ValueError:  # stopped while the journal was written, before anything was moved
+        return delete(spark, _journal(path))
+    if not exists(spark, path):
+        move(spark, what["new"] if exists(spark, what["new"]) else what["old"], path)
+    delete(spark, what["old"])
+    delete(spark, _journal(path))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def version(spark: SparkSession, path: str) -> tuple | None:
+    """What changes when a file, or a file of a folder, is written anew: names, lengths and times; None if there is nothing."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return None
+    status = fs.getFileStatus(p)
+    some = fs.listStatus(p) if status.isDirectory() else [status]
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in some))
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster shares for checkpoints; in a temporary one where none is set."""
+    """A new path in the folder that the cluster shares for checkpoints. Where none is set, a temporary folder of this machine will do only if the session runs on it alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that all machines share is needed")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.rules import Rule, compile_rules
+from ..operators.rules import Rule, passed
 
 
 def read_arrivals(spark: SparkSession, folder: str, headers: Sequence[str], delimiter: str = ",") -> DataFrame:
@@ -19,7 +19,7 @@ def read_arrivals(spark: SparkSession, folder: str, headers: Sequence[str], deli
 
 
 def filter_arrivals(stream: DataFrame, rules: Sequence[Rule], conjunction: str = "AND") -> DataFrame:
-    return stream.where(compile_rules(stream, rules, conjunction))
+    return passed(stream, rules, conjunction)
 
 
 def first_arrivals(stream: DataFrame, keys: Sequence[str], remember: str = "1 day") -> DataFrame:

@@ -32,6 +32,9 @@ def _ids(t):
         (("regex", "("), []),
         (("regex", "a(?=b)"), []),
         (("regex", r"^\d"), [1, 12]),
+        (("regex", "[[:digit:]]"), [1, 2, 12]),
+        (("regex", "[[:alpha:]]+$"), [3, 4, 7, 8]),
+        (("regex", r"\h"), []),
         (("eq", "1"), [1, 12]),
         (("eq", "x"), []),
         (("eq", "inf"), []),
@@ -214,7 +217,7 @@ def test_row_numbers_over_many_partitions(many_partitions):
 
 def test_numbers_are_kept_through_edits(spark):
     t = Table.from_dataframe(spark.range(10).select(F.col("id").alias("k"), F.lit("").alias("_at")), ["k"])
-    assert t.edit(1, "_at", "a").known is t.known and t.numbered is t.edit(2, "k", "3").sort("k").numbered
+    assert t.edit(1, "_at", "a").source is t.source and t.numbered is t.edit(2, "k", "3").sort("k").numbered
 
 
 @pytest.mark.parametrize("values", [[], [None], [4.0], [3.0, 1.0], [2.0] * 5 + [9.0] * 5, [1.0, 1.0, 7.0, None]])
