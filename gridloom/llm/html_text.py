@@ -42,7 +42,7 @@ _BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNSEEN = frozenset("script style noscript template title head svg math iframe object canvas audio video select textarea button datalist".split())
+_UNSEEN = frozenset("script style noscript template title head svg annotation annotation-xml iframe object canvas audio video select textarea button datalist".split())
 _APART = frozenset("nav footer aside form menu dialog search".split())
 _HOLDERS = frozenset("html body article main section div td center blockquote header".split())
 _HEADINGS = frozenset("h1 h2 h3".split())
@@ -70,6 +70,14 @@ _PLAIN = frozenset("area bar block box container inner item items link links lis
 _BESIDE = frozenset("has with without no".split())
 #: Generated names: a post's terms, a builder's containers, switches of a page.
 _GENERATED = re.compile(r"(?:category|tag)[-_].*|.*[-_](?:widget[-_](?:container|wrap)|enabled|disabled)|content[-_]widget", re.IGNORECASE)
+#: Names of lists of remarks, of elements that say who wrote one and when, and what a line of that kind has.
+_THREADS = frozenset("thread threads remarks reactions opinions".split())
+_BYLINES = frozenset("author avatar byline commenter date time timestamp user username".split())
+_BY = re.compile(r"\b(?:says|said|wrote|writes|replied|reply|posted|commented|answered|ago)\b|\b\d{1,2}:\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", re.IGNORECASE)
+#: Characters of such a line at most.
+BYLINE = 80
+#: A part inside an article whose name has one of the words goes if so much of it is links.
+LINKS = 0.5
 _CUT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _COMMENT = re.compile(r"<!--(?:-?>|.*?--!?\s*>)", re.DOTALL)
 _TAG = re.compile(r"<([A-Za-z][^\s/>]*)")
@@ -104,7 +112,7 @@ FORM = 2
 
 
 class _Open(NamedTuple):
-    """An open element: its name, the holder it is in, whether it is set apart by tag or role, unseen, by which name, inside a link, inside an article, and its bound's count of open names."""
+    """An open element: its name, the holder it is in, whether it is set apart by tag or role, unseen, by which name, inside a link, inside an article, its bound's count of open names, whether it is in a header, and its outermost list and the item of that."""
 
     tag: str
     holder: int
@@ -114,10 +122,13 @@ class _Open(NamedTuple):
     linked: bool
     inside: bool
     counts: dict[str, int]
+    header: bool
+    list: int
+    item: int
 
 
 class _Line(NamedTuple):
-    """A line: its text, tags before and in it, its holder, whether it is set apart by tag or role, by which name, whether it is a heading, and whether all of it is links."""
+    """A line: its text, tags before and in it, its holder, whether it is set apart by tag or role, by which name, whether it is a heading, whether all of it is links, whether it is in a header, its list and item, and whether an element in it says who wrote it."""
 
     text: str
     tags: int
@@ -126,6 +137,10 @@ class _Line(NamedTuple):
     named: int
     heading: bool
     linked: bool
+    header: bool
+    list: int
+    item: int
+    signed: bool
 
 
 class _Lines(HTMLParser):
@@ -137,19 +152,22 @@ class _Lines(HTMLParser):
         self.parents, self.kinds = [-1], ["html"]
         # parts that are named apart, likewise; the first stands for none
         self.outer, self.sure = [-1], [False]
-        self.open = [_Open("", 0, 0, False, 0, False, False, {})]
+        # of these: whether they are inside an article, the words of their names, whether there are forms in them
+        self.within, self.words, self.forms = [False], [frozenset()], [False]
+        self.lists, self.items = [""], 0  # names of outermost lists; items of all of them
+        self.open = [_Open("", 0, 0, False, 0, False, False, {}, False, 0, 0)]
         self.all: dict[str, int] = {}
         self.lines: list[_Line] = []
         self.parts: list[str] = []
-        self.tags, self.heading, self.free = 0, False, False
+        self.tags, self.heading, self.free, self.signed = 0, False, False, False
 
     def _end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
                 e = self.open[-1]
-                self.lines.append(_Line(text, max(self.tags, 1), e.holder, bool(e.apart), e.named, self.heading, not self.free))
-                self.tags, self.heading = 0, False
+                self.lines.append(_Line(text, max(self.tags, 1), e.holder, bool(e.apart), e.named, self.heading, not self.free, e.header, e.list, e.item, self.signed))
+                self.tags, self.heading, self.signed = 0, False, False
             self.parts, self.free = [], False
 
     def _pop(self, depth: int) -> None:
@@ -183,9 +201,13 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in _HEADINGS:
             self.heading = True
+        if tag in ("form", "textarea", "input"):
+            self.forms[self.open[-1].named] = True
+        if tag in ("time", "cite") or attrs and any(k in ("class", "rel", "itemprop") and v and not _BYLINES.isdisjoint(_CUT.split(v.lower())) for k, v in attrs):
+            self.signed = True
         if tag in _VOID:
             return
-        _, holder, apart, unseen, named, linked, inside, counts = self.open[-1]
+        _, holder, apart, unseen, named, linked, inside, counts, header, list_, item = self.open[-1]
         unseen = unseen or tag in _UNSEEN
         if tag in ("article", "main") and apart == FORM:
             apart = 0  # a form around the whole page
@@ -199,23 +221,33 @@ class _Lines(HTMLParser):
                     apart = 1
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and _HIDDEN.search(value):
                     unseen = True
-        if name == PERHAPS and any(k in ("class", "id") and v and not _OWN.isdisjoint(v.lower().split()) for k, v in attrs):
+        own = any(k in ("class", "id") and v and not _OWN.isdisjoint(v.lower().split()) for k, v in attrs)
+        if name == PERHAPS and own:
             name = NOTHING  # the class says what the id leaves open, or the other way round
         if tag == "header" and not inside:
-            apart = 1  # the page's header; an article's own holds its title
+            header = True  # the page's, unless it turns out to be in the article, whose title it holds then
         if name:
             self.outer.append(named)
             self.sure.append(name == SURE)
+            self.within.append(inside)
+            self.words.append(frozenset(w.lower() for k, v in attrs if k in ("class", "id") and v for w in _CUT.split(v) if w))
+            self.forms.append(False)
             named = len(self.outer) - 1
+        if tag in ("ol", "ul", "dl") and not list_:
+            self.lists.append(" ".join(v.lower() for k, v in attrs if k in ("class", "id") and v))
+            list_ = len(self.lists) - 1
+        elif tag in ("li", "dt") and list_ and not item:
+            self.items += 1
+            item = self.items
         if tag in _HOLDERS:
             kind = "main" if any(k == "role" and v == "main" for k, v in attrs) else tag
             self.parents.append(holder)
             self.kinds.append(kind)
             holder = len(self.kinds) - 1
-            inside = inside or kind in ("article", "main")
+            inside = inside or kind in ("article", "main") or own and not name
         if tag in _BOUNDS:
             counts = {}
-        self._push(_Open(tag, holder, apart, unseen, named, linked or tag == "a", inside, counts))
+        self._push(_Open(tag, holder, apart, unseen, named, linked or tag == "a", inside, counts, header, list_, item))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # HTML knows no empty elements but the void ones, and drawings and the like
@@ -258,6 +290,8 @@ class _Lines(HTMLParser):
     def close(self) -> None:
         # what the library waits for at a page's end is no text: markup without an end, which goes, as browsers
         # have it, or a tag that is not well formed, which stands as one without attributes
+        if self.rawdata.startswith("</") and not self.cdata_elem:
+            self.rawdata = ""
         while self.rawdata[:1] == "<" and self.rawdata[1:2].strip("/") and not self.cdata_elem:
             rest, tag = self.rawdata, _TAG.match(self.rawdata)
             at = rest.find(">") if tag else -1
@@ -267,6 +301,8 @@ class _Lines(HTMLParser):
                 if tag[1].lower() in self.CDATA_CONTENT_ELEMENTS:
                     self.set_cdata_mode(tag[1].lower())
                 self.feed(rest[at + 1 :])
+                if self.rawdata.startswith("</") and not self.cdata_elem:
+                    self.rawdata = ""
         super().close()
         self._end_line()
 
@@ -284,20 +320,49 @@ def _content(lines: list[_Line], counted: list[bool]) -> list[bool]:
     return ((ratio >= DEVIATIONS * ratio.std()) & np.array(counted)).tolist()
 
 
+def _kept_inside(parser: _Lines) -> list[bool]:
+    """For each part inside an article that is named apart, whether it stays.
+
+    A name of which only a part says so is that of a subject as often as not: the part goes if
+    it is links or has a form. A name that says so as a whole counts, unless the part has
+    a heading of the same words, as manuals name their sections, and holds neither forms
+    nor further parts named so, as lists of comments do.
+    """
+    lines, outer, sure, within, words = parser.lines, parser.outer, parser.sure, parser.within, parser.words
+    n = len(outer)
+    size, linked, forms, parts, heads = [0] * n, [0] * n, list(parser.forms), [False] * n, [None] * n
+    for x in lines:
+        size[x.named] += len(x.text)
+        linked[x.named] += len(x.text) if x.linked else 0
+        if x.heading and heads[x.named] is None:
+            heads[x.named] = {w.lower() for w in _CUT.split(x.text) if w}
+    for k in range(n - 1, 0, -1):
+        size[outer[k]] += size[k]
+        linked[outer[k]] += linked[k]
+        forms[outer[k]] |= forms[k]
+        parts[outer[k]] |= parts[k] or bool(words[k] & _SURE)
+    headed = [h is not None and w <= h | _PLAIN and bool(w & h) for h, w in zip(heads, words, strict=True)]
+    return [w and not f and (h and not p if s else l < LINKS * z) for w, f, h, p, s, l, z in zip(within, forms, headed, parts, sure, linked, size, strict=True)]
+
+
 def _named_content(parser: _Lines) -> list[bool]:
     """For each part that is named apart, whether it is taken back: it and what is around it hold the content all the same."""
-    lines, outer, sure = parser.lines, parser.outer, parser.sure
-    back = [True] + [False] * (len(outer) - 1)
+    lines, outer, sure, within = parser.lines, parser.outer, parser.sure, parser.within
+    back, stays = [True] + [False] * (len(outer) - 1), _kept_inside(parser)
+    # a part inside an article counts as what is around it, or not at all
+    at_part = [0] * len(outer)
+    for n in range(1, len(outer)):
+        at_part[n] = n if not within[n] else at_part[outer[n]] if stays[n] and at_part[outer[n]] >= 0 else -1
     if len(outer) > 1 and not all(sure[1:]):
-        content = _content(lines, [not x.apart for x in lines])
+        content = _content(lines, [not (x.apart or x.header) and at_part[x.named] >= 0 for x in lines])
         own = [0] * len(outer)
         for x, c in zip(lines, content, strict=True):
             if c:
-                own[x.named] += len(x.text)
+                own[at_part[x.named]] += len(x.text)
         # with what is in its parts that are named in part, too
         weight, inner = own[:], [0] * len(outer)
         for n in range(len(outer) - 1, 0, -1):
-            if not sure[n]:
+            if not sure[n] and not within[n]:
                 weight[outer[n]] += weight[n] if outer[n] else 0
                 if not inner[outer[n]] or weight[n] > weight[inner[outer[n]]]:
                     inner[outer[n]] = n
@@ -306,10 +371,33 @@ def _named_content(parser: _Lines) -> list[bool]:
             back[at], outside = True, outside + own[at]
             at = inner[at]
     for n in range(1, len(outer)):  # what is around comes first
-        back[n] = back[n] and back[outer[n]]
+        back[n] = (back[n] or stays[n]) and back[outer[n]]
     return back
 
 
+def _without_remarks(lines: list[_Line], kept: list[int], content: list[bool], lists: list[str]) -> list[int]:
+    """The kept lines without lists of readers' remarks at their end, and what heads them.
+
+    Such a list comes after the article's content and has several items of more than a
+    line, of which half at least say who wrote them and when; a list named so has several items.
+    """
+    while kept and (at := lines[kept[-1]].list):
+        first = len(kept)
+        while first and lines[kept[first - 1]].list == at:
+            first -= 1
+        items: dict[int, list[_Line]] = {}
+        for i in kept[first:]:
+            items.setdefault(lines[i].item, []).append(lines[i])
+        told = [any(len(x.text) <= BYLINE and (x.signed or _BY.search(x.text)) for x in some) for some in items.values()]
+        named = not _THREADS.isdisjoint(_CUT.split(lists[at]))
+        if len(items) < 2 or not any(content[i] for i in kept[:first]) or not (named or 2 * sum(told) >= len(told) and all(len(x) > 1 for x in items.values())):
+            break
+        while first and lines[kept[first - 1]].heading:
+            first -= 1
+        kept = kept[:first]
+    return kept
+
+
 def main_text(html: str) -> str:
     """The article of a page, its blocks joined by line ends; '' if there is none."""
     parser = _Lines()
@@ -317,7 +405,7 @@ def main_text(html: str) -> str:
     parser.close()
     lines, parents, kinds = parser.lines, parser.parents, parser.kinds
     back = _named_content(parser)
-    counted = [not x.apart and back[x.named] for x in lines]
+    counted = [not (x.apart or x.header) and back[x.named] for x in lines]
     if not any(counted):
         return ""
     content = _content(lines, counted)
@@ -349,13 +437,15 @@ def main_text(html: str) -> str:
         if kinds[inner] not in ("article", "main") and lead[inner] < lead[at]:
             break
         at = inner
-    kept = [i for i, (x, count) in enumerate(zip(lines, counted, strict=True)) if count and at <= x.holder <= last[at]]
+    # a header inside the element is its own
+    whole = kinds[at] in ("html", "body")
+    kept = [i for i, (x, count) in enumerate(zip(lines, counted, strict=True)) if (count or x.header and not (x.apart or whole) and back[x.named]) and at <= x.holder <= last[at]]
     if kinds[at] not in ("article", "main"):
         # rows of links before and after what is content or a heading are menus
         lead_lines = [i for i in kept if content[i] and not lines[i].linked or lines[i].heading]
         if lead_lines:
             kept = [i for i in kept if lead_lines[0] <= i <= lead_lines[-1] or not lines[i].linked]
-    return "\n".join(lines[i].text for i in kept)
+    return "\n".join(lines[i].text for i in _without_remarks(lines, kept, content, parser.lists))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -364,7 +454,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     Whole pages are read; a null page is empty, and a page without an article has the
     text ''. Character references are decoded, white space inside a block is one space,
     and blocks are joined by one line end in page order. Broken markup is never an error:
-    comments, tags and declarations that do not end go up to the page's end. Repeated
+    comments, tags and declarations that do not end go up to the page's end. Formulas'
+    signs are text. Repeated
     rows get equal results each; other columns are neither read nor returned. No rows give none.
     """
     ready(pages.sparkSession)

@@ -149,3 +149,52 @@ def test_broken_markup_takes_linear_time(piece):
 @given(st.text("<>/!-[]&#;=\"' apx", max_size=60))
 def test_no_markup_is_an_error(html):
     html_text.main_text(html)
+
+
+NAMES = ["<section id='recommended-settings'>", "<section id='notification-api'>", "<div class='early-alert-systems'>", "<p class='share-price'>", "<p id='login-errors'>", "<section id='comments'><h2>Comments</h2>", "<section id='discussion'><h3>Discussion of results</h3>", "<div class='cookie-recipes'><h2>Cookie recipes</h2>"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("around", ["article", "main", "div class='post'"])
+def test_sections_named_by_their_subjects_stay(name, around):
+    end, head = f"</{name[1:].split()[0]}>", re.findall(r"<h\d>(.*?)</h\d>", name)
+    page = f"<body><nav><a>Menu</a></nav><{around}><h1>T</h1><p>{LONG}</p>{name}{LONG} {LONG}{end}<p>{LONG}</p></{around.split()[0]}><div class='footer'>{LONG}</div></body>"
+    assert html_text.main_text(page) == "\n".join(["T", LONG, *head, f"{LONG} {LONG}", LONG])
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f"<section class='reader-comments'><p>{LONG}</p></section>",
+        f"<section id='comments'><h2>Comments</h2><div class='comment'><p>{LONG}</p></div></section>",
+        f"<section id='comments'><h2>Comments</h2><p>{LONG}</p><form><textarea></textarea></form></section>",
+        f"<div class='related-stories'><a href='1'>{LONG}</a><a href='2'>{LONG}</a></div>",
+        f"<div class='newsletter-offer'><p>{LONG}</p><form><input></form></div>",
+        f"<div class='sidebar'><p>{LONG}</p></div>",
+        f"<ol class='thread'><li><p>{LONG}</p></li><li><p>No.</p></li></ol>",
+        f"<h3>3 remarks</h3><ul><li><b>Ann</b> <time>1 May</time><p>{LONG}</p></li><li>Bob, 12:30<p>{LONG}</p><ul><li>Eve wrote:<p>No.</p></li></ul></li></ul>",
+    ],
+)
+def test_what_readers_and_sites_add_goes(part):
+    for around in ("article", "main", "div class='content'"):
+        page = f"<body><{around}><h1>T</h1><p>{LONG}</p><ul><li>One<li>Two</ul><p>{LONG}</p>{part}</{around.split()[0]}></body>"
+        assert html_text.main_text(page) == f"T\n{LONG}\nOne\nTwo\n{LONG}"
+
+
+def test_lists_that_end_an_article_stay():
+    steps = "".join(f"<li><b>Step {i}</b><p>{LONG}</p></li>" for i in range(3))
+    want = "\n".join(["T", LONG, *(x for i in range(3) for x in (f"Step {i}", LONG))])
+    assert html_text.main_text(f"<article><h1>T</h1><p>{LONG}</p><ol>{steps}</ol></article>") == want
+
+
+def test_headers_and_formulas_of_the_article():
+    for around in ("div class='post'", "div", "section"):
+        page = f"<body><header><h1>Site</h1><p>{LONG}</p></header><{around}><header><h1>Title</h1></header><p>{LONG}</p><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p></{around.split()[0]}></body>"
+        assert html_text.main_text(page) == f"Title\n{LONG}\n{LONG} x=1", around
+
+
+@pytest.mark.parametrize("broken", ["</", "</ ", "<a </", "</a ", "<", "<p></"])
+def test_end_tags_without_end_take_linear_time(broken):
+    began = time.perf_counter()
+    html_text.main_text(f"<p>{LONG}</p>" + broken * 400_000)
+    assert time.perf_counter() - began < 8
