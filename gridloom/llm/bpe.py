@@ -10,7 +10,7 @@ trees of one size as one matrix; long ones alone, in O(n log n).
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,17 +27,34 @@ SHORT = 64
 #: Trees merged at a time.
 TREES = 8192
 NONE = np.int32(2**31 - 1)
+# Letters and digits of Unicode 17, which the regex package may know and the tiktoken library, at Unicode 16, does not.
+NEWER = (
+    "\\u0558 \\u058B-\\u058C \\u088F \\u0C5C \\u0CDC \\u208F \\u209D-\\u209F \\uA7CE-\\uA7CF \\uA7D2 \\uA7D4 \\uA7DD \\uA7E2 \\uA7F1 \\uAB6C-\\uAB6D"
+    " \\U000107BB-\\U000107BF \\U00010940-\\U00010959 \\U00010EC5-\\U00010EC7 \\U00010ED9-\\U00010EEE \\U00011B0A \\U00011DB0-\\U00011DDB \\U00011DE0-\\U00011DE9 \\U00011DF1"
+    " \\U0001246F \\U00012475-\\U0001247F \\U00012550-\\U00012686 \\U00016EA0-\\U00016EB8 \\U00016EBB-\\U00016ED3 \\U00016FF2-\\U00016FF6 \\U000187F8-\\U000187FF \\U00018CD6-\\U00018CDA"
+    " \\U00018D09-\\U00018D20 \\U00018D80-\\U00018DF2 \\U00018E00-\\U00019191 \\U000191A0-\\U000191D2 \\U0001B123-\\U0001B128 \\U0001B168 \\U0001D6A6 \\U0001DF1F-\\U0001DF24"
+    " \\U0001DF2B-\\U0001DF81 \\U0001DF90-\\U0001DF96 \\U0001DFCD-\\U0001DFFF \\U0001E6C0-\\U0001E6DE \\U0001E6E0-\\U0001E6E2 \\U0001E6E4-\\U0001E6E5 \\U0001E6E7-\\U0001E6ED \\U0001E6F0-\\U0001E6F4"
+    " \\U0001E6FE-\\U0001E6FF \\U0002B73A-\\U0002B73F \\U0002B81E \\U0002CEA2-\\U0002CEAD \\U000323B0-\\U00033479 \\U0003D000-\\U0003FC3F"
+).replace(" ", "")
+
+
+def matches(pattern: str) -> Callable[[str], list[str]]:
+    """What a pattern finds in a text, with the letters and digits that the library knows."""
+    import regex
+
+    plain, newer = regex.compile(pattern).findall, regex.compile(f"[{NEWER}]").search
+    # as a difference of sets, which the package knows in its newer syntax
+    known = regex.compile(regex.sub(r"\\p\{([LN])\}", lambda m: f"[{m[0]}--[{NEWER}]]", pattern), regex.V1).findall
+    return lambda text: plain(text) if text.isascii() or not newer(text) else known(text)
 
 
 class BytePairEncoder:
     """The ranks of a .tiktoken file, of fewer than 65,536 tokens; ids are ranks."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
-
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.find = regex.compile(pattern).findall
+        self.find = matches(pattern)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         get = self.ranks.get
         found = {}

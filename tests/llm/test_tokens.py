@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from gridloom.llm import bpe, token_files
 from tokenizers import Tokenizer
@@ -94,3 +95,28 @@ def test_control_characters(library):
 def test_patterns_that_split_elsewhere_are_errors(pattern):
     with pytest.raises(ValueError):
         bpe._table(RANKS, pattern)
+
+
+@pytest.mark.parametrize("text", ["{}'s", "a{}'ll 1", "'s{}", "{}, a", "1{}2 {}."])
+def test_every_character_is_of_the_library_s_class(library, text):
+    own = bpe._table(RANKS, P.PATTERN)[0]
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    step = 1 if text == "{}'s" else 7
+    known = regex.compile(f"[{bpe.NEWER}]")
+    texts = [text.format(c, c) for n, c in enumerate(signs) if n % step == 0 or known.match(c)]
+    ids, each = own.encode_pieces(texts)
+    ends, flat = np.cumsum(each).tolist(), ids.tolist()
+    assert [t for t, i, j in zip(texts, [0, *ends], ends, strict=False) if flat[i:j] != library.encode_ordinary(t)] == []
+
+
+def test_newer_letters_within_texts(library):
+    table = bpe._table(RANKS, P.PATTERN)[1]
+    texts = ["\u0558's", "a \u0558, b", "x\u0558.\n\U000323b0\U000323b1's go", "é \u0558'll 1\U0001e6fe, ok"]
+    ids, bounds = table.texts(texts)
+    assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_a_very_long_text(library, spark):
+    text = "The quick, brown fox's 12 jumps.\n" * 60_000 + "x" * 40_000
+    got = bpe.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS, P.PATTERN).first()
+    assert np.frombuffer(got.ids, "<u4").tolist() == library.encode_ordinary(text)
