@@ -16,21 +16,22 @@ from .order import first_rows
 SAMPLE_ROWS = 10_000
 
 
-def _row(df: DataFrame) -> Column:
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:
     """The first (or last) row in order for each distinct tuple of keys; unknown keys are skipped, no keys keep one row.
 
-    Each task keeps one row for each key before anything is shuffled, so a frequent key
-    costs no more than any other.
+    Which rows these are is found from keys and order alone: each task keeps one entry for a
+    key before anything is shuffled, so a frequent key costs no more than any other. The
+    rows are then fetched by their order, which must tell rows apart; few of them are so
+    picked out where they are, and only columns that someone asks for are read.
     """
-    known = [k for k in keys if k in df.columns]
-    pick = F.max_by if last else F.min_by
-    best = pick(_row(df), F.struct(*order)).alias("_row")
-    out = df.groupBy(*(F.col(f"`{k}`") for k in known)).agg(best) if known else df.agg(best).where("_row is not null")
-    return out.select("_row.*")
+    known = [f"`{k}`" for k in dict.fromkeys(keys) if k in df.columns]
+    order = list(order)
+    at = order[0] if len(order) == 1 else F.struct(*order)
+    place = at.alias("_at")
+    best = (F.max if last else F.min)("_at").alias("_best")
+    narrow = df.select(*(F.col(k).alias(f"_key{n}") for n, k in enumerate(known)), place)
+    found = narrow.groupBy(*(f"_key{n}" for n in range(len(known)))).agg(best) if known else narrow.agg(best).where("_best is not null")
+    return df.join(found.select("_best"), at.eqNullSafe(F.col("_best")), "left_semi")
 
 
 def trim(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -1,7 +1,8 @@
+import re
 import statistics
 
 import pytest
-from gridloom.operators import clean, labels, rules
+from gridloom.operators import clean, join, labels, rules
 from gridloom.operators.rules import Rule
 from gridloom.plans.table import Table
 from hypothesis import HealthCheck, given, settings
@@ -241,3 +242,48 @@ def test_median_over_many_partitions(spark, rows):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before[0])
         spark.conf.set("spark.sql.shuffle.partitions", before[1])
+
+
+def _reads(df):
+    """Names of the columns that each scan reads."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [set(re.findall(r"(\w+):", x)) for x in re.findall(r"ReadSchema: struct<(.*?)>", plan)]
+
+
+def test_first_rows_are_picked_without_their_columns(spark):
+    t = Table.from_dataframe(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), ["doc_id"])
+    some = t.dedupe(["lang"])
+    some.collect()
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    shuffled = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert shuffled and all("text" not in x for x in shuffled) and "BroadcastHashJoin" in plan
+    assert {"doc_id", "lang"} in _reads(some)
+    orders = Table.from_dataframe(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), ["o_orderkey"])
+    both = Table.from_dataframe(spark.read.parquet("/root/testdata/sf0.001/customer.parquet"), ["c_custkey"]).join(orders, "c_custkey", "o_custkey").select("c_name", "o_totalprice_b")
+    assert {"o_custkey", "o_orderkey", "o_totalprice"} in _reads(both) and not any("o_orderstatus" in x for x in _reads(both))
+
+
+def test_rows_without_a_key_or_an_order(spark):
+    df = spark.createDataFrame([(2, None, "a"), (1, None, "b"), (None, "k", "c"), (3, "k", "d")], "id long, k string, v string")
+    assert sorted(r.v for r in clean.keep_first(df, ["k"], [F.col("id")]).collect()) == ["b", "d"]
+    assert sorted(r.v for r in clean.keep_first(df, ["k"], [F.col("id"), F.col("v")], last=True).collect()) == ["a", "d"]
+
+
+@pytest.mark.parametrize("kind", ["inner", "left", "right", "outer"])
+@pytest.mark.parametrize("text", [True, False])
+def test_a_third_of_all_rows_have_one_key(spark, monkeypatch, kind, text):
+    monkeypatch.setattr(join, "HOT_ROWS", 100)
+    key = F.when(F.col("id") % 3 == 0, F.lit("" if text else None)).when(F.col("id") % 3 == 1, "7").otherwise((F.col("id") % 1000).cast("string"))
+    a = spark.range(6000).select("id", (key if text else key.cast("int")).alias("k"), F.col("id").cast("string").alias("v"))
+    b = spark.range(2000).select((F.col("id") % 1500).cast("string").alias("k"), F.col("id").alias("n"), F.lit("x").alias("w")).union(spark.createDataFrame([("", -1, "blank")]))
+    b = b if text else b.where("k <> ''").withColumn("k", F.col("k").cast("int"))
+    got = Table.from_dataframe(a, ["id"]).join(Table.from_dataframe(b, ["n"]), "k", "k", kind)
+    last = {r.k: r for r in b.orderBy("n").collect()}
+    want, met = [], set()
+    for r in a.collect():
+        if (m := last.get(r.k)) or kind in ("left", "outer"):
+            want.append((r.id, r.k, r.v, m.n if m else None, m.w if m else ""))
+        met.add(r.k)
+    if kind in ("right", "outer"):
+        want += [(None, k, "", m.n, m.w) for k, m in last.items() if k not in met]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
