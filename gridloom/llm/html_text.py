@@ -74,6 +74,7 @@ _GENERATED = re.compile(r"(?:category|tag)[-_].*|.*[-_](?:widget[-_](?:container
 _THREADS = frozenset("thread threads remarks reactions opinions".split())
 _BYLINES = frozenset("author avatar byline commenter date time timestamp user username".split())
 _BY = re.compile(r"\b(?:says|said|wrote|writes|replied|reply|posted|commented|answered|ago)\b|\b\d{1,2}:\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", re.IGNORECASE)
+_FORMS, _SIGNED, _NAMING = frozenset("form textarea input".split()), frozenset("time cite".split()), frozenset("class id rel itemprop".split())
 #: Characters of such a line at most.
 BYLINE = 80
 #: A part inside an article whose name has one of the words goes if so much of it is links.
@@ -107,6 +108,13 @@ def _named_apart(name: str) -> int:
     return found
 
 
+@lru_cache(maxsize=4096)
+def _says(name: str) -> tuple[bool, bool]:
+    """Whether a name says that an element is the article, and whether it says who wrote something."""
+    lower = name.lower()
+    return not _OWN.isdisjoint(lower.split()), not _BYLINES.isdisjoint(_CUT.split(lower))
+
+
 #: Set apart by a form alone.
 FORM = 2
 
@@ -201,10 +209,16 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in _HEADINGS:
             self.heading = True
-        if tag in ("form", "textarea", "input"):
+        if tag in _FORMS:
             self.forms[self.open[-1].named] = True
-        if tag in ("time", "cite") or attrs and any(k in ("class", "rel", "itemprop") and v and not _BYLINES.isdisjoint(_CUT.split(v.lower())) for k, v in attrs):
-            self.signed = True
+        own = False
+        if attrs or tag in _SIGNED:
+            self.signed |= tag in _SIGNED
+            for key, value in attrs:
+                if value and key in _NAMING:
+                    is_own, by = _says(value)
+                    own |= is_own and key in ("class", "id")
+                    self.signed |= by
         if tag in _VOID:
             return
         _, holder, apart, unseen, named, linked, inside, counts, header, list_, item = self.open[-1]
@@ -221,7 +235,6 @@ class _Lines(HTMLParser):
                     apart = 1
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and _HIDDEN.search(value):
                     unseen = True
-        own = any(k in ("class", "id") and v and not _OWN.isdisjoint(v.lower().split()) for k, v in attrs)
         if name == PERHAPS and own:
             name = NOTHING  # the class says what the id leaves open, or the other way round
         if tag == "header" and not inside:
@@ -240,7 +253,7 @@ class _Lines(HTMLParser):
             self.items += 1
             item = self.items
         if tag in _HOLDERS:
-            kind = "main" if any(k == "role" and v == "main" for k, v in attrs) else tag
+            kind = "main" if attrs and any(k == "role" and v == "main" for k, v in attrs) else tag
             self.parents.append(holder)
             self.kinds.append(kind)
             holder = len(self.kinds) - 1
