@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,11 +42,13 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir, which all machines share; a temporary one where it is unset."""
+    """A new path below spark.checkpoint.dir, which all machines share. Where it is unset, a temporary folder of this machine will do only if the session runs on it alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext.getCheckpointDir()
         if not got:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is not set: a folder that all machines share is needed")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
             got = spark.sparkContext.getCheckpointDir()
         base = got
@@ -61,11 +64,11 @@ def mounted_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: lineage ends there, lost executors cost nothing."""
+def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back: lineage ends there, lost executors cost nothing. options: of the files."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

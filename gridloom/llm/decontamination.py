@@ -1,9 +1,12 @@
 """Benchmark decontamination with a positional inverted index, by DataFrame functions only.
 
-The postings of a corpus (word, document, position of every word) are written once and
-serve any benchmark. They stay where their documents are: no word's postings are ever
-brought together, so a word in every document is no larger a task than another. For a
-benchmark, the postings' counts say which word of each window is rarest and which comes
+The index is cut by documents: each task writes the postings (word, document, position) of
+its own documents in order of words, in small pages whose least and largest words the
+files know. A search of few words so reads, of each file, the pages that hold their lists.
+No word's postings are ever brought together, so a word in every document is no larger a
+task than another. A dictionary has each word's number of postings.
+
+For a benchmark, the dictionary says which word of each window is rarest and which comes
 next. A posting of such a word minus its place in the item is where the item would
 begin. The two lists of a window are intersected by document and beginning, and the
 beginnings that are left are intersected with the postings of all the item's words.
@@ -14,6 +17,8 @@ beginnings of several rare words to lie some words apart.
 from __future__ import annotations
 
 import string
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +29,8 @@ from ._common import staged
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of benchmark words or windows that are sent to every task, at most; of some 200 bytes each.
 BROADCAST_ROWS = 200_000
+#: Words whose lists are looked up in the files, at most; for more, all postings are read. Rows of a page.
+LOOKED_UP, PAGE_ROWS = 256, 2000
 
 
 def split_words(text: Column) -> Column:
@@ -70,9 +77,10 @@ class Index:
     """The postings of a corpus, written once.
 
     heads: a row for each document: doc (its number), key (null without one), digest
-    (md5 of the text), n_words. postings: term, doc, pos (place in the split words).
-    Documents are rows: copies have postings each, so that none is more frequent than
-    another. Null texts have no words.
+    (md5 of the text), n_words. postings: term, doc, pos (place in the split words), in
+    order of terms in each file. terms: term, cf (its postings). Documents are rows:
+    copies have postings each, so that none is more frequent than another. Null texts
+    have no words.
     """
 
     def __init__(self, docs: DataFrame, key: str | None = "doc_id", text: str = "text"):
@@ -81,9 +89,21 @@ class Index:
         rows = docs.select((F.col(f"`{key}`") if key else F.lit(None).cast("string")).alias("key"), F.monotonically_increasing_id().alias("doc"), text_.alias("text"), F.explode(F.array(split_words(text_))).alias("words"))
         rows = rows.select("doc", F.struct("key", F.md5("text").alias("digest"), _count(F.col("words")).alias("n_words")).alias("head"), "words")
         each = rows.select("doc", "head", F.posexplode("words").alias("pos", "term")).where("term <> '' or pos = 0")
-        found = staged(each.select("term", "doc", "pos", F.when(F.col("pos") == 0, F.col("head")).alias("head")), "postings")
+        sorted_ = each.select("term", "doc", "pos", F.when(F.col("pos") == 0, F.col("head")).alias("head")).sortWithinPartitions("term")
+        found = staged(sorted_, "postings", **{"parquet.page.row.count.limit": str(PAGE_ROWS)})
         self.heads = found.where("pos = 0").select("doc", "head.*")
         self.postings = found.where("term <> ''").select("term", "doc", "pos")
+        self.terms = staged(self.postings.groupBy("term").agg(F.count("*").alias("cf")), "terms")
+
+    def lists(self, terms: DataFrame) -> DataFrame:
+        """The postings of some terms, of a small frame if they are looked up; of all terms, if there are many."""
+        some = [r.term for r in terms.select("term").distinct().limit(LOOKED_UP + 1).collect()]
+        if len(some) > LOOKED_UP:
+            return self.postings
+        each = [F.col("term") == t for t in some] or [F.lit(False)]
+        while len(each) > 1:  # conditions on one word each reach the files' pages; a list of words does not
+            each = [reduce(or_, each[i : i + 2]) for i in range(0, len(each), 2)]
+        return self.postings.where(each[0])
 
     def search(self, benchmark: DataFrame, window: int = 10, item_key: str = "item_id", text: str = "text") -> Search:
         return Search(self, benchmark, window, item_key, text)
@@ -93,13 +113,10 @@ class Search:
     """A benchmark's windows in a corpus."""
 
     def __init__(self, index: Index, benchmark: DataFrame, window: int, item_key: str, text: str):
-        self.postings, self.window = index.postings, window
+        self.index, self.window = index, window
         self.items = _items(benchmark, item_key, text)
         vocabulary = staged(self.items.select(F.explode("words").alias("term")).distinct(), "benchmark-words")
-        if _few(vocabulary):
-            counts = self.postings.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("cf"))
-        else:  # counted before the words are joined: a task sends each of its words once
-            counts = self.postings.groupBy("term").agg(F.count("*").alias("cf")).join(vocabulary, "term")
+        counts = index.terms.join(_small(vocabulary), "term")
         self.windows = staged(_windows(self.items, staged(counts, "benchmark-counts"), window), "benchmark-windows")
 
     def _alignments(self) -> DataFrame:
@@ -109,16 +126,18 @@ class Search:
         pairs = staged(pairs.withColumn("pair", F.monotonically_increasing_id()), "benchmark-pairs")
         # the roles of a pair that a posting fills are bits
         seeds = pairs.select("pair", F.explode(F.array(F.struct(F.col("t1").alias("term"), F.col("p1").alias("p"), F.when(F.col("t2").isNull(), 3).otherwise(1).alias("role")), F.struct(F.col("t2").alias("term"), F.col("p2").alias("p"), F.lit(2).alias("role")))).alias("x")).select("pair", "x.*").where("term is not null")
-        lists = self.postings.join(_small(staged(seeds, "benchmark-seeds")), "term").select("pair", "doc", (F.col("pos") - F.col("p")).alias("begin"), "role")
+        seeds = staged(seeds, "benchmark-seeds")
+        lists = self.index.lists(seeds).join(_small(seeds), "term").select("pair", "doc", (F.col("pos") - F.col("p")).alias("begin"), "role")
         both = lists.groupBy("pair", "doc", "begin").agg(F.bit_or("role").alias("roles")).where("roles = 3")
         return both.join(_small(pairs.select("pair", "item")), "pair").select("item", "doc", "begin").distinct()
 
     def exact(self) -> DataFrame:
         """doc, item, start, end: runs of words in documents that are occurrences of windows, as places in their split words."""
         found = staged(self._alignments(), "alignments")
-        words = self.items.select("item", F.size("words").alias("n"), F.posexplode("words").alias("i", "term"))
+        words = self.items.join(F.broadcast(staged(found.select("item").distinct(), "aligned-items")) if _few(self.items) else found.select("item").distinct(), "item", "left_semi")
+        words = staged(words.select("item", F.size("words").alias("n"), F.posexplode("words").alias("i", "term")), "aligned-words")
         asked = found.join(_small(words), "item").select("item", "n", "doc", "begin", "i", (F.col("begin") + F.col("i")).alias("pos"), "term")
-        own = self.postings.join(_small(staged(found.select("doc").distinct(), "aligned")), "doc", "left_semi")
+        own = self.index.lists(words).join(_small(staged(found.select("doc").distinct(), "aligned")), "doc", "left_semi")
         met = asked.join(own, ["doc", "pos", "term"])
         # words one after another have the same place minus rank
         rank = F.row_number().over(Window.partitionBy("item", "doc", "begin").orderBy("i"))
@@ -136,7 +155,8 @@ class Search:
         some = self.windows.select("item", "at", need.alias("need"), F.slice("rare", 1, words).alias("rare")).where(F.size("rare") >= F.col("need"))
         each = staged(some.select("item", "at", "need", F.explode("rare").alias("x")).select("item", "at", "need", "x.term", "x.p"), "benchmark-rare")
         places = each.groupBy("item", "term", "p").agg(F.min("need").alias("need"))
-        lists = self.postings.join(_small(places), "term").select("item", "p", "need", "doc", "pos", (F.col("pos") - F.col("p")).alias("begin"))
+        places = staged(places, "benchmark-places")
+        lists = self.index.lists(places).join(_small(places), "term").select("item", "p", "need", "doc", "pos", (F.col("pos") - F.col("p")).alias("begin"))
 
         def dense(by: list[str], behind: int) -> Column:
             around = Window.partitionBy(*by).orderBy("begin").rangeBetween(-behind, slack)

@@ -94,6 +94,21 @@ def test_one_index_for_two_benchmarks(spark):
         assert sorted(r.key for r in found.collect()) == [n for n, w in enumerate(_brute(TEXTS, some)) if w[1]]
 
 
+def test_few_words_are_looked_up(spark, monkeypatch):
+    """Of the pages of an index only those that hold a word's list are read."""
+    docs = spark.range(0, 20_000, 1, 4).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 19), i -> concat('w', pmod(xxhash64(id, i), 5000)))) AS text")
+    index = decontamination.Index(docs)
+    terms = spark.createDataFrame([("w17",), ("w4711",), ("none",)], "term string")
+    found = index.lists(terms)
+    n = found.count()
+    assert n == index.terms.where("term in ('w17', 'w4711')").agg({"cf": "sum"}).first()[0] > 100
+    found.collect()
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= 0.2 * 400_000
+    monkeypatch.setattr(decontamination, "LOOKED_UP", 2)
+    assert index.lists(terms).count() == 400_000
+
+
 def test_without_broadcasts(spark, sf, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, decontamination.contamination(docs, benchmark).collect()))
