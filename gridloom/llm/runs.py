@@ -93,9 +93,9 @@ class MappedArrays:
         there, place = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         out = [np.zeros(len(keys), np.int64) for _ in range(values)]
         order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1, dtype=np.uint64)).tolist()
-        for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
-            if j == i or self[b] is None:
+        met, first = np.unique(bucket[order], return_index=True)  # of all buckets those that occur
+        for b, i, j in zip(met.tolist(), first.tolist(), [*first.tolist(), len(order)][1:], strict=False):
+            if self[b] is None:
                 continue
             own, which = self[b], order[i:j]
             at = np.minimum(np.searchsorted(own[0], keys[which]), len(own[0]) - 1)

@@ -88,7 +88,12 @@ def with_shards(rows: DataFrame, max_bytes: int, key: str, size: Column | str) -
 
 
 def shard_documents(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes (UTF-8 bytes of the text), shard, depth, shard_bytes and shard_rows of every document."""
+    """key, n_bytes (UTF-8 bytes of the text), shard, depth, shard_bytes and shard_rows of every document.
+
+    A null text has no bytes, a null key hashes as the empty string; repeated rows are
+    rows of their own, spread by their row number; other columns are neither read nor
+    returned, so none can clash. No documents give no rows.
+    """
     rows = docs.select(F.col(f"`{key}`"), F.octet_length(F.col(f"`{text}`")).cast("long").alias("_size"))
     return with_shards(rows, max_bytes, key, "_size").drop("_size")
 
