@@ -167,6 +167,20 @@ def _long_list(conjunction: str) -> Query:
     return run
 
 
+def _open_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """What opening a file finds out: its columns and their labels, delimiter, encoding and rows."""
+    path = files.scratch(spark, "metadata")
+    delimited.write_csv(_read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("date").alias("o_orderdate")), path, "|")
+    m = Table.open(spark, path).metadata()
+    return spark.createDataFrame([(*c, m.delimiter, m.encoding, m.total_rows, m.total_fields) for c in m.columns], "name string, data_type string, delimiter string, encoding string, total_rows long, total_fields long")
+
+
+def _discard(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts after edits, appended ones too, were thrown away."""
+    t = _table(spark, sf, "part", p_name="p_name").edit(3, "p_name", "EDITED")
+    return t.edit(10_000_000, "p_name", "NEW").discard().to_df()
+
+
 def _table_stats(spark: SparkSession, sf: str) -> DataFrame:
     t = _table(spark, sf, "orders")
     return t.to_df().agg(F.count("*").alias("total_rows"), (F.count("*") * len(t.base.columns)).alias("total_fields"))
@@ -256,6 +270,8 @@ def queries() -> dict[str, Query]:
         "filter_in_long_and": _long_list("AND"),
         "filter_in_long_or": _long_list("OR"),
         "filter_regex_classes": _filter("part", Rule("p_name", "regex", r"^[[:alpha:]--[a-m]]++[^\S\n](?i:WIDG|[x-z])\w{2}\b"), Rule("p_type", "regex", r"(?x) ^ (?P<kind> [A-Z&&[^AEIOU]] ) [[:upper:]~~O] # a comment"), conjunction="OR"),
+        "open_metadata": _open_metadata,
+        "discard_edits": _discard,
         "table_stats": _table_stats,
         "infer_types": lambda spark, sf: infer_labels(_read(spark, sf, "events"), [F.col("event_id")]),
         "infer_types_mixed": _infer_mixed,
@@ -346,6 +362,8 @@ def oracle_sql() -> dict[str, str]:
         "filter_in_long_and": f"SELECT * EXCLUDE (n) FROM ({listed}) WHERE lower(o_orderstatus) = 'f' AND n <= 50000 AND o_orderkey % 3 = 0 AND o_totalprice > 200000",
         "filter_in_long_or": f"SELECT * EXCLUDE (n) FROM ({listed}) WHERE lower(o_orderstatus) = 'f' OR n <= 50000 AND o_orderkey % 3 = 0 OR o_totalprice > 200000",
         "filter_regex_classes": r"SELECT * FROM part WHERE regexp_matches(p_name, '^[A-Zn-z]+[ \t](?i:WIDG|[x-z])[0-9A-Za-z_]{2}\b') OR regexp_matches(p_type, '^[B-DF-HJ-NP-TV-Z][A-NP-Z]')",
+        "open_metadata": "SELECT name, data_type, '|' AS delimiter, 'UTF-8' AS encoding, n AS total_rows, n * 4 AS total_fields FROM (VALUES ('o_orderkey', 'Numeric'), ('o_orderstatus', 'String'), ('o_orderpriority', 'String'), ('o_orderdate', 'Datetime')) t(name, data_type), (SELECT count(*) AS n FROM orders)",
+        "discard_edits": "SELECT p_partkey, p_name FROM part",
         "table_stats": "SELECT count(*) AS total_rows, count(*) * 6 AS total_fields FROM orders",
         "infer_types": _labels_sql("events", "event_id", ("event_id", "ts", "user_id", "event_type", "value", "props")),
         "infer_types_mixed": _labels_sql(f"(SELECT o_orderkey, {odd} AS v, {prio} AS prio, CASE WHEN o_orderkey % 3 = 0 THEN 'TRUE' ELSE o_orderstatus END AS b, CASE WHEN o_orderkey % 2 = 0 THEN '1/2/2024' ELSE '12' END AS d FROM orders)", "o_orderkey", ("o_orderkey", "v", "prio", "b", "d")),

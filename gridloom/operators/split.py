@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from .cells import as_text
 from .order import ROW
 
 ROWS = 50_000
+#: Parts that are put in their places at a time.
+THREADS = 32
 
 
 def by_rows(df: DataFrame, limit: int = ROWS) -> DataFrame:
@@ -39,16 +43,21 @@ def write_parts(df: DataFrame, folder: str, stem: str, delimiter: str = ",", ext
     aside = files.scratch(spark, "split")
     out_rows = dealt.sortWithinPartitions("__part", ROW).drop(ROW)
     out_rows.write.partitionBy("__part").options(header=True, sep=delimiter, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(aside)
-    out = []
     p, fs = files._path(spark, folder)
     fs.mkdirs(p)
+    there = set(files.children(spark, folder))
     # Spark escapes what is not fit for a folder's name; a part's own name is not escaped
     made = {files.unescaped(spark, name.removeprefix("__part=")): name for name in files.children(spark, aside) if name.startswith("__part=")}
-    for part in firsts:
-        here, to = f"{aside}/{made[part]}", f"{folder.rstrip('/')}/{stem}_{part}.{extension}"
+
+    def put(part: str) -> str:
+        here, name = f"{aside}/{made[part]}", f"{stem}_{part}.{extension}"
         if one_file:
             (here,) = (f"{here}/{n}" for n in files.children(spark, here) if n.startswith("part-"))
-        files.replace(spark, here, to)
-        out.append(to)
+        (files.replace if name in there else files.move)(spark, here, f"{folder.rstrip('/')}/{name}")
+        return f"{folder.rstrip('/')}/{name}"
+
+    # a part is a call or two to the file system, many at a time
+    with ThreadPoolExecutor(THREADS) as pool:
+        out = list(pool.map(put, firsts))
     files.delete(spark, aside)
     return out
