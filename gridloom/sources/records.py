@@ -28,9 +28,10 @@ ROW = "_row_idx"
 def _lines(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     """value, file, start, and of each line: odd (number of quotes), opens (odd, and a quote begins a cell), blank."""
     text = spark.read.option("lineSep", "\n").text(path)
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = quotes % 2 == 1
-    opens = F.col("value").rlike(rf'(?:^\x{{FEFF}}?|\Q{delimiter}\E)"')
+    value, quoted = F.col("value"), F.col("value").contains('"')
+    # most lines have no quotes, and only an odd number of them matters
+    odd = quoted & ((F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1)
+    opens = value.startswith('"') | value.contains(f'{delimiter}"') | value.startswith('\ufeff"')
     blank = (F.col("value") == "") | (F.col("value") == "\r")
     return text.select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), odd.alias("odd"), (odd & opens).alias("opens"), blank.alias("blank"))
 
