@@ -250,6 +250,7 @@ def queries() -> dict[str, Query]:
         "join_last_wins_right": _join("customer", "orders", "c_custkey", "o_custkey", "right", ("c_custkey", "c_name"), ("o_orderkey", "o_orderpriority"), where_a="c_custkey % 3 = 0", unique=False),
         "join_last_wins_outer": _join("customer", "orders", "c_custkey", "o_custkey", "outer", ("c_custkey", "c_name"), ("o_orderpriority",), where_a="c_custkey % 3 = 0", unique=False),
         "filter_equals_accents": _odd_names(Rule("v", "equals", "élan red widget")),
+        "filter_equals_ascii_case": _odd_names(Rule("v", "equals", "Élan RED widget")),
         "filter_contains_accents": _odd_names(Rule("v", "contains", "über")),
         "filter_starts_with_accents": _odd_names(Rule("v", "starts_with", "Él")),
         "filter_ends_with_accents": _odd_names(Rule("v", "ends_with", " ß")),
@@ -342,6 +343,7 @@ def oracle_sql() -> dict[str, str]:
         "join_last_wins_right": "WITH b AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT o_custkey AS c_custkey, coalesce(c_name, '') AS c_name, o_orderkey AS o_orderkey_b, o_orderpriority AS o_orderpriority_b FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c RIGHT JOIN b ON c_custkey = o_custkey",
         "join_last_wins_outer": "WITH b AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(c_name, '') AS c_name, coalesce(o_orderpriority, '') AS o_orderpriority_b FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN b ON c_custkey = o_custkey",
         "filter_equals_accents": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'élan red widget'",
+        "filter_equals_ascii_case": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'Élan red widget'",
         "filter_contains_accents": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE contains(lower(v), 'über')",
         "filter_starts_with_accents": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE starts_with(lower(v), 'él')",
         "filter_ends_with_accents": f"SELECT * FROM (SELECT p_partkey, {accents} AS v FROM part) WHERE ends_with(lower(v), ' ß')",
@@ -356,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
         "save_overlay": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CASE WHEN n_nationkey = 3 THEN 'EDITED' ELSE n_name END AS n_name FROM nation",
         "scan_csv": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer",
         "scan_csv_multiline": """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS _row_idx, CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') || chr(10) || '"' || source || '",' || chr(10) AS text, lang FROM documents""",
-        "save_over_own_file": "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, CASE WHEN r_regionkey = 1 THEN 'EDITED, twice' ELSE r_name END AS r_name, r_regionkey + 1 AS pos FROM region UNION ALL SELECT '', '', 6 UNION ALL SELECT '', 'NEW', 7 UNION ALL SELECT '7', '', 8",
+        "save_over_own_file": "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, CASE WHEN r_regionkey = 1 THEN 'EDITED, twice' ELSE r_name END AS r_name, CAST(r_regionkey + 1 AS BIGINT) AS pos FROM region UNION ALL SELECT '', '', 6 UNION ALL SELECT '', 'NEW', 7 UNION ALL SELECT '7', '', 8",
         "edit_many": "SELECT o_orderkey, CASE WHEN r % 10 = 0 THEN 'again' WHEN r % 5 = 0 THEN 'edit ' || r ELSE o_orderpriority END AS o_orderpriority, CASE WHEN r % 7 = 0 THEN r + 0.5 ELSE o_totalprice END::DOUBLE AS o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders)",
         "page_stored": "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET (SELECT count(*) // 2 FROM orders)",
         "filter_in_long_and": f"SELECT * EXCLUDE (n) FROM ({listed}) WHERE lower(o_orderstatus) = 'f' AND n <= 50000 AND o_orderkey % 3 = 0 AND o_totalprice > 200000",
