@@ -143,6 +143,7 @@ def read_records(spark: SparkSession, path: str, delimiter: str, names: list[str
         parts = placed.where("piece").select(number, F.struct("block", "line", value.alias("value")).alias("part"))
         joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["value"]), "\n")
         text = text.unionByName(parts.groupBy(ROW).agg(joined.alias("value")))
-    cells = F.from_csv(F.regexp_replace("value", r"\r\z", ""), ", ".join(f"c{i} STRING" for i in range(len(names))), {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
+    ended = F.when(F.col("value").endswith("\r"), F.substring("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
+    cells = F.from_csv(ended, ", ".join(f"c{i} STRING" for i in range(len(names))), {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
     parsed = text.select(ROW, cells.alias("cells"))
     return parsed.select(ROW, *(F.coalesce(F.col(f"cells.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names))), total
