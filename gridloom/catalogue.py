@@ -175,6 +175,27 @@ def _open_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(*c, m.delimiter, m.encoding, m.total_rows, m.total_fields) for c in m.columns], "name string, data_type string, delimiter string, encoding string, total_rows long, total_fields long")
 
 
+def _command_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders through the cleaning commands, each of which writes the file that the next one opens."""
+    folder, work = files.scratch(spark, "clean"), Workspace(spark)
+    rows = _read(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey", f"concat(' ', {EXPRESSIONS['blank_priority']}) AS prio", "o_totalprice")
+    at = work.add("orders", rows, ["o_orderkey"])
+    steps = (("deduplicate", {"keys": ["o_custkey", "prio"]}), ("trim", {"names": ["prio"]}), ("fill_missing", {"name": "prio", "kind": "Mode", "sample_rows": None}))
+    for n, (kind, params) in enumerate(steps):
+        at = work.open(work.clean(at, kind, f"{folder}/{n}", **params))
+    return work[at].to_df()
+
+
+def _command_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The outer join command on files, a third of whose lines have one key."""
+    folder, work = files.scratch(spark, "join"), Workspace(spark)
+    key = "CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_suppkey * 20 END AS k"
+    delimited.write_csv(_read(spark, sf, "lineitem").selectExpr(key, "l_orderkey", "l_linenumber", "l_partkey"), f"{folder}/a")
+    delimited.write_csv(_read(spark, sf, "customer").select("c_custkey", "c_name"), f"{folder}/b", ";")
+    path = work.join(work.open(f"{folder}/a"), "k", work.open(f"{folder}/b"), "c_custkey", "outer", f"{folder}/c")
+    return Table.open(spark, path).to_df()
+
+
 def _discard(spark: SparkSession, sf: str) -> DataFrame:
     """Parts after edits, appended ones too, were thrown away."""
     t = _table(spark, sf, "part", p_name="p_name").edit(3, "p_name", "EDITED")
@@ -273,6 +294,8 @@ def queries() -> dict[str, Query]:
         "filter_regex_classes": _filter("part", Rule("p_name", "regex", r"^[[:alpha:]--[a-m]]++[^\S\n](?i:WIDG|[x-z])\w{2}\b"), Rule("p_type", "regex", r"(?x) ^ (?P<kind> [A-Z&&[^AEIOU]] ) [[:upper:]~~O] # a comment"), conjunction="OR"),
         "open_metadata": _open_metadata,
         "discard_edits": _discard,
+        "command_clean": _command_clean,
+        "command_join": _command_join,
         "table_stats": _table_stats,
         "infer_types": lambda spark, sf: infer_labels(_read(spark, sf, "events"), [F.col("event_id")]),
         "infer_types_mixed": _infer_mixed,
@@ -365,6 +388,8 @@ def oracle_sql() -> dict[str, str]:
         "filter_in_long_or": f"SELECT * EXCLUDE (n) FROM ({listed}) WHERE lower(o_orderstatus) = 'f' OR n <= 50000 AND o_orderkey % 3 = 0 OR o_totalprice > 200000",
         "filter_regex_classes": r"SELECT * FROM part WHERE regexp_matches(p_name, '^[A-Zn-z]+[ \t](?i:WIDG|[x-z])[0-9A-Za-z_]{2}\b') OR regexp_matches(p_type, '^[B-DF-HJ-NP-TV-Z][A-NP-Z]')",
         "open_metadata": "SELECT name, data_type, '|' AS delimiter, 'UTF-8' AS encoding, n AS total_rows, n * 4 AS total_fields FROM (VALUES ('o_orderkey', 'Numeric'), ('o_orderstatus', 'String'), ('o_orderpriority', 'String'), ('o_orderdate', 'Datetime')) t(name, data_type), (SELECT count(*) AS n FROM orders)",
+        "command_clean": f"WITH d AS (SELECT o_orderkey, o_custkey, trim({prio}) AS p, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, p ORDER BY o_orderkey) = 1), m AS (SELECT p FROM d WHERE p <> '' GROUP BY p ORDER BY count(*) DESC, p LIMIT 1) SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, CASE WHEN p = '' THEN (SELECT p FROM m) ELSE p END AS prio, TRY_CAST(o_totalprice AS VARCHAR) AS o_totalprice FROM d",
+        "command_join": "WITH a AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_suppkey * 20 END AS k, l_orderkey, l_linenumber, l_partkey FROM lineitem) SELECT CAST(coalesce(k, c_custkey) AS VARCHAR) AS k, coalesce(CAST(l_orderkey AS VARCHAR), '') AS l_orderkey, coalesce(CAST(l_linenumber AS VARCHAR), '') AS l_linenumber, coalesce(CAST(l_partkey AS VARCHAR), '') AS l_partkey, coalesce(c_name, '') AS c_name_b FROM a FULL JOIN customer ON k = c_custkey",
         "discard_edits": "SELECT p_partkey, p_name FROM part",
         "table_stats": "SELECT count(*) AS total_rows, count(*) * 6 AS total_fields FROM orders",
         "infer_types": _labels_sql("events", "event_id", ("event_id", "ts", "user_id", "event_type", "value", "props")),

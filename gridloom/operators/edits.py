@@ -39,7 +39,9 @@ class Piece:
 
 def _written(edits: DataFrame) -> Piece | None:
     """A piece of a frame of (row number, column, value, seq), with the newest edit of each cell only."""
-    spark, path = edits.sparkSession, files.scratch(edits.sparkSession, "edits")
+    spark = edits.sparkSession
+    with files.lasting():
+        path = files.scratch(spark, "edits")
     newest = edits.groupBy(ROW, "column").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
     newest.write.parquet(path)
     frame = spark.read.schema(SCHEMA).parquet(path)

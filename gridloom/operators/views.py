@@ -46,7 +46,9 @@ class StoredView:
 
 def store(df: DataFrame, keys: Sequence[Key], ties: Sequence[Column]) -> StoredView:
     """Writes a frame in order, one file for each partition of the sort."""
-    spark, path = df.sparkSession, files.scratch(df.sparkSession, "view")
+    spark = df.sparkSession
+    with files.lasting():
+        path = files.scratch(spark, "view")
     some, by = ordered(df, keys, ties)
     placed = _plain(some.orderBy(*by), keys).withColumn(PLACE, F.monotonically_increasing_id())
     placed.write.parquet(path)

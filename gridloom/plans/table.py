@@ -52,7 +52,8 @@ class Source:
     def numbered(self, order_by: tuple[str, ...]) -> DataFrame:
         if self._numbered is None:
             scan = not order_by and self.dialect is not None
-            self._numbered = order.number_rows(self.base.orderBy(*map(F.col, order_by)) if order_by else self.base, scan=scan)
+            with files.lasting():
+                self._numbered = order.number_rows(self.base.orderBy(*map(F.col, order_by)) if order_by else self.base, scan=scan)
         return self._numbered
 
     @property
@@ -178,7 +179,7 @@ class Table:
 
     def positions(self, name: str = "pos") -> DataFrame:
         """The view in order with each row's place from 1 on."""
-        return self._plain(order.positions(self.view, self.keys, self.order, name))
+        return self._plain(order.positions(self.view, self.keys, self.order, name))  # written once: scratch_scope deletes it
 
     def unique(self, name: str, sample_rows: int | None = 50_000) -> DataFrame:
         """v, pos: distinct values of the first rows (None: of all), whatever the rules, in their order."""

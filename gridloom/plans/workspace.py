@@ -12,7 +12,10 @@ from .table import Metadata, Table
 
 
 class Workspace:
-    """Opening a path twice gives the same id, unless the file has changed in between; close forgets a table."""
+    """Opening a path twice gives the same id, unless the file has changed in between; close forgets a table.
+
+    What a command writes to scratch on its way is deleted once its result is there.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -82,7 +85,8 @@ class Workspace:
         self._put(file_id, self[file_id].sort(name, descending))
 
     def unique_values(self, file_id: str, name: str) -> list[str]:
-        return [str(r.v) for r in self[file_id].unique(name).orderBy("pos").collect()]
+        with files.scratch_scope(self.spark):
+            return [str(r.v) for r in self[file_id].unique(name).orderBy("pos").collect()]
 
     def save(self, file_id: str, path: str | None = None, single_file: bool = False) -> str:
         """Saves all rows; over the table's own file, the edits are in the file from then on."""
@@ -91,17 +95,20 @@ class Workspace:
         self._put(file_id, table.saved(path, single_file))
         return target
 
-    def clean(self, file_id: str, kind: str, path: str, **params) -> str:
+    def clean(self, file_id: str, kind: str, path: str, /, **params) -> str:
         """kind: deduplicate (keys), trim (names) or fill_missing (name, kind, value)."""
         table = self[file_id]
         jobs = {"deduplicate": table.dedupe, "trim": table.trim, "fill_missing": table.fill_missing}
         if kind not in jobs:
             raise ValueError(f"Unknown cleaning operation {kind}")
-        return delimited.write_csv(jobs[kind](**params), path, table.dialect.delimiter if table.dialect else ",")
+        with files.scratch_scope(self.spark):
+            return delimited.write_csv(jobs[kind](**params), path, table.dialect.delimiter if table.dialect else ",")
 
     def join(self, a: str, key_a: str, b: str, key_b: str, kind: str, path: str) -> str:
         table = self[a]
-        return delimited.write_csv(table.join(self[b], key_a, key_b, kind), path, table.dialect.delimiter if table.dialect else ",")
+        with files.scratch_scope(self.spark):
+            return delimited.write_csv(table.join(self[b], key_a, key_b, kind), path, table.dialect.delimiter if table.dialect else ",")
 
     def split(self, file_id: str, split_by: str, folder: str, row_limit: int = 50_000, column_name: str | None = None) -> list[str]:
-        return self[file_id].write_split(folder, split_by, row_limit, column_name)
+        with files.scratch_scope(self.spark):
+            return self[file_id].write_split(folder, split_by, row_limit, column_name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +69,7 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", single_file: bool
     file only; in a folder each file has the columns' distinct names.
     """
     spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.new-{files.scratch(spark, 'x').rpartition('-')[2]}"
+    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:12]}"
     text = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
     header = headers is None or len(set(headers)) == len(headers) or not single_file
     if headers is not None and len(set(headers)) == len(headers):

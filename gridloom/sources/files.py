@@ -6,9 +6,15 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+#: What the innermost scratch_scope has been given; None outside of any, and for what stays.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -110,6 +116,34 @@ def version(spark: SparkSession, path: str) -> tuple | None:
     return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in some))
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end, after an error too, what scratch was asked for within it in this thread.
+
+    Frames made within read these files, so whatever is wanted of them has to be written
+    or collected within. Scopes nest, each deletes its own; what lasts longer than the
+    call that makes it (row numbers of a table, edit logs, stored views) is kept by lasting.
+    """
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
+@contextmanager
+def lasting() -> Iterator[None]:
+    """Scratch of which no scope around it is in charge."""
+    token = _made.set(None)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster shares for checkpoints. Where none is set, a temporary folder of this machine will do only if the session runs on it alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -118,4 +152,7 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir is not set: a folder that all machines share is needed")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path

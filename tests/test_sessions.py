@@ -228,3 +228,45 @@ INVALID = [r"\h", r"\R", "(?>a)", r"\Qa\E", r"\Z", r"\1", r"(a)\1", r"\k<a>", "(
 
 def test_what_is_no_pattern_passes_nothing(spark):
     assert {p: patterns.java_pattern(spark, p) for p in INVALID} == dict.fromkeys(INVALID)
+
+
+def _scratch(spark):
+    base = files.scratch(spark, "x").rpartition("/")[0]
+    return set(files.children(spark, base)) if files.exists(spark, base) else set()
+
+
+def test_commands_leave_no_scratch(spark, tmp_path):
+    path, other = tmp_path / "t.csv", tmp_path / "o.csv"
+    path.write_text("k,v\n1, x\n2,\n2,y\n1,x\n3,x\n")
+    other.write_text("k,w\n1,one\n4,four\n")
+    w = Workspace(spark)
+    at, of = w.open(str(path)), w.open(str(other))
+    before = _scratch(spark)
+    filled = w.open(w.clean(at, "fill_missing", str(tmp_path / "filled"), name="v", kind="Mode", sample_rows=None))
+    assert w.rows(filled, 1, 1) == [["2", "x"]]
+    w.clean(at, "fill_missing", str(tmp_path / "median"), name="k", kind="Median", sample_rows=None)
+    w.join(at, "k", of, "k", "outer", str(tmp_path / "joined"))
+    assert w.unique_values(at, "k") == ["1", "2", "3"]
+    assert len(w.split(at, "column", str(tmp_path / "parts"), column_name="k")) == 3
+    assert _scratch(spark) == before
+
+
+def test_scratch_scopes(spark):
+    rows = Table.from_dataframe(spark.range(100).selectExpr("id AS k", "cast(100 - id AS string) AS v"), ["k"])
+    before = _scratch(spark)
+    with files.scratch_scope(spark):
+        with files.scratch_scope(spark):
+            assert rows.sort("v").positions().where("pos = 1").first().v == "1"
+            assert len(_scratch(spark) - before) == 1
+        assert _scratch(spark) == before
+        # what a table goes on with is kept: its numbers, its edits, its stored view
+        edited = rows.edit_many(spark.createDataFrame([(7, "v", "new")], "row long, column string, value string"))
+        view = edited.sort("k", True).stored()
+    assert edited.to_df().where("v = 'new'").first().k == 7 and view.page(92, 1).first().v == "new"
+    assert len(_scratch(spark) - before) == 3
+    view.store.delete(spark)
+    before = _scratch(spark)
+    with pytest.raises(ZeroDivisionError), files.scratch_scope(spark):
+        rows.positions().count()
+        raise ZeroDivisionError
+    assert _scratch(spark) == before
