@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import bpe, decontamination, quality, simhash
 from gridloom.llm._common import staged, table
 from gridloom.llm.queries import crc_is_two
+from gridloom.sources import files
 
 #: SQL can express neither the network nor the components; tests compare with brute force.
 ORACLE_SQL = None
@@ -69,10 +70,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a folder, each on all that the one before kept; empty tables and null texts as the stages have them."""
+    """All stages on the documents of a folder, each on all that the one before kept; empty tables and null texts as the stages have them.
+
+    What a stage wrote on its way is deleted once its rows are written; these stay, for
+    the last stage's result is read from them.
+    """
     docs = table(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with files.scratch_scope(spark):
+            kept = stage(spark, docs, sf_dir)
+            with files.lasting():
+                docs = staged(kept, f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
