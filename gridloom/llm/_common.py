@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 #: Bytes of text that a Python task works on at a time.
 BLOCK_BYTES = 2 << 20
 #: Bytes that Spark gives a Python task at a time, about; its own bound is a number of rows, however long.
@@ -42,17 +41,8 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir, which all machines share. Where it is unset, a temporary folder of this machine will do only if the session runs on it alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        got = spark.sparkContext.getCheckpointDir()
-        if not got:
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir is not set: a folder that all machines share is needed")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-            got = spark.sparkContext.getCheckpointDir()
-        base = got
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new path below spark.checkpoint.dir, which all machines share; files.scratch_scope deletes what was made within it."""
+    return files.scratch(spark, label)
 
 
 def mounted_dir(spark: SparkSession, label: str) -> str:

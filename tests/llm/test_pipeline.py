@@ -3,6 +3,7 @@ import hashlib
 import corpus_pipeline
 import pytest
 from gridloom.llm import decontamination, quality, simhash
+from gridloom.sources import files
 from pyspark.sql import functions as F
 
 from .test_decontamination import _brute as hits
@@ -70,3 +71,17 @@ def test_representatives_and_clean_of_awkward_rows(spark, docs, none):
     assert [tuple(r)[4:] for r in quality.accepted(clash, 0.9).collect()] == [(2, "t", 3)] * 7 and quality.accepted(clash, 0.9).columns == clash.columns
     assert decontamination.clean(clash, items).columns == clash.columns and decontamination.clean(clash, items).count() == 4
     assert quality.accepted(docs, 0.9).count() == 7 and quality.accepted(docs, 0.5).count() == 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_run_on_awkward_and_empty_tables(spark, sf, docs, tmp_path, empty):
+    (docs.where("false") if empty else docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "quick brown"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    base = files.scratch(spark, "x").rpartition("/")[0]
+    before = set(files.children(spark, base)) if files.exists(spark, base) else set()
+    got = sorted((str(r.doc_id), r.n_tokens == 0) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == ([] if empty else [("2", True), ("7", False), ("None", False)])
+    # of what stages write on their way nothing is left but their rows
+    left = set(files.children(spark, base)) - before
+    assert sorted(x.rpartition("-")[0] for x in left) == ["pipeline-decontamination", "pipeline-near_duplicates", "pipeline-quality"]
